@@ -32,6 +32,7 @@ _SUMS = ["s1", "s2", "w1", "w2"]
 # -ln of the smallest positive double, and ln of the largest weight allowed in a block.
 _UNDERFLOW = 745.0
 _MAX_LOG_WEIGHT = 115.0
+_EPSILON = 1e-15
 
 
 def decay(span: float) -> float:
@@ -116,8 +117,14 @@ def with_ewma(
     joined = joined.withColumns({f"_t_{k}": c for k, c in total.items()})
     s1, s2, w1, w2 = (F.col(f"_t_{k}") for k in _SUMS)
     mean = F.try_divide(s1, w1)
-    variance = (F.try_divide(s2, w1) - mean * mean) * F.try_divide(w1 * w1, w1 * w1 - w2)
-    vol = F.when(F.col("_seen") + F.col("_seen_before") >= 2, F.sqrt(F.greatest(variance, F.lit(0.0))))
+    # One weight outweighs all others by more than a double can tell: no second value.
+    spread = F.when(w1 * w1 - w2 > w1 * w1 * _EPSILON, w1 * w1 - w2)
+    variance = (F.try_divide(s2, w1) - mean * mean) * F.try_divide(w1 * w1, spread)
+    # greatest() would turn a missing variance into 0.
+    vol = F.when(
+        (F.col("_seen") + F.col("_seen_before") >= 2) & variance.isNotNull(),
+        F.sqrt(F.greatest(variance, F.lit(0.0))),
+    )
     used = [f"_{k}" for k in _SUMS] + [f"_t_{k}" for k in _SUMS] + ["_seen", "_seen_before", "_carry"]
     return joined.withColumn(alias, annualized(vol, annualize)).drop(*used)
 

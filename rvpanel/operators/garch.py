@@ -7,7 +7,7 @@ are ``own_t + beta^(t+1) * v_before``.  Two ways use the same search:
 * ``fit``: daily panels.  Dates are unique, so one symbol's returns are a few thousand
   numbers (a DATE column cannot hold more than 3.7 million) and one task fits all folds
   of a symbol.
-* ``fit_by_rounds``: intraday panels of any length.  Every search round is a Spark job
+* ``fit_by_rounds``: intraday series of any length.  Every search round is a Spark job
   over (symbol, block); only the search state, one row per symbol and fold, is shuffled.
 """
 
@@ -37,6 +37,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BACKCAST_ROWS = 75
 BACKCAST_DECAY = 0.94
 
+# Longest intraday series that one task fits.
+IN_TASK_ROWS = 500_000
+
 _PERCENT = 100.0
 _STEP = 1e-3
 _TOLERANCE = 1e-7
@@ -223,7 +226,7 @@ def fit_series(r: np.ndarray) -> dict | None:
 def packed_blocks(numbered: DataFrame, before: int = 0) -> DataFrame:
     """One row per (symbol, block) with its returns in percent, in row order."""
     pairs = F.sort_array(F.collect_list(F.struct("i", (F.col("r") * _PERCENT).alias("r"))))
-    laid = blocks(numbered.select("symbol", "r", "i", "n"), before=before)
+    laid = blocks(numbered.select("symbol", "r", "i", "n"), before=before, size=BLOCK_ROWS)
     packed = laid.groupBy("symbol", "_block").agg(
         pairs.alias("_pairs"), F.max("n").alias("n"), F.min("i").alias("_first")
     )
@@ -239,9 +242,19 @@ def is_daily(df: DataFrame) -> bool:
 def garch_params(
     numbered: DataFrame, n_splits: int = 5, horizon: int = 5, min_train_size: int = 252
 ) -> DataFrame:
-    """Fitted parameters per symbol and fold, from numbered returns (symbol, date, r, i, n)."""
-    fitted = fit if is_daily(numbered) else fit_by_rounds
-    return fitted(numbered, n_splits, horizon, min_train_size)
+    """Fitted parameters per symbol and fold, from numbered returns (symbol, date, r, i, n).
+
+    Daily panels are fitted lazily.  An intraday panel is first checked for symbols longer
+    than ``IN_TASK_ROWS``; those, and only those, are fitted by rounds.
+    """
+    settings = (n_splits, horizon, min_train_size)
+    if is_daily(numbered):
+        return fit(numbered, *settings)
+    long_ones = numbered.where(F.col("n") > IN_TASK_ROWS)
+    if long_ones.isEmpty():
+        return fit(numbered, *settings)
+    short_ones = fit(numbered.where(F.col("n") <= IN_TASK_ROWS), *settings)
+    return short_ones.unionByName(fit_by_rounds(long_ones, *settings))
 
 
 def fit(numbered: DataFrame, n_splits: int, horizon: int, min_train_size: int) -> DataFrame:

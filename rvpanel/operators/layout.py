@@ -139,9 +139,10 @@ def number_changes(df: DataFrame, value: str, change: Callable[[Column | str, Co
     return numbered.drop("_start")
 
 
-def blocks(numbered: DataFrame, before: int = 0, after: int = 0, size: int = BLOCK_ROWS) -> DataFrame:
+def blocks(numbered: DataFrame, before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
     """Give every block of ``size`` positions its own rows, plus the ``before`` rows
     ahead of it and the ``after`` rows behind it as copies."""
+    size = size or BLOCK_ROWS
     own = F.expr(f"i div {size}L")
     first = F.expr(f"greatest(i - {after}L, 0L) div {size}L")
     last = F.expr(f"least(i + {before}L, n - 1) div {size}L")

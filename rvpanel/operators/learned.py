@@ -25,8 +25,9 @@ from rvpanel.sources.store import materialize
 
 
 def split_rows(features: DataFrame, config: Config, mode: str = "calendar") -> DataFrame:
-    """Feature rows that close a full window, with the window ``x``, the row's position
-    ``p`` of ``m`` for the folds, and the position ``p_first`` of the window's first row.
+    """Feature rows with the window ``x`` that ends in them, their position ``p`` of ``m``
+    for the folds, and the position ``p_first`` of the window's first row (NULL where the
+    series is too young for a full window).
 
     ``mode='rows'`` counts each symbol's own rows, ``mode='calendar'`` the panel's dates.
     With several symbols only the calendar keeps every train row before every test row.
@@ -113,19 +114,27 @@ def fit_windows(
     scaler = materialize(fit_scaler_rows(windows, inner_end))
     train, validation = _window_in(F.lit(0), inner_end), _window_in(inner_end, train_end)
     used = windows.where(train | validation).withColumn("is_validation", validation)
-    sides = {r["is_validation"] for r in used.select("is_validation").distinct().collect()}
+    # Fitting passes over the vectors more than once.
+    vectors = materialize(scaled_vectors(used, scaler).select("features", TARGET, "is_validation"))
+    sides = {r["is_validation"] for r in vectors.select("is_validation").distinct().collect()}
     if False not in sides:
         return None
     if True not in sides:
         raise ValueError("no validation window: val_frac leaves fewer rows than one window needs")
     if config.model.kind == "linear":
-        used = used.where(~F.col("is_validation"))
-    return regressor(config).fit(scaled_vectors(used, scaler)), scaler
+        vectors = vectors.where(~F.col("is_validation"))
+    return regressor(config).fit(vectors), scaler
+
+
+def stored_windows(panel: DataFrame, config: Config, mode: str) -> DataFrame:
+    """Features, then windows, each computed once and stored: all folds read them."""
+    features = materialize(build_features(panel, config.data.horizon))
+    return materialize(split_rows(features, config, mode))
 
 
 def predict(model: PipelineModel, windows: DataFrame, scaler: DataFrame) -> DataFrame:
     """One forecast per window, keyed by the window's last date."""
-    return model.transform(scaled_vectors(windows, scaler))
+    return model.transform(scaled_vectors(windows.where(F.col("p_first").isNotNull()), scaler))
 
 
 def learned_forecasts(
@@ -133,10 +142,10 @@ def learned_forecasts(
 ) -> DataFrame:
     """Forecasts (symbol, date, fold, model, actual, pred) of each fold's test windows.
 
-    Runs one fit per fold.  Windows are computed and stored once for all folds.
+    Runs one fit per fold.
     """
     check_val_frac(config.eval.val_frac)
-    windows = materialize(split_rows(build_features(panel, config.data.horizon), config, mode))
+    windows = stored_windows(panel, config, mode)
     results = []
     for fold in range(config.eval.n_splits) if folds is None else folds:
         train_end, test_start, test_end = _fold_ends(fold, config)
@@ -164,7 +173,7 @@ def train_final_model(panel: DataFrame, config: Config, mode: str = "calendar")
     """The model to keep: fitted on all rows, the last part held out for early stopping.
     Returns the model and its scaler."""
     check_val_frac(config.eval.val_frac)
-    windows = materialize(split_rows(build_features(panel, config.data.horizon), config, mode))
+    windows = stored_windows(panel, config, mode)
     m = F.col("m")
     fitted = fit_windows(windows, inner_train_end(m, config.eval.val_frac), m, config)
     if fitted is None:

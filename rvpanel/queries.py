@@ -580,16 +580,18 @@ def fold_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     "label_selection",
     _with(
         _PANEL,
-        "labels_ AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderstatus = 'P')",
-        select=f"SELECT symbol, date, px FROM panel WHERE date IN (SELECT date FROM labels_)",
+        """labels_ AS (SELECT DISTINCT l_returnflag || l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS date
+          FROM lineitem WHERE l_discount >= 0.1)""",
+        select="SELECT symbol, date, px FROM panel JOIN labels_ USING (symbol, date)",
     ),
 )
 def label_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = vwap_daily(spark, sf_dir)
-    dates = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("date"))
-    symbols = _lineitem_basket(spark, sf_dir).select("symbol")
-    labels = dates.distinct().withColumn("_all", F.lit(1)).join(symbols.withColumn("_all", F.lit(1)), "_all")
-    return fo.select_dates(panel, labels)
+    """Panel rows of the days on which a symbol had a line item at the highest discount."""
+    discounted = table(spark, sf_dir, "lineitem").where(F.col("l_discount") >= 0.1)
+    labels = discounted.select(
+        F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.to_date("l_shipdate").alias("date")
+    )
+    return fo.select_dates(vwap_daily(spark, sf_dir), labels)
 
 
 _INNER = """parts AS (

@@ -212,7 +212,7 @@ def fold_violations(index: DataFrame, folds: DataFrame, horizon: int, strict: bo
         F.coalesce(overlap, embargo).alias("message"),
     ).where(F.col("message").isNotNull())
     if strict:
-        faults = faults.where(F.raise_error("message").cast("boolean"))
+        faults = faults.where(F.raise_error(F.col("message")).cast("boolean"))
     return faults
 
 

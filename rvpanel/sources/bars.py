@@ -63,19 +63,28 @@ def in_basket(df: DataFrame, symbols: DataFrame, targets_only: bool = False) ->
 def read_bars(spark: SparkSession, path: str, source: str = "parquet", **options: str) -> DataFrame:
     """Landed vendor files as bars, NaN as NULL.
 
-    Files with the columns of ``BARS`` are read under that schema.  Parquet files with
-    vendor column names are renamed by ``VENDOR_NAMES``.
+    Text files are read under the schema of ``BARS``.  Parquet files may have vendor
+    column names (``VENDOR_NAMES``); without a symbol column the file's name is the symbol,
+    as in a folder of one file per symbol.  Dates that pandas stored in nanoseconds need
+    ``spark.sql.legacy.parquet.nanosAsLong``.
     """
     reader = spark.read.options(**options)
     if source == "parquet":
-        return as_bars(reader.parquet(path))
+        landed = reader.parquet(path)
+        if not {"symbol", "Symbol", "Ticker"} & set(landed.columns):
+            name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+            landed = landed.withColumn("symbol", name)
+        return as_bars(landed)
     if source == "csv":
         reader = reader.option("header", options.get("header", "true"))
     return as_bars(reader.schema(BARS).format(source).load(path))
 
 
 def as_bars(df: DataFrame) -> DataFrame:
+    """Columns renamed, cast and cleaned to ``BARS``; columns that are not there are NULL."""
     renamed = df.withColumnsRenamed({k: v for k, v in VENDOR_NAMES.items() if k in df.columns})
+    if isinstance(renamed.schema["date"].dataType, T.LongType):
+        renamed = renamed.withColumn("date", F.timestamp_micros(F.expr("date div 1000")))
 
     def conform(f: T.StructField) -> Column:
         if f.name not in renamed.columns:

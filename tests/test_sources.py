@@ -48,7 +48,7 @@ def test_vendor_columns_and_nan(spark, tmp_path):
         {"Open": [1.0, np.nan], "High": 2.0, "Low": 0.5, "Close": 1.5, "Adj Close": [np.inf, 1.4], "Volume": [10, 20]}
     )
     pdf.insert(0, "Ticker", "AAPL")
-    pdf.insert(1, "Date", pd.to_datetime(["2020-01-01", "2020-01-02"]))
+    pdf.insert(1, "Date", pd.to_datetime(["2020-01-01", "2020-01-02"]).astype("datetime64[us]"))
     path = str(tmp_path / "landing.parquet")
     pdf.to_parquet(path)
     got = ba.read_bars(spark, path)
@@ -57,6 +57,27 @@ def test_vendor_columns_and_nan(spark, tmp_path):
     assert a.adj_close is None and b.open is None and b.adj_close == 1.4 and a.date == dt.date(2020, 1, 1)
 
 
+def test_one_file_per_symbol_with_a_date_index(spark, tmp_path):
+    for name in ("AAPL", "MSFT"):
+        index = pd.date_range("2020-01-01", periods=3, tz="America/New_York", name="date").astype(
+            "datetime64[ns, America/New_York]"
+        )
+        pd.DataFrame({"Adj Close": [1.0, np.nan, 3.0], "Volume": [1, 2, 3]}, index=index).to_parquet(
+            tmp_path / f"{name}.parquet"
+        )
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    try:
+        rows = ba.read_bars(spark, str(tmp_path)).orderBy("symbol", "date").collect()
+    finally:
+        spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
+    assert [(r.symbol, str(r.date), r.adj_close, r.volume) for r in rows[:3]] == [
+        ("AAPL", "2020-01-01", 1.0, 1),
+        ("AAPL", "2020-01-02", None, 2),
+        ("AAPL", "2020-01-03", 3.0, 3),
+    ]
+    assert len(rows) == 6 and rows[3].symbol == "MSFT"
+
+
 @pytest.mark.parametrize("source", ["csv", "json"])
 def test_text_sources_use_the_declared_schema(spark, tmp_path, source):
     path = str(tmp_path / source)

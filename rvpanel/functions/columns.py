@@ -45,32 +45,26 @@ def rolling_std(value: Column | str, rows: int, w: WindowSpec, first: int, last:
     return F.when(F.count(value).over(frame) == rows, F.stddev_samp(value).over(frame))
 
 
-def rmse(actual: Column | str, pred: Column | str) -> Column:
-    diff = _col(actual) - _col(pred)
-    return F.sqrt(F.avg(diff * diff))
+def rmse(actual: str, pred: str) -> Column:
+    return F.expr(f"sqrt(avg(({actual} - {pred}) * ({actual} - {pred})))")
 
 
-def mae(actual: Column | str, pred: Column | str) -> Column:
-    return F.avg(F.abs(_col(actual) - _col(pred)))
+def mae(actual: str, pred: str) -> Column:
+    return F.expr(f"avg(abs({actual} - {pred}))")
 
 
-def bad_volatility(actual: Column | str, pred: Column | str) -> Column:
+def bad_volatility(actual: str, pred: str) -> Column:
     """Aggregate: number of rows QLIKE is undefined for (a non-positive side)."""
-    return F.count_if((_col(actual) <= 0) | (_col(pred) <= 0))
+    return F.expr(f"count_if({actual} <= 0 OR {pred} <= 0)")
 
 
-def qlike(actual: Column | str, pred: Column | str, strict: bool = False) -> Column:
+def qlike(actual: str, pred: str, strict: bool = False) -> Column:
     """Aggregate ``avg(q - ln q - 1)`` with ``q = (actual / pred)^2``.
 
     One non-positive volatility makes the group's QLIKE NULL, or an error with
     ``strict``.  Without this guard such rows would vanish, as ``ln(0)`` is NULL.
     """
-    ratio = F.try_divide(_col(actual), _col(pred))
-    q = ratio * ratio
-    loss = F.avg(q - F.ln(q) - F.lit(1.0))
-    bad = bad_volatility(actual, pred) > 0
-    if strict:
-        return F.when(
-            bad, F.raise_error(F.lit("QLIKE requires strictly positive volatilities")).cast("double")
-        ).otherwise(loss)
-    return F.when(~bad, loss)
+    q = f"pow(try_divide({actual}, {pred}), 2)"
+    bad = f"count_if({actual} <= 0 OR {pred} <= 0) > 0"
+    fault = "double(raise_error('QLIKE requires strictly positive volatilities'))" if strict else "NULL"
+    return F.expr(f"CASE WHEN {bad} THEN {fault} ELSE avg({q} - ln({q}) - 1D) END")

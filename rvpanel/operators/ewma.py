@@ -12,21 +12,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rvpanel.functions import annualized
-from rvpanel.operators.layout import (
-    BLOCK_ROWS,
-    block_table,
-    block_window,
-    blocks,
-    is_own,
-    join_blocks,
-    number,
-    own_rows,
-    public,
-)
+from rvpanel.functions import TRADING_DAYS
+from rvpanel.operators.layout import BLOCK_ROWS, block_table, blocks, join_blocks, number, own_rows, public
 
 _SUMS = ["s1", "s2", "w1", "w2"]
 # -ln of the smallest positive double, and ln of the largest weight allowed in a block.
@@ -65,68 +55,54 @@ def with_ewma(
     d = decay(span)
     if d == 0:
         raise ValueError("span 1 weighs a single row: it has no variance")
-    offset = F.col("i") - F.col("_block") * F.lit(size)
-    x = F.when(is_own(), F.col(value))
-    present = x.isNotNull()
+    offset = f"(i - _block * {size}L)"
+    x = f"CASE WHEN _own = _block THEN {value} END"
+    terms = {"s1": "{x} * {w}", "s2": "{x} * {x} * {w}", "w1": "CASE WHEN {x} IS NOT NULL THEN {w} END"}
+    terms["w2"] = terms["w1"].replace("{w}", "{w} * {w}")
 
-    def power(exponent):
-        return F.pow(F.lit(d), exponent)
-
-    def sums(weight):
-        return {
-            "s1": x * weight,
-            "s2": x * x * weight,
-            "w1": F.when(present, weight),
-            "w2": F.when(present, weight * weight),
-        }
+    def weighted(name: str, weight: str, tail: str = "") -> str:
+        return f"coalesce(sum({terms[name].format(x=f'({x})', w=weight)}){tail}, 0D)"
 
     # State at each block's last row, then the fold of all blocks before a block.
+    at_end = f"pow({d!r}D, {size - 1} - {offset})"
     ends = block_table(
-        laid,
-        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(k) for k, c in sums(power(F.lit(size - 1) - offset)).items()],
-        F.count(x).alias("seen"),
+        laid, *[F.expr(weighted(k, at_end)).alias(k) for k in _SUMS], F.expr(f"count({x})").alias("seen")
     )
     look_back = math.ceil(_UNDERFLOW / -math.log(d) / size) + 1
-    by_symbol = Window.partitionBy("symbol").orderBy("_block")
-    earlier = F.collect_list(F.struct(*_SUMS)).over(by_symbol.rowsBetween(-look_back, -1))
     step = {"s1": d**size, "s2": d**size, "w1": d**size, "w2": d ** (2 * size)}
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in _SUMS])
-    folded = F.aggregate(
-        earlier, zero, lambda acc, b: F.struct(*[(acc[k] * F.lit(step[k]) + b[k]).alias(k) for k in _SUMS])
-    )
-    carry = ends.select(
+    zero = ", ".join(f"0D AS {k}" for k in _SUMS)
+    fold = ", ".join(f"acc.{k} * {step[k]!r}D + b.{k} AS {k}" for k in _SUMS)
+    by_symbol = "PARTITION BY symbol ORDER BY _block ROWS BETWEEN"
+    carry = ends.selectExpr(
         "symbol",
         "_block",
-        folded.alias("_carry"),
-        F.coalesce(F.sum("seen").over(by_symbol.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
-            "_seen_before"
-        ),
-    ).where(F.col("_block").isNotNull())
+        f"""aggregate(collect_list(struct({", ".join(_SUMS)})) OVER ({by_symbol} {look_back} PRECEDING AND 1 PRECEDING),
+              struct({zero}), (acc, b) -> struct({fold})) AS _carry""",
+        f"coalesce(sum(seen) OVER ({by_symbol} UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _seen_before",
+    ).where("_block IS NOT NULL")
     if per_symbol is not None:
         carry = carry.join(per_symbol, "symbol", "left")
 
-    so_far = block_window().rowsBetween(Window.unboundedPreceding, 0)
-    local = laid.withColumns(
-        {f"_{k}": F.coalesce(F.sum(c).over(so_far), F.lit(0.0)) for k, c in sums(power(-offset)).items()}
-    ).withColumn("_seen", F.count(x).over(so_far))
-    joined = join_blocks(local, carry)
-
-    age, aged = power(offset), power(offset + 1)
-    total = {k: F.col(f"_{k}") * age + F.col("_carry")[k] * aged for k in ["s1", "s2", "w1"]}
-    total["w2"] = F.col("_w2") * age * age + F.col("_carry")["w2"] * aged * aged
-    joined = joined.withColumns({f"_t_{k}": c for k, c in total.items()})
-    s1, s2, w1, w2 = (F.col(f"_t_{k}") for k in _SUMS)
-    mean = F.try_divide(s1, w1)
-    # One weight outweighs all others by more than a double can tell: no second value.
-    spread = F.when(w1 * w1 - w2 > w1 * w1 * _EPSILON, w1 * w1 - w2)
-    variance = (F.try_divide(s2, w1) - mean * mean) * F.try_divide(w1 * w1, spread)
-    # greatest() would turn a missing variance into 0.
-    vol = F.when(
-        (F.col("_seen") + F.col("_seen_before") >= 2) & variance.isNotNull(),
-        F.sqrt(F.greatest(variance, F.lit(0.0))),
+    so_far = " OVER (PARTITION BY symbol, _block ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    growing = f"pow({d!r}D, -{offset})"
+    local = laid.selectExpr(
+        "*", *[f"{weighted(k, growing, so_far)} AS _{k}" for k in _SUMS], f"count({x}){so_far} AS _seen"
+    )
+    age, aged = f"pow({d!r}D, {offset})", f"pow({d!r}D, {offset} + 1)"
+    kept = [*laid.columns, *([c for c in per_symbol.columns if c != "symbol"] if per_symbol is not None else [])]
+    sums = join_blocks(local, carry).selectExpr(
+        *kept,
+        *[f"_{k} * {age} + _carry.{k} * {aged} AS _t_{k}" for k in ("s1", "s2", "w1")],
+        f"_w2 * {age} * {age} + _carry.w2 * {aged} * {aged} AS _t_w2",
+        "_seen + _seen_before AS _seen",
     )
-    used = [f"_{k}" for k in _SUMS] + [f"_t_{k}" for k in _SUMS] + ["_seen", "_seen_before", "_carry"]
-    return joined.withColumn(alias, annualized(vol, annualize)).drop(*used)
+    # Where one weight outweighs all others by more than a double can tell, there is no
+    # second value and the volatility is missing.
+    variance = """greatest(_t_s2 / _t_w1 - (_t_s1 / _t_w1) * (_t_s1 / _t_w1), 0D)
+        * (_t_w1 * _t_w1) / (_t_w1 * _t_w1 - _t_w2)"""
+    usable = f"_seen >= 2 AND _t_w1 * _t_w1 - _t_w2 > _t_w1 * _t_w1 * {_EPSILON}D"
+    scale = f" * {math.sqrt(TRADING_DAYS)!r}D" if annualize else ""
+    return sums.selectExpr(*kept, f"CASE WHEN {usable} THEN sqrt({variance}){scale} END AS {alias}")
 
 
 def ewma_forecast(returns: DataFrame, span: float = 32.0, annualize: bool = True) -> DataFrame:

@@ -26,7 +26,9 @@ def log_returns(panel: DataFrame) -> DataFrame:
 def numbered_returns(panel: DataFrame) -> DataFrame:
     """The returns a symbol has, numbered: (symbol, date, px, r, i, n).  What evaluation
     starts from."""
-    return number_changes(panel.select("symbol", "date", "px"), "px", log_return, "r")
+    return number_changes(
+        panel.select("symbol", "date", "px"), "px", lambda p, q: f"ln(try_divide({p}, {q}))", "r"
+    )
 
 
 def realized_vol(returns: DataFrame, window: int, annualize: bool = True, alias: str = "rv") -> DataFrame:

@@ -16,12 +16,11 @@ CALENDAR = "*"
 
 
 def _sizes(df: DataFrame, n_splits: int, horizon: int, strict: bool) -> DataFrame:
-    size = F.expr(f"n div {n_splits + 1}L")
-    possible = (size > 0) & (F.col("n") - horizon - n_splits * size > 0)
+    size = f"n div {n_splits + 1}L"
+    possible = f"{size} > 0 AND n - {horizon}L - {n_splits}L * ({size}) > 0"
     if strict:
-        message = F.concat(F.lit("too few rows for the folds of "), F.col("symbol"))
-        possible = possible | F.raise_error(message).cast("boolean")
-    return df.where(possible).withColumn("_size", size)
+        possible = f"({possible}) OR boolean(raise_error('too few rows for the folds of ' || symbol))"
+    return df.where(possible).selectExpr("*", f"{size} AS _size")
 
 
 def fold_bounds(
@@ -61,15 +60,12 @@ def test_rows(
 ) -> DataFrame:
     """Rows of the test blocks with ``fold`` and ``train_end``.  Test blocks do not
     overlap, so no row is repeated and nothing is joined."""
-    first = F.col("n") - n_splits * F.col("_size")
-    fold = F.floor((F.col("i") - first) / F.col("_size")).cast("int")
     return (
         _sizes(numbered, n_splits, horizon, strict)
-        .where(F.col("i") >= first)
-        .withColumn("fold", fold)
-        .withColumn("train_end", F.col("n") - (F.lit(n_splits) - F.col("fold")) * F.col("_size") - horizon)
-        .where(F.col("train_end") >= min_train_size)
-        .drop("_size")
+        .where(f"i >= n - {n_splits}L * _size")
+        .selectExpr("*", f"int((i - (n - {n_splits}L * _size)) div _size) AS fold")
+        .selectExpr(*numbered.columns, "fold", f"n - ({n_splits}L - fold) * _size - {horizon}L AS train_end")
+        .where(f"train_end >= {min_train_size}L")
     )
 
 

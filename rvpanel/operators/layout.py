@@ -44,18 +44,14 @@ def group_table(rows: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     joined to.  Both then have the same shuffle below them and Spark runs it once
     (ReusedExchange) instead of computing the input a second time.
     """
-    fingerprint = F.max(F.hash(*[F.col(c) for c in rows.columns])).alias("_fingerprint")
-    return (
-        rows.groupBy(*keys).agg(*aggs, fingerprint).where(F.col("_fingerprint").isNotNull()).drop("_fingerprint")
-    )
+    fingerprint = F.expr(f"max(hash({', '.join(f'`{c}`' for c in rows.columns)}))").alias("_fingerprint")
+    return rows.groupBy(*keys).agg(*aggs, fingerprint).where("_fingerprint IS NOT NULL").drop("_fingerprint")
 
 
 def _clustered(df: DataFrame, keys: list[str]) -> DataFrame:
     # Joins add "key IS NOT NULL" to the side they can push it into; stating it for
     # every reader keeps the shuffles below alike, so that they are reused.
-    for key in keys:
-        df = df.where(F.col(key).isNotNull())
-    return df.repartition(*keys)
+    return df.where(" AND ".join(f"{key} IS NOT NULL" for key in keys)).repartition(*keys)
 
 
 def bucketed(df: DataFrame) -> DataFrame:
@@ -92,63 +88,65 @@ def number(df: DataFrame) -> DataFrame:
     if {"i", "n"} <= set(df.columns):
         return df
     rows = bucketed(df)
-    starts = _starts(group_table(rows, _BUCKET, F.count("*").alias("_count")))
-    rank = F.row_number().over(Window.partitionBy(*_BUCKET).orderBy("date"))
-    return (
-        rows.withColumn("_rank", rank)
-        .join(starts, _BUCKET)
-        .select(*rows.columns, (F.col("_start") + F.col("_rank") - 1).alias("i"), "n")
-    )
+    starts = _starts(group_table(rows, _BUCKET, F.expr("count(*)").alias("_count")))
+    ranked = rows.selectExpr("*", "row_number() OVER (PARTITION BY symbol, _bucket ORDER BY date) AS _rank")
+    return ranked.join(starts, _BUCKET).selectExpr(*rows.columns, "_start + _rank - 1L AS i", "n")
 
 
 def _starts(counts: DataFrame) -> DataFrame:
     """Bucket table (symbol, _bucket, _count) to each bucket's start and the symbol's total."""
-    symbol = Window.partitionBy("symbol")
-    before = symbol.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
+    others = [c for c in counts.columns if c not in (*_BUCKET, "_count")]
+    before = "PARTITION BY symbol ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return counts.selectExpr(
         *_BUCKET,
-        *[c for c in counts.columns if c not in (*_BUCKET, "_count")],
-        F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start"),
-        F.sum("_count").over(symbol).alias("n"),
+        *others,
+        f"coalesce(sum(_count) OVER ({before}), 0L) AS _start",
+        "sum(_count) OVER (PARTITION BY symbol) AS n",
     )
 
 
-def number_changes(df: DataFrame, value: str, change: Callable[[Column | str, Column], Column], alias: str) -> DataFrame:
+def number_changes(df: DataFrame, value: str, change: Callable[[str, str], str], alias: str) -> DataFrame:
     """``change(value, previous value)`` of consecutive rows, with the rows that have none
     left out and the rest numbered: ``with_previous``, a filter and ``number`` in one pass.
+    ``change`` turns two SQL names into an SQL expression.
     """
     rows = bucketed(df)
-    w = Window.partitionBy(*_BUCKET).orderBy("date")
-    local = rows.select("*", F.lag(value).over(w).alias("_lag"), F.row_number().over(w).alias("_rn"))
-    inner = F.count_if((F.col("_rn") > 1) & change(value, F.col("_lag")).isNotNull())
+    in_bucket = "PARTITION BY symbol, _bucket ORDER BY date"
+    local = rows.selectExpr(
+        "*", f"lag({value}) OVER ({in_bucket}) AS _lag", f"row_number() OVER ({in_bucket}) AS _rn"
+    )
     table = group_table(
-        local, _BUCKET, inner.alias("_inner"), F.min_by(value, "date").alias("_first"), F.max_by(value, "date").alias("_last")
+        local,
+        _BUCKET,
+        F.expr(f"count_if(_rn > 1 AND {change(value, '_lag')} IS NOT NULL)").alias("_inner"),
+        F.expr(f"min_by({value}, date)").alias("_first"),
+        F.expr(f"max_by({value}, date)").alias("_last"),
     )
-    carry = table.select(
-        *_BUCKET,
-        "_inner",
-        "_first",
-        F.lag("_last").over(Window.partitionBy("symbol").orderBy("_bucket")).alias("_carry"),
+    carried = table.selectExpr("*", "lag(_last) OVER (PARTITION BY symbol ORDER BY _bucket) AS _carry")
+    starts = _starts(
+        carried.selectExpr(*_BUCKET, "_carry", f"_inner + int({change('_first', '_carry')} IS NOT NULL) AS _count")
+    )
+    changed = local.join(starts, _BUCKET).selectExpr(
+        *rows.columns,
+        "_start",
+        "n",
+        f"CASE WHEN _rn = 1 THEN {change(value, '_carry')} ELSE {change(value, '_lag')} END AS {alias}",
     )
-    joins_up = change("_first", F.col("_carry")).isNotNull().cast("int")
-    starts = _starts(carry.select(*_BUCKET, "_carry", (F.col("_inner") + joins_up).alias("_count")))
-    previous = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag"))
-    changed = local.join(starts, _BUCKET).select(*rows.columns, "_start", "n", change(value, previous).alias(alias))
-    rank = F.count(alias).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = changed.withColumn("i", F.col("_start") + rank - 1).where(F.col(alias).isNotNull())
-    return numbered.drop("_start")
+    rank = f"count({alias}) OVER ({in_bucket} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    numbered = changed.selectExpr(*rows.columns, "n", alias, f"_start + {rank} - 1L AS i")
+    return numbered.where(f"{alias} IS NOT NULL")
 
 
 def blocks(numbered: DataFrame, before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
     """Give every block of ``size`` positions its own rows, plus the ``before`` rows
     ahead of it and the ``after`` rows behind it as copies."""
     size = size or BLOCK_ROWS
-    own = F.expr(f"i div {size}L")
-    first = F.expr(f"greatest(i - {after}L, 0L) div {size}L")
-    last = F.expr(f"least(i + {before}L, n - 1) div {size}L")
+    own = f"i div {size}L"
+    first = f"greatest(i - {after}L, 0L) div {size}L"
+    last = f"least(i + {before}L, n - 1L) div {size}L"
     kept = [c for c in numbered.columns if c != "_bucket"]
-    target = F.explode(F.sequence(first, last)) if before or after else own
-    return _clustered(numbered.select(*kept, own.alias("_own"), target.alias("_block")), _BLOCK)
+    target = f"explode(sequence({first}, {last}))" if before or after else own
+    return _clustered(numbered.selectExpr(*kept, f"{own} AS _own", f"{target} AS _block"), _BLOCK)
 
 
 def block_window() -> WindowSpec:

@@ -119,11 +119,10 @@ def long_metrics(metrics: DataFrame) -> DataFrame:
 def leaderboard(metrics: DataFrame) -> DataFrame:
     """Unweighted mean of the fold values per symbol and model; NULL if a fold's is."""
 
-    def mean(name: str) -> Column:
-        return F.when(F.count(name) == F.count("*"), F.avg(name)).alias(name)
-
     return metrics.groupBy("symbol", "model").agg(
-        *[mean(m) for m in METRICS], F.count("*").alias("n_folds"), F.sum("n_bad").alias("n_bad")
+        *[F.expr(f"CASE WHEN count({m}) = count(*) THEN avg({m}) END").alias(m) for m in METRICS],
+        F.expr("count(*)").alias("n_folds"),
+        F.expr("sum(n_bad)").alias("n_bad"),
     )
 
 

@@ -5,8 +5,8 @@ time is all that needs data; it splits over blocks of rows, because a block's va
 are ``own_t + beta^(t+1) * v_before``.  Two ways use the same search:
 
 * ``fit``: daily panels.  Dates are unique, so one symbol's returns are a few thousand
-  numbers (a DATE column cannot hold more than 3.7 million) and one task fits all folds
-  of a symbol.
+  numbers (a DATE column cannot hold more than 3.7 million) and one task fits one fold of
+  a symbol.
 * ``fit_by_rounds``: intraday series of any length.  Every search round is a Spark job
   over (symbol, block); only the search state, one row per symbol and fold, is shuffled.
 """
@@ -260,20 +260,26 @@ def garch_params(
 def fit(numbered: DataFrame, n_splits: int, horizon: int, min_train_size: int) -> DataFrame:
     columns = GARCH_PARAMS.names
 
-    def fit_symbol(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit_fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        r, n = np.concatenate(pdf["rs"].to_list()), int(pdf["n"].iloc[0])
-        size = n // (n_splits + 1)
-        rows = []
-        if size > 0 and n - horizon - n_splits * size > 0:
-            for fold in range(n_splits):
-                train_end = n - (n_splits - fold) * size - horizon
-                found = fit_series(r[:train_end]) if train_end >= min_train_size else None
-                if found:
-                    rows.append({"symbol": key[0], "fold": fold, "n_obs": train_end, **found})
+        train_end = int(pdf["train_end"].iloc[0])
+        found = fit_series(np.concatenate(pdf["rs"].to_list())[:train_end])
+        rows = [{"symbol": key[0], "fold": key[1], "n_obs": train_end, **found}] if found else []
         return pd.DataFrame(rows, columns=columns)
 
-    return packed_blocks(numbered).groupBy("symbol").applyInPandas(fit_symbol, GARCH_PARAMS)
+    size = f"(n div {n_splits + 1}L)"
+    per_fold = (
+        packed_blocks(numbered)
+        .where(f"{size} > 0 AND n - {horizon}L - {n_splits}L * {size} > 0")
+        .selectExpr("*", f"explode(sequence(0, {n_splits - 1})) AS fold")
+        .selectExpr("symbol", "fold", "block", "rs", f"n - ({n_splits}L - fold) * {size} - {horizon}L AS train_end")
+        .where(f"train_end >= {min_train_size}L AND block * {BLOCK_ROWS}L < train_end")
+    )
+    # A fit costs far more time than its bytes suggest, so the number of tasks is given and
+    # adaptive execution does not merge them.
+    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = per_fold.repartition(tasks, "symbol", "fold")
+    return spread.groupBy("symbol", "fold").applyInPandas(fit_fold, GARCH_PARAMS)
 
 
 _STATE = T.StructType(

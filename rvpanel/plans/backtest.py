@@ -158,10 +158,12 @@ def combine(*boards: DataFrame) -> DataFrame:
 
 def relative_gain(board: DataFrame, baseline: str = "ewma") -> DataFrame:
     """Per cent by which each model's metric is below the baseline's (positive: better)."""
-    long = long_metrics(board.select("symbol", "model", *METRICS))
-    base = long.where(F.col("model") == baseline).select("symbol", "metric", F.col("value").alias("baseline"))
-    gain = F.lit(100.0) * (F.lit(1.0) - F.try_divide("value", F.col("baseline")))
-    return long.join(base, ["symbol", "metric"]).withColumn("gain_pct", gain)
+    # A leaderboard has a row per model: the baseline is looked up inside that small group,
+    # which leaves the board computed once.
+    base = f"max(CASE WHEN model = '{baseline}' THEN value END) OVER (PARTITION BY symbol, metric) AS baseline"
+    long = long_metrics(board.select("symbol", "model", *METRICS)).selectExpr("*", base)
+    gain = "100D * (1D - try_divide(value, baseline)) AS gain_pct"
+    return long.where("baseline IS NOT NULL").selectExpr("*", gain)
 
 
 def side_by_side(forecasts: DataFrame, models: Sequence[str]) -> DataFrame:

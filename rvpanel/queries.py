@@ -7,6 +7,7 @@ from ``events``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ from rvpanel.plans.learned import evaluate_learned
 from rvpanel.plans.runs import best_run
 from rvpanel.schema import FEATURES
 from rvpanel.sources import bars as ba
-from rvpanel.sources.store import shared_folder
+from rvpanel.sources.store import materialize, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +83,7 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_bars(spark: SparkSession, sf_dir: str, interval: str = "1 hour") -> DataFrame:
-    return ba.build_bars(event_ticks(spark, sf_dir), interval, order=("ts", "event_id"))
+    return ba.build_bars(event_ticks(spark, sf_dir), interval, tie="event_id")
 
 
 def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +320,7 @@ def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cached_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the bars of all symbols to the cache, then scans one symbol's column."""
-    path = f"{shared_folder(spark)}/rvpanel-bars"
+    path = f"{shared_folder(spark)}/rvpanel-bars-{uuid.uuid4().hex}"
     bars = ba.as_bars(vwap_daily(spark, sf_dir).withColumnRenamed("px", "adj_close"))
     ba.write_bars(bars, path)
     return ba.read_series(spark, path, "AF")
@@ -571,7 +572,7 @@ def calendar_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fold_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold table with faults: fold f trains up to f rows before its first test row."""
-    returns = _returns(spark, sf_dir)
+    returns = materialize(_returns(spark, sf_dir).select("symbol", "date", "i", "n"))
     faulty = fo.fold_bounds(returns).withColumn("train_end", F.col("test_start") - F.col("fold") + 1)
     return fo.fold_violations(returns, fo.fold_dates(returns, faulty), horizon=3)
 
@@ -646,7 +647,7 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = number(fe.build_features(vwap_daily(spark, sf_dir)))
+    numbered = number(materialize(fe.build_features(vwap_daily(spark, sf_dir))))
     scaled = apply_scaler(fo.test_rows(numbered), fit_scaler(numbered))
     return _round(scaled, 6, *FEATURES, "rv_target").select("symbol", "date", "fold", *FEATURES, "rv_target")
 

@@ -95,13 +95,18 @@ def as_bars(df: DataFrame) -> DataFrame:
     return renamed.select(*[conform(f) for f in BARS])
 
 
-def build_bars(ticks: DataFrame, interval: str = "1 day", order: Iterable[str] = ("ts",)) -> DataFrame:
+def build_bars(ticks: DataFrame, interval: str = "1 day", tie: str | None = None) -> DataFrame:
     """Ticks (symbol, ts, px, ...) to one open/high/low/close/volume bar per interval.
 
     Ticks are combined before the shuffle, so a hot symbol costs no more than its bars.
-    ``order`` names the columns that order ticks; its last ones break ties of ``ts``.
+    ``tie`` names an integer column that orders ticks of the same instant.
     """
-    at = F.struct(*order)
+    # One fixed-width number orders the ticks: a struct would make Spark sort all of them
+    # (SortAggregate) where this keeps a hash aggregation.
+    at = F.col("ts")
+    if tie:
+        micros = "CAST(unix_micros(CAST(ts AS TIMESTAMP)) AS DECIMAL(18, 0))"
+        at = F.expr(f"{micros} * CAST(2e19 AS DECIMAL(20, 0)) + CAST({tie} AS DECIMAL(19, 0))")
     bars = ticks.groupBy("symbol", F.window("ts", interval).alias("_w")).agg(
         F.min_by("px", at).alias("open"),
         F.max("px").alias("high"),

@@ -92,8 +92,10 @@ def test_bars_from_ticks(spark):
     day = dt.datetime(2024, 1, 1)
     ticks = [("A", day.replace(hour=h), i, p) for h, i, p in [(9, 1, 10.0), (9, 0, 11.0), (12, 2, 8.0), (15, 3, 9.0)]]
     df = spark.createDataFrame(ticks, "symbol string, ts timestamp_ntz, id int, px double").repartition(3)
-    bar = ba.build_bars(df, order=("ts", "id")).first()
+    bar = ba.build_bars(df, tie="id").first()
     assert (bar.open, bar.high, bar.low, bar.close, bar.volume) == (11.0, 11.0, 8.0, 9.0, 4)
+    for bars in (ba.build_bars(df, tie="id"), ba.build_bars(df, "1 hour")):
+        assert "SortAggregate" not in bars._jdf.queryExecution().executedPlan().toString()
 
 
 def test_cache_replaces_only_arriving_symbols(spark, tmp_path):

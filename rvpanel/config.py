@@ -30,12 +30,13 @@ class ModelConfig:
 @dataclass
 class TrainConfig:
     """``max_iter`` boosting rounds at most; boosting stops once the validation error no
-    longer falls by ``tolerance``."""
+    longer falls by ``tolerance``.  ``parallelism`` folds are fitted at a time."""
 
     max_iter: int = 20
     step_size: float = 0.1
     tolerance: float = 0.01
     seed: int = 42
+    parallelism: int = 5
 
 
 @dataclass

@@ -383,49 +383,71 @@ def _advance_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=_STATE.names)
 
 
+def _states(packed: DataFrame, bounds: DataFrame, phase: str, phi: list[float]) -> DataFrame:
+    """Search state of each (symbol, fold, train_end): moments and backcast of the train
+    rows, added up from blocks, and a starting point."""
+    offset = f"int(greatest(block * {BLOCK_ROWS}L - first, 0L)) + 1"
+    length = f"int(least({BLOCK_ROWS}L, train_end - block * {BLOCK_ROWS}L))"
+    own = f"slice(rs, {offset}, {length})"
+    total = "aggregate(rs, 0D, (a, x) -> a + x)"
+    train = _on_blocks(packed, bounds).selectExpr("symbol", "fold", "train_end", f"{own} AS rs")
+    means = train.groupBy("symbol", "fold", "train_end").agg(F.expr(f"sum({total}) / train_end").alias("mean"))
+
+    weight = f"pow({BACKCAST_DECAY}D, k)"
+    squares = f"transform({own}, x -> (x - mean) * (x - mean))"
+    head = f"slice(sq, 1, {BACKCAST_ROWS})"
+    backcast = f"""aggregate(transform({head}, (x, k) -> x * {weight}), 0D, (a, x) -> a + x)
+        / aggregate(transform({head}, (x, k) -> {weight}), 0D, (a, x) -> a + x)"""
+    second = _on_blocks(packed, means).selectExpr("symbol", "fold", "train_end", "mean", "block", f"{squares} AS sq")
+    fresh = new_search()
+    zero = F.array(*[F.lit(0.0)] * 4)
+    return (
+        second.groupBy("symbol", "fold", "train_end", "mean")
+        .agg(
+            F.expr("sum(aggregate(sq, 0D, (a, x) -> a + x)) / train_end").alias("variance"),
+            F.expr(f"max(CASE WHEN block = 0 THEN {backcast} END)").alias("backcast"),
+        )
+        .where("variance > 0")
+        .withColumns(
+            {
+                "phase": F.lit(phase),
+                "phi": F.array(*[F.lit(float(x)) for x in phi]),
+                "direction": zero,
+                "ll": F.lit(fresh["ll"]),
+                "start_ll": F.lit(fresh["start_ll"]),
+            }
+        )
+        .select(*_STATE.names)
+    )
+
+
+def _fitted(states: DataFrame, packed: DataFrame) -> DataFrame:
+    """Parameters, last residual and variance, and likelihood at each state's point."""
+    final = states.withColumn("phase", F.lit("done"))
+    persistence, share = "(1D / (1D + exp(-phi[2])))", "(1D / (1D + exp(-phi[3])))"
+    return final.join(_likelihoods(packed, final), ["symbol", "fold"]).selectExpr(
+        "symbol",
+        "fold",
+        "train_end AS n_obs",
+        "mean + phi[0] * sqrt(variance) AS mu",
+        "variance * exp(phi[1]) AS omega",
+        f"{persistence} * {share} AS alpha",
+        f"{persistence} * (1D - {share}) AS beta",
+        "last_sq AS last_resid_sq",
+        "last_v AS last_variance",
+        "lls[0] AS log_likelihood",
+        "start_ll AS start_log_likelihood",
+    )
+
+
 def fit_by_rounds(numbered: DataFrame, n_splits: int, horizon: int, min_train_size: int) -> DataFrame:
     """Fit series of any length.  Runs jobs: one per search round, each reading the packed
     blocks from the shared folder, until every search has ended."""
     packed = materialize(packed_blocks(numbered, before=1))
     counts = packed.groupBy("symbol").agg(F.max("n").alias("n"))
     bounds = bounds_of_counts(counts, n_splits, horizon, min_train_size).select("symbol", "fold", "train_end")
-
-    offset = F.greatest(F.col("block") * BLOCK_ROWS - F.col("first"), F.lit(0)).cast("int")
-    keep = F.least(F.lit(BLOCK_ROWS), F.col("train_end") - F.col("block") * BLOCK_ROWS).cast("int")
-    train = _on_blocks(packed, bounds).select("symbol", "fold", "train_end", "block", F.slice("rs", offset + 1, keep).alias("rs"))
-    total = F.aggregate("rs", F.lit(0.0), lambda a, x: a + x)
-    means = train.groupBy("symbol", "fold", "train_end").agg((F.sum(total) / F.col("train_end")).alias("mean"))
-    centred = _on_blocks(packed, means).withColumn("rs", F.slice("rs", offset + 1, keep))
-    squares = F.transform("rs", lambda x: (x - F.col("mean")) * (x - F.col("mean")))
-    head = F.slice(squares, 1, BACKCAST_ROWS)
-    weighted = F.aggregate(
-        F.transform(head, lambda x, k: x * F.pow(F.lit(BACKCAST_DECAY), k)), F.lit(0.0), lambda a, x: a + x
-    )
-    weights = F.aggregate(
-        F.transform(head, lambda x, k: F.pow(F.lit(BACKCAST_DECAY), k)), F.lit(0.0), lambda a, x: a + x
-    )
-    second = centred.select(
-        "symbol",
-        "fold",
-        "train_end",
-        "mean",
-        F.aggregate(squares, F.lit(0.0), lambda a, x: a + x).alias("_sq"),
-        F.when(F.col("block") == 0, weighted / weights).alias("_backcast"),
-    )
     fresh = new_search()
-    zero = F.array(*[F.lit(0.0)] * 4)
-    states = (
-        second.groupBy("symbol", "fold", "train_end", "mean")
-        .agg((F.sum("_sq") / F.col("train_end")).alias("variance"), F.max("_backcast").alias("backcast"))
-        .where(F.col("variance") > 0)
-        .withColumn("phase", F.lit(fresh["phase"]))
-        .withColumn("phi", zero)
-        .withColumn("direction", zero)
-        .withColumn("ll", F.lit(fresh["ll"]))
-        .withColumn("start_ll", F.lit(fresh["start_ll"]))
-        .select(*_STATE.names)
-    )
-    states = materialize(states)
+    states = materialize(_states(packed, bounds, fresh["phase"], fresh["phi"]))
     for _ in range(_MAX_ROUNDS):
         open_ones = states.where(F.col("phase") != "done")
         if open_ones.isEmpty():
@@ -433,23 +455,17 @@ def fit_by_rounds(numbered: DataFrame, n_splits: int, horizon: int, min_train_si
         scored = open_ones.join(_likelihoods(packed, open_ones), ["symbol", "fold"])
         moved = scored.select(*_STATE.names, "lls").mapInPandas(_advance_states, _STATE)
         states = materialize(states.where(F.col("phase") == "done").unionByName(moved))
-    ended = states.withColumn("phase", F.lit("done"))
-    final = ended.join(_likelihoods(packed, ended), ["symbol", "fold"])
-    persistence = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("phi")[2]))
-    share = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("phi")[3]))
-    return final.select(
-        "symbol",
-        "fold",
-        F.col("train_end").alias("n_obs"),
-        (F.col("mean") + F.col("phi")[0] * F.sqrt("variance")).alias("mu"),
-        (F.col("variance") * F.exp(F.col("phi")[1])).alias("omega"),
-        (persistence * share).alias("alpha"),
-        (persistence * (F.lit(1.0) - share)).alias("beta"),
-        F.col("last_sq").alias("last_resid_sq"),
-        F.col("last_v").alias("last_variance"),
-        F.col("lls")[0].alias("log_likelihood"),
-        F.col("start_ll").alias("start_log_likelihood"),
-    )
+    return _fitted(states, packed)
+
+
+def garch_likelihood(numbered: DataFrame, alpha: float, beta: float, omega_share: float) -> DataFrame:
+    """Log-likelihood of each symbol's whole series at its mean, ``alpha``, ``beta`` and
+    ``omega = omega_share * variance``; evaluated block by block, for any length."""
+    packed = materialize(packed_blocks(numbered, before=1))
+    whole = packed.groupBy("symbol").agg(F.max("n").alias("train_end")).withColumn("fold", F.lit(0))
+    point = [0.0, math.log(omega_share), _logit(alpha + beta), _logit(alpha / (alpha + beta))]
+    states = _states(packed, whole, "done", point)
+    return _fitted(states, packed).select("symbol", "n_obs", "log_likelihood", "last_variance")
 
 
 def horizon_volatility(horizon: int, annualize: bool = True) -> Column:

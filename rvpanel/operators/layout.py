@@ -82,10 +82,16 @@ def with_previous(df: DataFrame, column: str, alias: str) -> DataFrame:
     return local.join(carry, _BUCKET).select(*rows.columns, value.alias(alias))
 
 
+def is_numbered(df: DataFrame) -> bool:
+    return {"i", "n"} <= set(df.columns)
+
+
 def number(df: DataFrame) -> DataFrame:
     """Add ``i``, the 0-based position in the symbol, and ``n``, the symbol's row count.
-    Rows that carry both already are left as they are."""
-    if {"i", "n"} <= set(df.columns):
+
+    A frame that has both columns is taken to be numbered; drop them after filtering it.
+    """
+    if is_numbered(df):
         return df
     rows = bucketed(df)
     starts = _starts(group_table(rows, _BUCKET, F.expr("count(*)").alias("_count")))

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -146,24 +148,28 @@ def learned_forecasts(
     """
     check_val_frac(config.eval.val_frac)
     windows = stored_windows(panel, config, mode)
-    results = []
-    for fold in range(config.eval.n_splits) if folds is None else folds:
+
+    def one_fold(fold: int) -> DataFrame | None:
         train_end, test_start, test_end = _fold_ends(fold, config)
         mine = windows.where((test_end > test_start) & (train_end >= config.eval.min_train_size))
         fitted = fit_windows(mine, inner_train_end(train_end, config.eval.val_frac), train_end, config)
         if fitted is None:
-            continue
+            return None
         tested = predict(fitted[0], mine.where(_window_in(test_start, test_end)), fitted[1])
-        results.append(
-            tested.select(
-                "symbol",
-                "date",
-                F.lit(fold).alias("fold"),
-                F.lit("learned").alias("model"),
-                F.col(TARGET).alias("actual"),
-                "pred",
-            )
+        return tested.select(
+            "symbol",
+            "date",
+            F.lit(fold).alias("fold"),
+            F.lit("learned").alias("model"),
+            F.col(TARGET).alias("actual"),
+            "pred",
         )
+
+    # Folds are independent: their jobs are submitted side by side and share the cluster.
+    chosen = list(range(config.eval.n_splits) if folds is None else folds)
+    with ThreadPool(max(1, min(len(chosen), config.train.parallelism))) as pool:
+        found = pool.map(inheritable_thread_target(panel.sparkSession)(one_fold), chosen)
+    results = [r for r in found if r is not None]
     if not results:
         raise ValueError("no fold has enough rows to train on")
     return reduce(DataFrame.unionByName, results)

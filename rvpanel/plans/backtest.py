@@ -15,6 +15,7 @@ from rvpanel.operators.layout import (
     BLOCK_ROWS,
     block_window,
     blocks,
+    is_numbered,
     join_symbols,
     number,
     own_rows,
@@ -40,11 +41,13 @@ def baseline_forecasts(
     Target, naive and EWMA do not depend on the fold, so they are computed once on the
     whole series.  GARCH is fitted on the fold's train rows and is constant over its test
     rows; naive and EWMA use all rows up to the forecast date.
+
+    ``returns`` is (symbol, date, r), or ``numbered_returns``, whose rows are not numbered again.
     """
     unknown = set(models) - set(BASELINES)
     if unknown:
         raise ValueError(f"unknown baseline models: {sorted(unknown)}")
-    numbered = number(returns.where(F.col("r").isNotNull()))
+    numbered = returns if is_numbered(returns) else number(returns.where(F.col("r").isNotNull()))
     size = block_rows(ewma_span) if "ewma" in models else BLOCK_ROWS
     w = block_window()
 

@@ -62,19 +62,14 @@ def vwap_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vwap_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per supplier nation.  Line items are summed per supplier and day before the join, so
-    the join sees sums rather than line items."""
-    daily = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
-        .agg(F.sum(_cents("l_extendedprice")).alias("_cents"), F.sum("l_quantity").alias("_quantity"))
-    )
+    """Per supplier nation.  Line items meet their supplier first: a supplier has too few of
+    them per day for summing beforehand to shrink anything."""
     suppliers = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("symbol")
     )
-    return daily.join(suppliers, "l_suppkey").groupBy("symbol", "date").agg(
-        (F.sum("_cents") / 100 / F.sum("_quantity")).alias("px")
-    )
+    px = (F.sum(_cents("l_extendedprice")) / 100 / F.sum("l_quantity")).alias("px")
+    items = table(spark, sf_dir, "lineitem").join(suppliers, "l_suppkey")
+    return items.groupBy("symbol", F.to_date("l_shipdate").alias("date")).agg(px)
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -837,6 +832,34 @@ def garch_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ga.garch_forecast(given, 5), 6, "pred")
 
 
+@_query(
+    "garch_likelihood",
+    _with(
+        _PANEL,
+        _RET,
+        _IDX,
+        "moments AS (SELECT symbol, avg(r * 100) AS mu, var_pop(r * 100) AS v FROM idx GROUP BY 1)",
+        """res AS (SELECT symbol, i, n, v, pow(r * 100 - mu, 2) AS e2,
+          lag(pow(r * 100 - mu, 2)) OVER (PARTITION BY symbol ORDER BY date) AS e2_before
+          FROM idx JOIN moments USING (symbol))""",
+        """start_ AS (SELECT symbol, sum(pow(0.94::DOUBLE, i) * e2) / sum(pow(0.94::DOUBLE, i)) AS bc
+          FROM res WHERE i < 75 GROUP BY 1)""",
+        """inputs AS (SELECT symbol, i, e2, bc, 0.02::DOUBLE * v + 0.08::DOUBLE * coalesce(e2_before, bc) AS u
+          FROM res JOIN start_ USING (symbol))""",
+        """path AS (SELECT t.symbol, t.i, t.e2, sum(pow(0.9::DOUBLE, t.i - s.i) * s.u) + pow(0.9::DOUBLE, t.i + 1) * t.bc AS var_t
+          FROM inputs t JOIN inputs s ON s.symbol = t.symbol AND s.i <= t.i GROUP BY t.symbol, t.i, t.e2, t.bc)""",
+        select="""SELECT symbol, count(*) AS n_obs,
+          round(-0.5::DOUBLE * sum(ln(2 * pi()) + ln(var_t) + e2 / var_t), 4) + 0.0 AS log_likelihood,
+          round(max(var_t) FILTER (WHERE i = n_last), 4) + 0.0 AS last_variance
+          FROM path JOIN (SELECT symbol, max(i) AS n_last FROM path GROUP BY 1) USING (symbol) GROUP BY 1""",
+    ),
+)
+def garch_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of given parameters over each whole series, block by block."""
+    scored = ga.garch_likelihood(_returns(spark, sf_dir), alpha=0.08, beta=0.9, omega_share=0.02)
+    return _round(scored, 4, "log_likelihood", "last_variance")
+
+
 @_query("garch_params")
 def garch_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ga.garch_params(_returns(spark, sf_dir))

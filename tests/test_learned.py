@@ -73,6 +73,29 @@ def test_linear_beats_the_mean_on_clustered_returns(spark, panel):
     assert np.corrcoef(got.actual, got.pred)[0, 1] > 0.2
 
 
+def test_linear_forecasts_are_least_squares(spark, panel):
+    """Fold 1 of one symbol rebuilt with numpy from the definitions."""
+    config = _config()
+    one = panel.where("symbol = 'A'")
+    got = le.learned_forecasts(one, config, mode="rows", folds=[1]).toPandas().sort_values("date")
+    feats = build_features(one).toPandas().sort_values("date").reset_index(drop=True)
+    x, y, n = feats[le.FEATURES].to_numpy(), feats[le.TARGET].to_numpy(), len(feats)
+    size = n // 4
+    start = n - 2 * size
+    train_end = start - 5
+    inner = train_end - int(train_end * 0.2)
+    scaled = (x - x[:inner].mean(axis=0)) / x[:inner].std(axis=0)
+
+    def windows(lo, hi):
+        return np.array([scaled[k - 9 : k + 1].ravel() for k in range(lo + 9, hi)])
+
+    design = np.column_stack([np.ones(inner - 9), windows(0, inner)])
+    beta = np.linalg.lstsq(design, y[9:inner], rcond=None)[0]
+    test = np.column_stack([np.ones(size - 9), windows(start, start + size)])
+    assert np.allclose(got.actual, y[start + 9 : start + size])
+    assert np.allclose(got.pred, test @ beta, rtol=1e-3, atol=1e-4)
+
+
 def test_test_rows_do_not_leak_into_the_fit(spark, panel):
     config = _config()
     late = F.lit("2016-06-01").cast("date")

@@ -52,10 +52,11 @@ def naive_forecast(returns: DataFrame, horizon: int, annualize: bool = True) ->
     return realized_vol(returns, horizon, annualize, alias="pred")
 
 
-def shift(df: DataFrame, column: str, rows: int, alias: str) -> DataFrame:
-    """Value of ``column`` from ``rows`` rows earlier (later if negative) in the symbol."""
-    laid = blocks(number(df), before=max(rows, 0), after=max(-rows, 0))
-    return _finish(laid.withColumn(alias, F.lag(column, rows).over(block_window())))
+def shift(df: DataFrame, column: str, **rows: int) -> DataFrame:
+    """Values of ``column`` from other rows of the symbol: ``back=1`` adds a column ``back``
+    from one row earlier, ``ahead=-5`` one from five rows later."""
+    laid = blocks(number(df), before=max(0, *rows.values()), after=max(0, *(-k for k in rows.values())))
+    return _finish(laid.withColumns({alias: F.lag(column, k).over(block_window()) for alias, k in rows.items()}))
 
 
 def build_features(panel: DataFrame, horizon: int = 5, windows: Sequence[int] = (5, 20, 60)) -> DataFrame:

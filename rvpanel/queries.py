@@ -372,8 +372,7 @@ def row_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def shifted_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ahead = fe.shift(_returns(spark, sf_dir), "r", -5, "ahead")
-    both = fe.shift(ahead, "r", 1, "back")
+    both = fe.shift(_returns(spark, sf_dir), "r", ahead=-5, back=1)
     return _round(both, 6, "ahead", "back").select("symbol", "date", "ahead", "back")
 
 

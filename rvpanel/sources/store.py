@@ -7,16 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary one only where it is unset
-    (local tests)."""
-    folder = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(_CHECKPOINT_DIR)
+    """The folder the cluster names in ``spark.checkpoint.dir``.  Only where none is named
+    (local tests) a temporary one is set on the context."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-rvpanel-")
-        spark.conf.set(_CHECKPOINT_DIR, folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-rvpanel-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

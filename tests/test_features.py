@@ -91,7 +91,7 @@ def test_naive_is_the_rolling_vol(spark):
 @pytest.mark.parametrize("rows", [1, -5, 12])
 def test_shift(spark, tiny_groups, rows):
     pdf = random_returns(45)
-    got = series(fe.shift(frame(spark, pdf, RETURNS), "r", rows, "s"), "s")
+    got = series(fe.shift(frame(spark, pdf, RETURNS), "r", s=rows), "s")
     assert np.allclose(got, pdf.set_index("date").r.shift(rows), equal_nan=True)
 
 

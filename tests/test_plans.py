@@ -2,6 +2,7 @@
 
 import re
 
+import pandas as pd
 import pytest
 
 from rvpanel.operators import features as fe
@@ -19,14 +20,12 @@ def _final_plan(df):
 
 def _row_windows_by_symbol(plan):
     """Windows partitioned by symbol alone, other than those on the bucket or block table."""
-    specs = re.findall(r"windowspecdefinition\((symbol#\d+)(, [^,]*)?, ?specifiedwindowframe|windowspecdefinition\(([^)]*)\)", plan)
     found = []
     for spec in re.findall(r"windowspecdefinition\(([^()]*(?:\([^()]*\)[^()]*)*)\)", plan):
         keys = [k.strip() for k in spec.split(",") if "#" in k and "ASC" not in k]
         order = [k.strip() for k in spec.split(",") if "ASC" in k]
         if len(keys) == 1 and not all(re.match(r"_bucket#|_block#", o) for o in order):
             found.append(spec)
-    assert specs is not None
     return found
 
 
@@ -64,3 +63,27 @@ def test_panel_reads_only_its_columns(spark):
     plan = vwap_daily(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_returnflag:string" in plan
     assert "l_discount" not in plan
+
+
+def test_a_hot_symbol_is_spread_over_bounded_groups(spark, tiny_groups):
+    """One symbol holds most rows; no (symbol, bucket) or (symbol, block) group grows with it."""
+    from rvpanel.operators.layout import blocks, bucketed, number
+    from tests.helpers import PANEL, frame, random_prices
+
+    pdf = pd.concat([random_prices(700, "HOT"), random_prices(40, "A"), random_prices(30, "B")])
+    panel = frame(spark, pdf, PANEL)
+    buckets = bucketed(panel).groupBy("symbol", "_bucket").count()
+    assert buckets.agg({"count": "max"}).first()[0] <= 16
+    laid = blocks(number(panel), before=5, after=3)
+    groups = laid.groupBy("symbol", "_block").count()
+    assert groups.agg({"count": "max"}).first()[0] <= 8 + 5 + 3
+    assert groups.where("symbol = 'HOT'").count() == 88
+    assert laid.where("_own = _block").count() == len(pdf)
+
+
+def test_stored_tables_go_to_the_named_folder(spark):
+    from rvpanel.sources.store import materialize, shared_folder
+
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    stored = materialize(spark.range(7))
+    assert stored.count() == 7 and all(shared_folder(spark) in f for f in stored.inputFiles())

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rvpanel.llm import rans, transducer
+from rvpanel.llm import langid, mil_quality, rans, token_counts, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +30,23 @@ def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode_decode(docs, path, transducer.build_lexicon(docs, path))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_rans_tokens, op3_transducer_bpe)}
+def op2_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels outside the held-out third."""
+    found = mil_quality.rate_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from labelled rows outside the held-out quarter."""
+    found = langid.identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted through its pre-tokens."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op6_subword_langid, op10_pretoken_counts)
+LLM_QUERIES = {f.__name__: f for f in _ALL}
 LLM_ORACLES: dict[str, str] = {}

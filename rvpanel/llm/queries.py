@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rvpanel.llm import langid, mil_quality, rans, token_counts, transducer
+from rvpanel.llm import langid, license_index, mil_quality, rans, token_counts, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op2_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    return license_index.scan(_table(spark, sf_dir, "documents")).drop("places")
+
+
 def op6_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from labelled rows outside the held-out quarter."""
     found = langid.identify(_table(spark, sf_dir, "documents"))
@@ -47,6 +52,6 @@ def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op6_subword_langid, op10_pretoken_counts)
+_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op6_subword_langid, op10_pretoken_counts)
 LLM_QUERIES = {f.__name__: f for f in _ALL}
 LLM_ORACLES: dict[str, str] = {}

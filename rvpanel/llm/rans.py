@@ -177,18 +177,27 @@ def decode(payload: bytes, table: Table, only: list[int] | None = None) -> list[
     return out
 
 
+_MARKS = (b".", b",")
 _memos: dict[tuple, W.Memo] = {}
 
 
 def _encoder(path: str, dtype: str):
-    memo = _memos.setdefault((path, dtype), W.Memo())
+    memo, apart = _memos.setdefault((path, dtype), W.Memo()), W.letters_alone(path)
 
     def learn(lists):
         memo.room()
         fresh = W.missing(memo, lists)
-        for word, ids in zip(fresh, W.library_ids(path, fresh), strict=True):
+        # Letters with a mark behind are the letters' ids and the mark's.
+        marked = [w for w in fresh if apart and w[-1:] in _MARKS and w[:-1].isalpha()]
+        whole = set(fresh).difference(marked)
+        whole.update(b for b in {w[:-1] for w in marked} | {w[-1:] for w in marked} if b not in memo)
+        whole = list(whole)
+        for word, ids in zip(whole, W.plain_ids(path, whole), strict=True):
             raw = np.array(ids, dtype).tobytes()
             memo.put(word, raw, len(word) + len(raw))
+        for word in marked:
+            raw = memo[word[:-1]] + memo[word[-1:]]
+            memo.put(word, raw, len(word) + len(raw))
 
     return memo, learn
 
@@ -204,7 +213,7 @@ def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
         for batch in batches:
             out = []
             for _, texts in text_slices(batch):
-                lists = [t.split() if t else [] for t in texts]
+                lists = [W.folded(tokenizer_path, t).split() if t else [] for t in texts]
                 learn(lists)
                 out += [b"".join(map(memo.__getitem__, ws)) + end for ws in lists]
             yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "ids": pa.array(out, pa.binary())})

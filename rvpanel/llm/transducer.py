@@ -214,7 +214,7 @@ class _Coder:
             return
         ranks = self.lexicon.rank(fresh)
         unseen = [w for w, r in zip(fresh, ranks, strict=True) if r < 0]
-        merged = dict(zip(unseen, W.library_ids(self.path, unseen), strict=True))
+        merged = dict(zip(unseen, W.plain_ids(self.path, unseen), strict=True))
         for word, rank in zip(fresh, ranks.tolist(), strict=True):
             seq = self.lexicon.output(rank) if rank >= 0 else merged[word]
             if not seq:

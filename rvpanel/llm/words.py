@@ -8,11 +8,13 @@ runs it has seen; the library is asked once per distinct run.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from functools import lru_cache
 
 #: Bytes of words and outputs a memo may hold before it starts anew.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 112 << 20
 
 
 @lru_cache(maxsize=4)
@@ -27,6 +29,52 @@ def tokenizer(path: str):
     return found
 
 
+@lru_cache(maxsize=4)
+def letters_alone(path: str) -> bool:
+    """Whether lower-case composed letters reach the model unchanged and apart from all else:
+    the tokenizer composes, folds white space, lower-cases, and splits runs of letters."""
+    with open(path, encoding="utf-8") as f:
+        known = json.load(f)
+    steps = (known.get("normalizer") or {}).get("normalizers", [])
+    parts = (known.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = parts[0].get("pattern", {}).get("Regex", "") if parts else ""
+    byte_level = len(parts) == 2 and parts[1]["type"] == "ByteLevel" and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+    return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and r"|[\p{L}]+|" in split and byte_level
+
+
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """Characters by which byte-level models name bytes: printable ones themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def folded(path: str, text: bytes) -> bytes:
+    """A-Z in lower case where the tokenizer does so too and no special token is in the text."""
+    return text.lower() if letters_alone(path) and b"<|" not in text else text
+
+
+def plain_ids(path: str, words: list[bytes]) -> list[list[int]]:
+    """As :func:`library_ids`; words of lower-case letters go to the library's model directly."""
+    if not letters_alone(path):
+        return library_ids(path, words)
+    model, out, rest = tokenizer(path).model.tokenize, [], []
+    names = _byte_letters()
+    for w in words:
+        t = w.decode("utf-8", "replace")
+        if t.isalpha() and t.lower() == t and (t.isascii() or unicodedata.is_normalized("NFC", t)):
+            if not t.isascii():
+                t = "".join([names[b] for b in w])
+            out.append([x.id for x in model(t)])
+        else:
+            rest.append(len(out))
+            out.append([])
+    for i, ids in zip(rest, library_ids(path, [words[i] for i in rest]), strict=True):
+        out[i] = ids
+    return out
+
+
 def library_ids(path: str, words: list[bytes]) -> list[list[int]]:
     """Ids of each word by the library, in batches."""
     known, out = tokenizer(path), []

@@ -7,14 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.  Only where none is named
-    (local tests) a temporary one is set on the context."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A session in local mode that names none gets a temporary folder of its own; on a cluster a
+    machine's own folder would lose data, so there the setting is required.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-rvpanel-"))
-        folder = context.getCheckpointDir()
+        if not (context.master or "").startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-rvpanel-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
@@ -23,4 +29,13 @@ def materialize(df: DataFrame) -> DataFrame:
     instead of computing it again, also after an executor is lost."""
     path = f"{shared_folder(df.sparkSession)}/rvpanel-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` returned, when nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rvpanel.llm import langid, license_index, mil_quality, rans, tensor_minhash, token_counts, transducer
+from rvpanel.llm import langid, license_index, mil_quality, rans, suffix_dedup, tensor_minhash, token_counts, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_index.scan(_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from labelled rows outside the held-out quarter."""
     found = langid.identify(_table(spark, sf_dir, "documents"))
@@ -57,6 +62,6 @@ def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op6_subword_langid, op7_tensor_minhash, op10_pretoken_counts)
+_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op5_suffix_dedup, op6_subword_langid, op7_tensor_minhash, op10_pretoken_counts)
 LLM_QUERIES = {f.__name__: f for f in _ALL}
 LLM_ORACLES: dict[str, str] = {}

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rvpanel.llm import langid, license_index, mil_quality, rans, suffix_dedup, tensor_minhash, token_counts, transducer
+from rvpanel.llm import langid, latent_decontam, license_index, mil_quality, rans, suffix_dedup, tensor_minhash, token_counts, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,16 @@ def op7_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensor_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return latent_decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted through its pre-tokens."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op5_suffix_dedup, op6_subword_langid, op7_tensor_minhash, op10_pretoken_counts)
+_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op5_suffix_dedup, op6_subword_langid, op7_tensor_minhash, op8_latent_decontam, op10_pretoken_counts)
 LLM_QUERIES = {f.__name__: f for f in _ALL}
 LLM_ORACLES: dict[str, str] = {}

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rvpanel.llm import langid, latent_decontam, license_index, mil_quality, rans, suffix_dedup, tensor_minhash, token_counts, transducer
+from rvpanel.llm import langid, latent_decontam, license_index, mil_quality, rans, suffix_dedup, tensor_minhash, token_counts, topk, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,38 @@ def op8_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_blockmax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents by BM25 for every document whose id is divisible by 100, as a whole-text query."""
+    docs = _table(spark, sf_dir, "documents")
+    queries = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return topk.search(docs, queries, k=10)
+
+
 def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted through its pre-tokens."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op5_suffix_dedup, op6_subword_langid, op7_tensor_minhash, op8_latent_decontam, op10_pretoken_counts)
+_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op5_suffix_dedup, op6_subword_langid, op7_tensor_minhash, op8_latent_decontam, op9_blockmax_topk, op10_pretoken_counts)
 LLM_QUERIES = {f.__name__: f for f in _ALL}
-LLM_ORACLES: dict[str, str] = {}
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+LLM_ORACLES: dict[str, str] = {
+    "op9_blockmax_topk": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS mean FROM d),
+p AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS w FROM d),
+tf AS (SELECT doc_id, dl, w, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+x AS (
+  SELECT q.doc_id AS query_id, t.doc_id,
+         sum(floor(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / mean))) * 65536 + 0.5)) AS units
+  FROM (SELECT doc_id, w FROM tf WHERE doc_id % 100 = 0) q JOIN tf USING (w) JOIN df USING (w)
+       CROSS JOIN s CROSS JOIN LATERAL (SELECT tf.doc_id) t
+  GROUP BY ALL)
+SELECT * FROM (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank, doc_id, CAST(units AS DOUBLE) / 65536 AS score
+  FROM x) WHERE rank <= 10
+""",
+}

@@ -455,4 +455,4 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, text: str = "
     done = _cut(texts.join(runs, "class", "left").select("class", "bytes", "many", "runs"), length, texts_out)
     held = _class_of(docs, text, *keep).drop("bytes")
     out = held.join(done, "class").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts_out else []))
-    return out.withColumn("kept", F.decode("kept", F.lit("UTF-8"))).withColumnRenamed("kept", "kept_text") if texts_out else out
+    return out.withColumn("kept", F.decode("kept", "UTF-8")).withColumnRenamed("kept", "kept_text") if texts_out else out

@@ -60,6 +60,12 @@ class _Splitter:
     def __call__(self, part: str) -> list[str]:
         if not part:
             return []
+        # Letters are one pre-token with the space before them, and so is a mark behind them.
+        body = part[1:] if part[0] == " " else part
+        if body.isalpha():
+            return [part]
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return [part[:-1], part[-1]]
         if any(a in part for a in self.added):
             return [part]
         return [part[a:b] for _, (a, b) in self.split(part)]
@@ -121,7 +127,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     def run(batches):
         split, held = _Splitter(path), shipped.value
-        memos = {"": W.Memo(), " ": W.Memo()}
+        memos = {"": W.Memo(16 << 20), " ": W.Memo(64 << 20)}
         rare: dict[str, dict] = {"": {}, " ": {}}
         row = partition_id() << 33
 

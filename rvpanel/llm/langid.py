@@ -123,8 +123,9 @@ def _segments(docs: DataFrame, label: str, text: str, key: str) -> list[tuple[st
     return sorted((r["label"], r["seed"], [bytes(w) for w in r["words"]]) for r in found)
 
 
-def fit(segments: list[tuple[str, int, list[bytes]]], epochs: int = 4, rate: float = 2.0, seed: int = 7) -> Model | None:
-    """Train on segments; a fifth of the documents (by their hash) calibrates."""
+def fit(segments: list[tuple[str, int, list[bytes]]], steps: int = 500, rate: float = 2.0, seed: int = 7) -> Model | None:
+    """Train on segments, for ``steps`` batches of 64 and twice through them all at least; a fifth of the
+    documents (by their hash) calibrates."""
     if not segments:
         return None
     labels = sorted({s[0] for s in segments})
@@ -142,12 +143,13 @@ def fit(segments: list[tuple[str, int, list[bytes]]], epochs: int = 4, rate: flo
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(labels)), np.float32), np.zeros(len(labels), np.float32)
     train = np.flatnonzero(~calib)
-    steps, step = epochs * (len(train) // 64 + 1), 0
+    batches = len(train) // 64 + 1
+    epochs, step = max(2, -(-steps // batches)), 0
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(train), len(train) // 64 + 1):
+        for part in np.array_split(rng.permutation(train), batches):
             if not len(part):
                 continue
-            now = rate * (1 - step / steps)
+            now = rate * (1 - step / (epochs * batches))
             step += 1
             sizes = np.array([len(bags[i]) for i in part])
             ids = np.concatenate([bags[i] for i in part])

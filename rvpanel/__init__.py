@@ -1,6 +1,6 @@
 """Volatility analytics on panels of price series, as Spark DataFrame operators."""
 
-from rvpanel.config import Config
+from rvpanel.config import Settings, settings_from
 from rvpanel.operators.ewma import ewma_forecast
 from rvpanel.operators.features import (
     build_features,
@@ -22,7 +22,7 @@ from rvpanel.plans.runs import best_run, training_run
 from rvpanel.sources.bars import basket, build_bars, coverage, ingest_basket, price_panel, read_bars, read_series
 
 __all__ = [
-    "Config",
+    "Settings",
     "apply_scaler",
     "basket",
     "best_run",
@@ -55,6 +55,7 @@ __all__ = [
     "realized_vol_target",
     "relative_gain",
     "sequence_windows",
+    "settings_from",
     "shift",
     "test_rows",
     "train_final_model",

@@ -12,21 +12,20 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rvpanel.config import Config
+from rvpanel.config import Settings
 from rvpanel.operators.features import build_features
 from rvpanel.operators.folds import check_val_frac, inner_train_end, number_by_calendar
 from rvpanel.operators.layout import block_window, blocks, number, own_rows
-from rvpanel.schema import FEATURES, TARGET
 from rvpanel.sources.store import materialize
 
 
-def split_rows(features: DataFrame, config: Config, mode: str = "calendar") -> DataFrame:
+def split_rows(features: DataFrame, config: Settings, mode: str = "calendar") -> DataFrame:
     """Feature rows with the window ``x`` that ends in them, their position ``p`` of ``m``
     for the folds, and the position ``p_first`` of the window's first row (NULL where the
     series is too young for a full window).
@@ -36,37 +35,37 @@ def split_rows(features: DataFrame, config: Config, mode: str = "calendar") -> D
     """
     if mode not in ("rows", "calendar"):
         raise ValueError(f"mode must be 'rows' or 'calendar', got {mode!r}")
-    back = config.model.seq_len - 1
+    back = config.window - 1
     if mode == "calendar":
         rows = number(number_by_calendar(features).withColumnsRenamed({"i": "p", "n": "m"}))
     else:
         rows = number(features).select("*", F.col("i").alias("p"), F.col("n").alias("m"))
     w = block_window()
-    window = F.collect_list(F.array(*FEATURES)).over(w.rowsBetween(-back, 0))
+    window = F.collect_list(F.array(*config.features)).over(w.rowsBetween(-back, 0))
     laid = blocks(rows, before=back).withColumns({"x": window, "p_first": F.lag("p", back).over(w)})
-    return own_rows(laid).select("symbol", "_block", "date", *FEATURES, TARGET, "x", "p", "p_first", "m")
+    return own_rows(laid).select("symbol", "_block", "date", *config.features, config.target, "x", "p", "p_first", "m")
 
 
-def _fold_ends(fold: int, config: Config) -> tuple[Column, Column, Column]:
+def _fold_ends(fold: int, config: Settings) -> tuple[Column, Column, Column]:
     """(train_end, test_start, test_end) of a fold, in positions."""
-    size = F.expr(f"m div {config.eval.n_splits + 1}L")
-    start = F.col("m") - (config.eval.n_splits - fold) * size
-    return start - config.data.horizon, start, start + size
+    size = F.expr(f"m div {config.folds + 1}L")
+    start = F.col("m") - (config.folds - fold) * size
+    return start - config.horizon, start, start + size
 
 
 def _window_in(lo: Column, hi: Column) -> Column:
     return (F.col("p_first") >= lo) & (F.col("p") < hi)
 
 
-def fit_scaler_rows(rows: DataFrame, inner_end: Column) -> DataFrame:
+def fit_scaler_rows(rows: DataFrame, inner_end: Column, features: Sequence[str]) -> DataFrame:
     """Mean and population standard deviation of the features before ``inner_end``: one
-    row per symbol with two short arrays, in the order of ``FEATURES``."""
-    stats = [s for c in FEATURES for s in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]
+    row per symbol with two short arrays, in the order of ``features``."""
+    stats = [s for c in features for s in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]
     fitted = rows.where(F.col("p") < inner_end).groupBy("symbol").agg(*stats)
-    divisors = [F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}")) for c in FEATURES]
+    divisors = [F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}")) for c in features]
     return fitted.select(
         "symbol",
-        F.array(*[F.col(f"m_{c}") for c in FEATURES]).alias("mean"),
+        F.array(*[F.col(f"m_{c}") for c in features]).alias("mean"),
         F.array(*divisors).alias("std"),
     )
 
@@ -86,51 +85,58 @@ def scaled_vectors(windows: DataFrame, scaler: DataFrame) -> DataFrame:
     return windows.join(spread, ["symbol", "_block"]).select(*kept, flat)
 
 
-def regressor(config: Config) -> Pipeline:
-    """``gbt``: boosted trees that stop early on the validation rows.  ``linear``: least
-    squares in one pass, no early stop."""
-    model, train = config.model, config.train
-    if model.kind == "linear":
-        stage = LinearRegression(labelCol=TARGET, solver="normal", predictionCol="pred")
-    elif model.kind == "gbt":
-        stage = GBTRegressor(
-            labelCol=TARGET,
-            maxIter=train.max_iter,
-            maxDepth=model.max_depth,
-            stepSize=train.step_size,
-            seed=train.seed,
-            validationIndicatorCol="is_validation",
-            validationTol=train.tolerance,
-            predictionCol="pred",
-        )
-    else:
-        raise ValueError(f"unknown model kind {model.kind!r}")
-    return Pipeline(stages=[stage])
+def trees_kept(errors: Sequence[float], patience: int) -> int:
+    """Number of trees with the least error, looking no further than ``patience`` rounds past it."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def fit_regressor(train: DataFrame, validation: DataFrame, config: Settings) -> Model:
+    """``gbt``: boosted trees, as many as serve the validation rows best; ``linear``: least squares in one
+    pass, no validation."""
+    if config.learner == "linear":
+        return LinearRegression(labelCol=config.target, solver="normal", predictionCol="pred").fit(train)
+    if config.learner != "gbt":
+        raise ValueError(f"unknown learner {config.learner!r}")
+
+    def boosted(rounds: int) -> Model:
+        return GBTRegressor(
+            labelCol=config.target, maxIter=rounds, maxDepth=config.depth, stepSize=config.step_size, seed=config.seed, predictionCol="pred"
+        ).fit(train)
+
+    whole = boosted(config.rounds)
+    kept = trees_kept(whole.evaluateEachIteration(validation, "squared"), config.patience)
+    # The same seed makes the same first trees.
+    return whole if kept == config.rounds else boosted(kept)
 
 
 def fit_windows(
-    windows: DataFrame, inner_end: Column, train_end: Column, config: Config
+    windows: DataFrame, inner_end: Column, train_end: Column, config: Settings
 ) -> tuple[PipelineModel, DataFrame] | None:
     """Fit on windows inside the inner train rows, validate on those behind them.  Returns
     the model and its scaler, or None where there is nothing to train on."""
-    scaler = materialize(fit_scaler_rows(windows, inner_end))
+    scaler = materialize(fit_scaler_rows(windows, inner_end, config.features))
     train, validation = _window_in(F.lit(0), inner_end), _window_in(inner_end, train_end)
     used = windows.where(train | validation).withColumn("is_validation", validation)
     # Fitting passes over the vectors more than once.
-    vectors = materialize(scaled_vectors(used, scaler).select("features", TARGET, "is_validation"))
+    vectors = materialize(scaled_vectors(used, scaler).select("features", config.target, "is_validation"))
     sides = {r["is_validation"] for r in vectors.select("is_validation").distinct().collect()}
     if False not in sides:
         return None
     if True not in sides:
         raise ValueError("no validation window: val_frac leaves fewer rows than one window needs")
-    if config.model.kind == "linear":
-        vectors = vectors.where(~F.col("is_validation"))
-    return regressor(config).fit(vectors), scaler
+    train_rows, held = vectors.where(~F.col("is_validation")), vectors.where("is_validation")
+    return PipelineModel([fit_regressor(train_rows, held, config)]), scaler
 
 
-def stored_windows(panel: DataFrame, config: Config, mode: str) -> DataFrame:
+def stored_windows(panel: DataFrame, config: Settings, mode: str) -> DataFrame:
     """Features, then windows, each computed once and stored: all folds read them."""
-    features = materialize(build_features(panel, config.data.horizon))
+    features = materialize(build_features(panel, config.horizon))
     return materialize(split_rows(features, config, mode))
 
 
@@ -140,19 +146,19 @@ def predict(model: PipelineModel, windows: DataFrame, scaler: DataFrame) -> Data
 
 
 def learned_forecasts(
-    panel: DataFrame, config: Config, mode: str = "calendar", folds: Sequence[int] | None = None
+    panel: DataFrame, config: Settings, mode: str = "calendar", folds: Sequence[int] | None = None
 ) -> DataFrame:
     """Forecasts (symbol, date, fold, model, actual, pred) of each fold's test windows.
 
     Runs one fit per fold.
     """
-    check_val_frac(config.eval.val_frac)
+    check_val_frac(config.validation_share)
     windows = stored_windows(panel, config, mode)
 
     def one_fold(fold: int) -> DataFrame | None:
         train_end, test_start, test_end = _fold_ends(fold, config)
-        mine = windows.where((test_end > test_start) & (train_end >= config.eval.min_train_size))
-        fitted = fit_windows(mine, inner_train_end(train_end, config.eval.val_frac), train_end, config)
+        mine = windows.where((test_end > test_start) & (train_end >= config.least_train))
+        fitted = fit_windows(mine, inner_train_end(train_end, config.validation_share), train_end, config)
         if fitted is None:
             return None
         tested = predict(fitted[0], mine.where(_window_in(test_start, test_end)), fitted[1])
@@ -161,13 +167,13 @@ def learned_forecasts(
             "date",
             F.lit(fold).alias("fold"),
             F.lit("learned").alias("model"),
-            F.col(TARGET).alias("actual"),
+            F.col(config.target).alias("actual"),
             "pred",
         )
 
     # Folds are independent: their jobs are submitted side by side and share the cluster.
-    chosen = list(range(config.eval.n_splits) if folds is None else folds)
-    with ThreadPool(max(1, min(len(chosen), config.train.parallelism))) as pool:
+    chosen = list(range(config.folds) if folds is None else folds)
+    with ThreadPool(max(1, min(len(chosen), config.side_by_side))) as pool:
         found = pool.map(inheritable_thread_target(panel.sparkSession)(one_fold), chosen)
     results = [r for r in found if r is not None]
     if not results:
@@ -175,13 +181,13 @@ def learned_forecasts(
     return reduce(DataFrame.unionByName, results)
 
 
-def train_final_model(panel: DataFrame, config: Config, mode: str = "calendar") -> tuple[PipelineModel, DataFrame]:
+def train_final_model(panel: DataFrame, config: Settings, mode: str = "calendar") -> tuple[PipelineModel, DataFrame]:
     """The model to keep: fitted on all rows, the last part held out for early stopping.
     Returns the model and its scaler."""
-    check_val_frac(config.eval.val_frac)
+    check_val_frac(config.validation_share)
     windows = stored_windows(panel, config, mode)
     m = F.col("m")
-    fitted = fit_windows(windows, inner_train_end(m, config.eval.val_frac), m, config)
+    fitted = fit_windows(windows, inner_train_end(m, config.validation_share), m, config)
     if fitted is None:
         raise ValueError("too few rows for one training window")
     return fitted

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rvpanel.config import Config
+from rvpanel.config import Settings
 from rvpanel.operators.features import numbered_returns
 from rvpanel.operators.learned import learned_forecasts
 from rvpanel.plans.backtest import (
@@ -21,14 +21,14 @@ from rvpanel.plans.backtest import (
 )
 
 
-def evaluate_learned(panel: DataFrame, config: Config, mode: str = "calendar", strict: bool = False) -> DataFrame:
+def evaluate_learned(panel: DataFrame, config: Settings, mode: str = "calendar", strict: bool = False) -> DataFrame:
     """Leaderboard row of the learned model, from its own walk-forward folds."""
     return leaderboard(fold_metrics(learned_forecasts(panel, config, mode), strict))
 
 
 def evaluate_all(
     panel: DataFrame,
-    config: Config,
+    config: Settings,
     models: Sequence[str] = BASELINES,
     mode: str = "calendar",
     common_rows: bool = False,
@@ -41,13 +41,12 @@ def evaluate_all(
     """
     learned = learned_forecasts(panel, config, mode)
     if not common_rows:
-        e = config.eval
         board = evaluate_baselines(
-            numbered_returns(panel), config.data.horizon, e.n_splits, e.min_train_size, models=models
+            numbered_returns(panel), config.horizon, config.folds, config.least_train, models=models
         )
         return combine(board, leaderboard(fold_metrics(learned)))
     wide = baseline_forecasts(
-        numbered_returns(panel), config.data.horizon, config.eval.n_splits, config.eval.min_train_size, models=models
+        numbered_returns(panel), config.horizon, config.folds, config.least_train, models=models
     )
     keys = learned.select("symbol", "date", "fold", "actual")
     others = long_forecasts(wide, models).select("symbol", "date", "model", "pred")

@@ -9,21 +9,26 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rvpanel.config import Config
+from rvpanel.config import Settings
 from rvpanel.operators.learned import train_final_model
 from rvpanel.plans.learned import evaluate_learned
 from rvpanel.schema import RUN_METRICS, RUN_MODELS, RUN_PARAMS
 
 
+def _replace(rows: DataFrame, path: str) -> None:
+    """Store rows of a run in place of those of an earlier run of that name."""
+    writer = rows.write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+
+
 def log_params(spark: SparkSession, root: str, run_id: str, params: Mapping[str, Any]) -> None:
     rows = [(run_id, key, str(value)) for key, value in params.items()]
-    spark.createDataFrame(rows, RUN_PARAMS).write.mode("append").parquet(f"{root}/run_params")
+    _replace(spark.createDataFrame(rows, RUN_PARAMS), f"{root}/run_params")
 
 
 def log_metrics(metrics: DataFrame, root: str, run_id: str) -> None:
-    """Append (metric, value) rows under the run."""
-    rows = metrics.select(F.lit(run_id).alias("run_id"), "metric", "value")
-    rows.write.mode("append").parquet(f"{root}/run_metrics")
+    """Store (metric, value) rows under the run."""
+    _replace(metrics.select(F.lit(run_id).alias("run_id"), "metric", "value"), f"{root}/run_metrics")
 
 
 def log_model(model: PipelineModel, scaler: DataFrame, root: str, run_id: str, name: str) -> None:
@@ -32,7 +37,7 @@ def log_model(model: PipelineModel, scaler: DataFrame, root: str, run_id: str, n
     model.write().overwrite().save(f"{path}/model")
     scaler.write.mode("overwrite").parquet(f"{path}/scaler")
     row = [(run_id, name, path)]
-    scaler.sparkSession.createDataFrame(row, RUN_MODELS).write.mode("append").parquet(f"{root}/run_models")
+    _replace(scaler.sparkSession.createDataFrame(row, RUN_MODELS), f"{root}/run_models")
 
 
 def load_model(spark: SparkSession, root: str, name: str, run_id: str) -> tuple[PipelineModel, DataFrame]:
@@ -60,11 +65,11 @@ def mean_metrics(board: DataFrame) -> DataFrame:
     return means.select(F.explode(pairs).alias("_p")).select("_p.metric", "_p.value")
 
 
-def training_run(panel: DataFrame, config: Config, root: str, run_id: str, name: str = "learned") -> DataFrame:
+def training_run(panel: DataFrame, config: Settings, root: str, run_id: str, name: str = "learned") -> DataFrame:
     """Evaluate walk-forward, fit the final model on all rows, record everything; returns
     the leaderboard as it was recorded."""
     spark = panel.sparkSession
-    log_params(spark, root, run_id, config.flatten())
+    log_params(spark, root, run_id, config.recorded())
     log_metrics(mean_metrics(evaluate_learned(panel, config)), root, run_id)
     model, scaler = train_final_model(panel, config)
     log_model(model, scaler, root, run_id, name)

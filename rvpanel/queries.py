@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rvpanel.config import Config
+from rvpanel.config import settings_from
 from rvpanel.operators import features as fe
 from rvpanel.operators import folds as fo
 from rvpanel.operators import garch as ga
@@ -877,15 +877,12 @@ def full_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("learned_forecast")
 def learned_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees, last fold."""
-    config = Config()
-    return learned_forecasts(vwap_daily(spark, sf_dir), config, folds=[config.eval.n_splits - 1])
+    """Boosted trees, all folds."""
+    return learned_forecasts(vwap_daily(spark, sf_dir), settings_from({}))
 
 
 @_query("learned_leaderboard")
 def learned_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear model on the same windows, all folds."""
-    config = Config()
-    config.model.kind = "linear"
-    return bt.rounded(evaluate_learned(vwap_daily(spark, sf_dir), config))
+    return bt.rounded(evaluate_learned(vwap_daily(spark, sf_dir), settings_from({"learner": "linear"})))
 

@@ -44,5 +44,6 @@ GARCH_PARAMS = _table(
     ("start_log_likelihood", _DBL),
 )
 
+# Names of the feature columns and of the target.
 FEATURES = ["log_returns", "rv_5d", "rv_20d", "rv_60d"]
 TARGET = "rv_target"

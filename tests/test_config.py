@@ -1,25 +1,24 @@
 import pytest
 
-from rvpanel.config import Config
+from rvpanel.config import Settings, settings_from
 
 
 def test_defaults():
-    c = Config()
-    assert (c.data.horizon, c.eval.n_splits, c.eval.min_train_size, c.eval.val_frac) == (5, 5, 252, 0.2)
-    assert (c.model.seq_len, c.train.seed) == (30, 42)
+    s = Settings()
+    assert (s.horizon, s.folds, s.least_train, s.validation_share) == (5, 5, 252, 0.2)
+    assert (s.window, s.rounds, s.patience, s.seed) == (30, 50, 10, 42)
 
 
-def test_from_dict_fills_in_defaults():
-    c = Config.from_dict({"eval": {"n_splits": 3}})
-    assert c.eval.n_splits == 3 and c.eval.min_train_size == 252 and c.data.horizon == 5
+def test_given_values_keep_other_defaults():
+    s = settings_from({"folds": 3, "features": ["rv_5d"]})
+    assert s.folds == 3 and s.least_train == 252 and s.features == ("rv_5d",)
 
 
-@pytest.mark.parametrize("raw", [{"eval": {"folds": 3}}, {"evaluation": {}}])
-def test_unknown_names_are_errors(raw):
+def test_unknown_names_are_errors():
     with pytest.raises(TypeError):
-        Config.from_dict(raw)
+        settings_from({"n_folds": 3})
 
 
-def test_flatten():
-    flat = Config.from_dict({"data": {"horizon": 7}}).flatten()
-    assert flat["data.horizon"] == 7 and flat["train.seed"] == 42 and flat["model.seq_len"] == 30
+def test_recorded():
+    kept = settings_from({"horizon": 7}).recorded()
+    assert kept["horizon"] == "7" and kept["seed"] == "42" and kept["features"] == "log_returns,rv_5d,rv_20d,rv_60d"

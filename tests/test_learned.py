@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rvpanel.config import Config
+from rvpanel.config import settings_from
 from rvpanel.operators import learned as le
 from rvpanel.operators.features import build_features
 from rvpanel.plans import runs
@@ -20,12 +20,7 @@ def _panel(spark, lengths):
 
 
 def _config(kind="linear", **changes):
-    config = Config.from_dict(
-        {"eval": {"n_splits": 3, "min_train_size": 100}, "model": {"seq_len": 10, "kind": kind}, "train": {"max_iter": 5}}
-    )
-    for key, value in changes.items():
-        setattr(config.eval, key, value)
-    return config
+    return settings_from({"folds": 3, "least_train": 100, "window": 10, "learner": kind, "rounds": 6, "patience": 2, **changes})
 
 
 @pytest.fixture(scope="module")
@@ -51,9 +46,9 @@ def test_windows_stay_inside_the_test_block(spark, panel):
 def test_scaled_vectors_are_the_scaled_window(spark, panel):
     config = _config()
     windows = le.stored_windows(panel, config, "rows")
-    scaler = le.fit_scaler_rows(windows, F.lit(200))
+    scaler = le.fit_scaler_rows(windows, F.lit(200), config.features)
     row = le.scaled_vectors(windows.where("symbol = 'B' and p = 50"), scaler).first()
-    feats = build_features(panel).where("symbol = 'B'").toPandas().sort_values("date")[le.FEATURES].to_numpy()
+    feats = build_features(panel).where("symbol = 'B'").toPandas().sort_values("date")[list(config.features)].to_numpy()
     train = feats[:200]  # rows before the first full window count as well
     want = (feats[41:51] - train.mean(axis=0)) / train.std(axis=0)
     assert np.allclose(row.features.toArray().reshape(10, 4), want, rtol=1e-5, atol=1e-6)
@@ -79,7 +74,7 @@ def test_linear_forecasts_are_least_squares(spark, panel):
     one = panel.where("symbol = 'A'")
     got = le.learned_forecasts(one, config, mode="rows", folds=[1]).toPandas().sort_values("date")
     feats = build_features(one).toPandas().sort_values("date").reset_index(drop=True)
-    x, y, n = feats[le.FEATURES].to_numpy(), feats[le.TARGET].to_numpy(), len(feats)
+    x, y, n = feats[list(config.features)].to_numpy(), feats[config.target].to_numpy(), len(feats)
     size = n // 4
     start = n - 2 * size
     train_end = start - 5
@@ -109,9 +104,9 @@ def test_test_rows_do_not_leak_into_the_fit(spark, panel):
 
 def test_no_validation_rows_is_an_error(spark, panel):
     with pytest.raises(ValueError):
-        le.learned_forecasts(panel, _config(val_frac=0.0))
+        le.learned_forecasts(panel, _config(validation_share=0.0))
     with pytest.raises(ValueError, match="validation"):
-        le.learned_forecasts(panel, _config(val_frac=0.01))
+        le.learned_forecasts(panel, _config(validation_share=0.01))
 
 
 def test_training_run_is_recorded_and_reloads(spark, panel, tmp_path):
@@ -119,7 +114,7 @@ def test_training_run_is_recorded_and_reloads(spark, panel, tmp_path):
     logged = runs.training_run(panel, config, root, "run-1")
     assert sorted(r.metric for r in logged.collect()) == ["mae", "qlike", "rmse"]
     params = {r.key: r.value for r in runs.read_runs(spark, root, "run_params").collect()}
-    assert params["data.horizon"] == "5" and params["model.kind"] == "linear"
+    assert params["horizon"] == "5" and params["learner"] == "linear"
     row = runs.read_runs(spark, root, "run_models").first()
     assert (row.run_id, row.name) == ("run-1", "learned")
     model, scaler = runs.load_model(spark, root, "learned", "run-1")
@@ -127,6 +122,38 @@ def test_training_run_is_recorded_and_reloads(spark, panel, tmp_path):
     assert le.predict(model, windows, scaler).where("pred is not null").count() == 600 - 65 - 9
 
 
+def test_a_second_run_of_a_name_replaces_the_first(spark, tmp_path):
+    for value in (1.0, 2.0):
+        metrics = spark.createDataFrame([("qlike", value)], "metric string, value double")
+        runs.log_metrics(metrics, str(tmp_path), "r1")
+        runs.log_params(spark, str(tmp_path), "r1", {"a": value})
+    runs.log_metrics(spark.createDataFrame([("qlike", 0.5)], "metric string, value double"), str(tmp_path), "r0")
+    got = {(r.run_id, r.value) for r in runs.read_runs(spark, str(tmp_path), "run_metrics").collect()}
+    assert got == {("r1", 2.0), ("r0", 0.5)}
+    assert [r.value for r in runs.read_runs(spark, str(tmp_path), "run_params").collect()] == ["2.0"]
+
+
+def test_trees_kept():
+    assert le.trees_kept([5.0, 6.0, 4.0, 4.5, 4.4], 2) == 3  # the first round does not gain, a later one does
+    assert le.trees_kept([5.0, 6.0, 7.0, 1.0], 2) == 1
+    assert le.trees_kept([3.0, 2.0, 1.0], 1) == 3
+
+
+def test_boosting_restores_the_best_round(spark, panel):
+    config = _config("gbt", rounds=8)
+    windows = le.stored_windows(panel, config, "calendar")
+    end = F.col("m") * 0.8
+    model, scaler = le.fit_windows(windows, end.cast("long"), F.col("m"), config)
+    held = le.scaled_vectors(windows.where(le._window_in(end.cast("long"), F.col("m"))), scaler)
+    errors = model.stages[0].evaluateEachIteration(held, "squared")
+    assert len(errors) <= 8 and errors[-1] == min(errors)
+
+
+def test_chosen_features(spark, panel):
+    got = le.learned_forecasts(panel, _config(features=("rv_20d",), window=1), folds=[1])
+    assert got.where("pred IS NOT NULL").count() > 0
+
+
 def test_best_run_breaks_ties_by_name(spark):
     rows = [("r2", "qlike", 0.5), ("r1", "qlike", 0.5), ("r0", "rmse", 0.1), ("r3", "qlike", None)]
     best = runs.best_run(spark.createDataFrame(rows, "run_id string, metric string, value double")).first()

@@ -233,7 +233,11 @@ def _mixed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), F.to_date("ts").alias("date"), F.col("value").alias("adj_close")
     )
-    return good.unionByName(raw)
+    # Good series but for the dates of high prices.
+    undated = good.where("symbol = 'RF'").select(
+        F.lit("RF-undated").alias("symbol"), F.when(F.col("adj_close") < 1400, F.col("date")).alias("date"), "adj_close"
+    )
+    return good.unionByName(raw).unionByName(undated)
 
 
 def _mixed_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,20 +247,25 @@ def _mixed_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("symbol")
         .union(table(spark, sf_dir, "events").select("event_type").distinct())
         .union(table(spark, sf_dir, "orders").select("o_orderpriority").distinct())
+        .union(_lineitem_basket(spark, sf_dir).where("symbol = 'RF'").select(F.lit("RF-undated")))
     )
 
 
 _STATUS = (
     _PANEL,
     """bars AS (SELECT symbol, date, px AS adj_close FROM panel
-      UNION ALL SELECT event_type, CAST(ts AS DATE), value FROM events)""",
+      UNION ALL SELECT event_type, CAST(ts AS DATE), value FROM events
+      UNION ALL SELECT 'RF-undated', CASE WHEN px < 1400 THEN date END, px FROM panel WHERE symbol = 'RF')""",
     """basket AS (SELECT DISTINCT l_returnflag || l_linestatus AS symbol FROM lineitem
-      UNION ALL SELECT DISTINCT event_type FROM events UNION ALL SELECT DISTINCT o_orderpriority FROM orders)""",
+      UNION ALL SELECT DISTINCT event_type FROM events UNION ALL SELECT DISTINCT o_orderpriority FROM orders
+      UNION ALL SELECT DISTINCT 'RF-undated' FROM lineitem WHERE l_returnflag || l_linestatus = 'RF')""",
     """per_date AS (SELECT symbol, date, count(*) AS c, count(*) FILTER (WHERE adj_close <= 0) AS bad FROM bars GROUP BY 1, 2)""",
     """found AS (SELECT symbol, CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(bad) AS BIGINT) AS bad,
-      count(*) FILTER (WHERE c > 1) AS repeated FROM per_date GROUP BY 1)""",
+      count(*) FILTER (WHERE c > 1 AND date IS NOT NULL) AS repeated,
+      CAST(coalesce(sum(c) FILTER (WHERE date IS NULL), 0) AS BIGINT) AS undated FROM per_date GROUP BY 1)""",
     """status AS (SELECT basket.symbol, coalesce(n_rows, 0) AS n_rows,
       CASE WHEN n_rows IS NULL THEN 'no data for ' || basket.symbol
+           WHEN undated > 0 THEN undated || ' rows without a date'
            WHEN bad > 0 THEN bad || ' non-positive prices'
            WHEN repeated > 0 THEN repeated || ' repeated dates' END AS error
       FROM basket LEFT JOIN found ON found.symbol = basket.symbol)""",
@@ -321,6 +330,20 @@ def cached_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ba.read_series(spark, path, "AF")
 
 
+@_query("landed_bars", _with(_PANEL, select="SELECT symbol, date, CAST(NULL AS DOUBLE) AS open, px AS adj_close FROM panel"))
+def landed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars landed as vendor files, some CSV and some JSON, read by their column names."""
+    path = f"{shared_folder(spark)}/rvpanel-landed-{uuid.uuid4().hex}"
+    landed = vwap_daily(spark, sf_dir).select(
+        F.col("px").cast("string").alias("Adj Close"), F.col("date").alias("Date"), F.lit(1).alias("Volume"), F.col("symbol").alias("Ticker")
+    )
+    open_ones = F.col("Ticker").endswith("O")
+    landed.where(open_ones).write.option("header", "true").csv(f"{path}/csv")
+    landed.where(~open_ones).write.json(f"{path}/json")
+    both = ba.read_bars(spark, f"{path}/csv", "csv").unionByName(ba.read_bars(spark, f"{path}/json", "json"))
+    return both.select("symbol", "date", "open", "adj_close")
+
+
 @_query(
     "coverage",
     _with(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rvpanel.functions import clean_double, safe_name
 from rvpanel.schema import BARS, BASKET
+from rvpanel.sources.store import materialize
 
 # The default basket of symbols.  ^VIX is context, not a forecast target.
 DEFAULT_BASKET = [
@@ -40,17 +41,20 @@ VENDOR_NAMES = {
 def basket(
     spark: SparkSession, symbols: Iterable[str] | None = None, context: Iterable[str] = CONTEXT_SYMBOLS
 ) -> DataFrame:
-    """Basket dimension (symbol, is_target).  No symbols, or an empty list, mean all."""
-    chosen = list(symbols or []) or DEFAULT_BASKET
+    """Basket dimension (symbol, is_target), a row per distinct symbol.  No symbols, or an empty list, mean all."""
+    chosen = list(dict.fromkeys(symbols or [])) or DEFAULT_BASKET
     context = set(context)
     return spark.createDataFrame([(s, s not in context) for s in chosen], BASKET)
 
 
 def read_basket(spark: SparkSession, path: str, context: Iterable[str] = CONTEXT_SYMBOLS) -> DataFrame:
-    """Basket from a settings file that lists symbols as ``- NAME`` items under
-    ``tickers:``."""
+    """Basket from the ``- NAME`` items under the key ``tickers:`` of a settings file; other lists are left alone."""
+    whole = spark.read.text(path, wholetext=True)
+    # The key's block: lines up to the next one that starts with neither space, dash nor comment.
+    block = F.regexp_extract("value", r"(?m)^tickers:[^\n]*\n((?:[ \t\-#][^\n]*(?:\n|$)|\s*\n)*)", 1)
+    line = whole.select(F.explode(F.split(block, r"\r?\n")).alias("value"))
     name = F.regexp_extract("value", r"""^\s*-\s*["']?([^"'#\s]+)""", 1).alias("symbol")
-    listed = spark.read.text(path).select(name).where(F.col("symbol") != "")
+    listed = line.select(name).where(F.col("symbol") != "").distinct()
     return listed.select("symbol", (~F.col("symbol").isin(list(context))).alias("is_target"))
 
 
@@ -63,33 +67,41 @@ def in_basket(df: DataFrame, symbols: DataFrame, targets_only: bool = False) ->
 def read_bars(spark: SparkSession, path: str, source: str = "parquet", **options: str) -> DataFrame:
     """Landed vendor files as bars, NaN as NULL.
 
-    Text files are read under the schema of ``BARS``.  Parquet files may have vendor
-    column names (``VENDOR_NAMES``); without a symbol column the file's name is the symbol,
-    as in a folder of one file per symbol.  Dates that pandas stored in nanoseconds need
+    Columns are found by name, in vendor spelling (``VENDOR_NAMES``) or that of ``BARS``, in any order: the header
+    of CSV files, the fields of JSON lines.  Without a symbol column the file's name is the symbol, as in a
+    folder of one file per symbol.  Text that is no number or date becomes NULL; a file without dates
+    or prices is an error.  Dates that pandas stored in nanoseconds need
     ``spark.sql.legacy.parquet.nanosAsLong``.
     """
     reader = spark.read.options(**options)
-    if source == "parquet":
-        landed = reader.parquet(path)
-        if not {"symbol", "Symbol", "Ticker"} & set(landed.columns):
-            name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-            landed = landed.withColumn("symbol", name)
-        return as_bars(landed)
     if source == "csv":
-        reader = reader.option("header", options.get("header", "true"))
-    return as_bars(reader.schema(BARS).format(source).load(path))
+        landed = reader.option("header", options.get("header", "true")).csv(path)
+    elif source == "json":
+        landed = reader.option("primitivesAsString", "true").json(path)
+    else:
+        landed = reader.format(source).load(path)
+    if not {"symbol", "Symbol", "Ticker"} & set(landed.columns):
+        name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+        landed = landed.withColumn("symbol", name)
+    return as_bars(landed)
 
 
 def as_bars(df: DataFrame) -> DataFrame:
-    """Columns renamed, cast and cleaned to ``BARS``; columns that are not there are NULL."""
+    """Columns renamed, cast and cleaned to ``BARS``; columns that are not there are NULL, but dates
+    and a price there must be."""
     renamed = df.withColumnsRenamed({k: v for k, v in VENDOR_NAMES.items() if k in df.columns})
+    if "date" not in renamed.columns or not {"adj_close", "close"} & set(renamed.columns):
+        raise ValueError(f"no date or no closing price among the columns {df.columns}")
     if isinstance(renamed.schema["date"].dataType, T.LongType):
         renamed = renamed.withColumn("date", F.timestamp_micros(F.expr("date div 1000")))
 
     def conform(f: T.StructField) -> Column:
         if f.name not in renamed.columns:
             return F.lit(None).cast(f.dataType).alias(f.name)
-        value = clean_double(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name).cast(f.dataType)
+        value = F.col(f.name)
+        if isinstance(renamed.schema[f.name].dataType, T.StringType):
+            value = value.try_cast("double").try_cast(f.dataType) if isinstance(f.dataType, T.LongType) else value.try_cast(f.dataType)
+        value = clean_double(value) if isinstance(f.dataType, T.DoubleType) else value.cast(f.dataType)
         return value.alias(f.name)
 
     return renamed.select(*[conform(f) for f in BARS])
@@ -126,12 +138,16 @@ def price_panel(bars: DataFrame, price: str = "adj_close") -> DataFrame:
 def write_bars(bars: DataFrame, path: str) -> None:
     """Replace the stored bars of the symbols that arrive; others stay untouched.
 
-    Rows are spread by symbol and year, so that one symbol is not one writing task.
+    Folders are named by the safe name, files keep the symbol as it is; symbols that would share a folder are
+    an error.  Rows are spread by symbol and year, so that one symbol is not one writing task.
     """
-    out = bars.withColumn("symbol", safe_name("symbol"))
+    clash = name_collisions(bars).first()
+    if clash:
+        raise ValueError(f"symbols {clash['symbols']} share the directory name {clash['safe_name']!r}")
+    out = bars.withColumn("safe_name", safe_name("symbol"))
     (
-        out.repartition("symbol", F.year("date"))
-        .write.partitionBy("symbol")
+        out.repartition("safe_name", F.year("date"))
+        .write.partitionBy("safe_name")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
@@ -140,8 +156,9 @@ def write_bars(bars: DataFrame, path: str) -> None:
 
 def read_series(spark: SparkSession, path: str, symbol: str, column: str = "adj_close") -> DataFrame:
     """One column of one cached symbol: reads that symbol's files and that column only."""
-    stored = spark.read.schema(BARS).parquet(path)
-    return stored.where(F.col("symbol") == symbol.replace("^", "")).select("symbol", "date", column)
+    stored = spark.read.schema(T.StructType([*BARS, T.StructField("safe_name", T.StringType())])).parquet(path)
+    mine = (F.col("safe_name") == symbol.replace("^", "")) & (F.col("symbol") == symbol)
+    return stored.where(mine).select("symbol", "date", column)
 
 
 def name_collisions(symbols: DataFrame) -> DataFrame:
@@ -158,18 +175,21 @@ def name_collisions(symbols: DataFrame) -> DataFrame:
 def ingest_status(symbols: DataFrame, bars: DataFrame, price: str = "adj_close") -> DataFrame:
     """One row per basket symbol: ``ok``, ``n_rows`` and the first fault found.
 
-    A bad symbol is reported here and never stops the others.
+    A bad symbol is reported here and never stops the others.  Rows without a date are a fault: they have
+    no place in a series.
     """
     bad = F.coalesce(F.col(price) <= 0, F.lit(False))
     per_date = bars.groupBy("symbol", "date").agg(F.count("*").alias("_rows"), F.count_if(bad).alias("_bad"))
     found = per_date.groupBy("symbol").agg(
         F.sum("_rows").alias("n_rows"),
         F.sum("_bad").alias("_bad"),
-        F.count_if(F.col("_rows") > 1).alias("_repeated"),
+        F.count_if((F.col("_rows") > 1) & F.col("date").isNotNull()).alias("_repeated"),
+        F.sum(F.when(F.col("date").isNull(), F.col("_rows")).otherwise(0)).alias("_undated"),
     )
     n = F.coalesce("n_rows", F.lit(0))
     error = (
         F.when(n == 0, F.concat(F.lit("no data for "), F.col("symbol")))
+        .when(F.col("_undated") > 0, F.concat(F.col("_undated").cast("string"), F.lit(" rows without a date")))
         .when(F.col("_bad") > 0, F.concat(F.col("_bad").cast("string"), F.lit(" non-positive prices")))
         .when(F.col("_repeated") > 0, F.concat(F.col("_repeated").cast("string"), F.lit(" repeated dates")))
     )
@@ -195,7 +215,8 @@ def ingest_basket(
     clash = name_collisions(wanted).first()
     if clash:
         raise ValueError(f"symbols {clash['symbols']} share the directory name {clash['safe_name']!r}")
-    status = ingest_status(wanted, in_basket(bars, wanted), price)
+    # Stored: the checks run once, for the rows to write and for the caller.
+    status = materialize(ingest_status(wanted, in_basket(bars, wanted), price))
     write_bars(bars.join(status.where("ok").select("symbol"), "symbol", "left_semi"), path)
     return status
 

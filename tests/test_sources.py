@@ -88,6 +88,76 @@ def test_text_sources_use_the_declared_schema(spark, tmp_path, source):
     assert got.agg(F.sum("adj_close")).first()[0] == 5.0
 
 
+def test_vendor_text_files_are_read_by_name(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "0700.csv").write_text(
+        "Volume,Date,Open,High,Low,Close,Adj Close\n10,2020-01-01,1,2,0.5,1.5,1.25\n,2020-01-02,nan,2,1,null,1.5\n"
+    )
+    a, b = ba.read_bars(spark, str(tmp_path / "csv"), "csv").orderBy("date").collect()
+    assert tuple(a) == ("0700", dt.date(2020, 1, 1), 1.0, 2.0, 0.5, 1.5, 1.25, 10)
+    assert (b.open, b.close, b.adj_close, b.volume) == (None, None, 1.5, None)
+    (tmp_path / "bars.json").write_text('{"Adj Close": 2.5, "Ticker": "^VIX", "Date": "2020-01-03", "Volume": 7}\n')
+    row = ba.read_bars(spark, str(tmp_path / "bars.json"), "json").first()
+    assert (row.symbol, row.date, row.adj_close, row.volume, row.open) == ("^VIX", dt.date(2020, 1, 3), 2.5, 7, None)
+
+
+def test_files_without_dates_or_prices_are_errors(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Volume\n2020-01-01,3\n")
+    (tmp_path / "b.csv").write_text("Close,Volume\n1.0,3\n")
+    for name in ("a.csv", "b.csv"):
+        with pytest.raises(ValueError, match="no date or no closing price"):
+            ba.read_bars(spark, str(tmp_path / name), "csv")
+
+
+@pytest.mark.parametrize("symbol", ["^VIX", "0700", "1E5"])
+def test_symbols_survive_the_cache(spark, tmp_path, symbol):
+    path = str(tmp_path / "cache")
+    ba.write_bars(_bars(spark, symbol).union(_bars(spark, "OTHER")), path)
+    assert {r.symbol for r in ba.read_series(spark, path, symbol).collect()} == {symbol}
+    again = ba.in_basket(ba.read_bars(spark, path), ba.basket(spark, [symbol]))
+    assert {r.symbol for r in again.collect()} == {symbol} and again.count() == 5
+
+
+def test_writing_refuses_shared_folders(spark, tmp_path):
+    with pytest.raises(ValueError, match="share the directory"):
+        ba.write_bars(_bars(spark, "VIX").union(_bars(spark, "^VIX")), str(tmp_path / "c"))
+
+
+def test_basket_has_each_symbol_once_and_its_key_only(spark, tmp_path):
+    assert ba.basket(spark, ["AAPL", "AAPL"]).count() == 1
+    path = tmp_path / "s.yaml"
+    path.write_text("exclude:\n  - BAD\ntickers:\n  # big\n  - AAPL\n\n  - AAPL\n- MSFT\nother:\n  - WORSE\n")
+    assert sorted(r.symbol for r in ba.read_basket(spark, str(path)).collect()) == ["AAPL", "MSFT"]
+
+
+def test_rows_without_a_date_are_reported(spark):
+    bars = _bars(spark, "A").union(spark.createDataFrame([("A", None, *[1.0] * 5, 1)] * 2, BARS))
+    row = ba.ingest_status(ba.basket(spark, ["A"]), bars).first()
+    assert (row.ok, row.n_rows, row.error) == (False, 7, "2 rows without a date")
+
+
+def test_store_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from rvpanel.sources.store import shared_folder
+
+    conf = N(get=lambda k, d=None: d, set=lambda k, v: None)
+    made = lambda master, folder=None: N(conf=conf, sparkContext=N(master=master, getCheckpointDir=lambda: folder))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(made(master))
+    assert shared_folder(made("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+
+
+def test_released_tables_are_gone(spark):
+    from rvpanel.sources.store import materialize, release
+
+    df = materialize(spark.range(3).toDF("a"))
+    assert df.count() == 3
+    release(df)
+    assert not os.path.exists(df.stored_at.removeprefix("file:"))
+
+
 def test_bars_from_ticks(spark):
     day = dt.datetime(2024, 1, 1)
     ticks = [("A", day.replace(hour=h), i, p) for h, i, p in [(9, 1, 10.0), (9, 0, 11.0), (12, 2, 8.0), (15, 3, 9.0)]]
@@ -101,7 +171,7 @@ def test_bars_from_ticks(spark):
 def test_cache_replaces_only_arriving_symbols(spark, tmp_path):
     path = str(tmp_path / "cache")
     ba.write_bars(_bars(spark, "AAPL", 300).union(_bars(spark, "^VIX", 4)), path)
-    assert sorted(os.path.basename(p) for p in glob.glob(path + "/symbol=*")) == ["symbol=AAPL", "symbol=VIX"]
+    assert sorted(os.path.basename(p) for p in glob.glob(path + "/safe_name=*")) == ["safe_name=AAPL", "safe_name=VIX"]
     ba.write_bars(_bars(spark, "AAPL", 3, price=2.0), path)
     aapl = ba.read_series(spark, path, "AAPL")
     assert aapl.count() == 3 and aapl.first().adj_close == 2.0
@@ -112,8 +182,8 @@ def test_series_scan_is_pruned(spark, tmp_path):
     path = str(tmp_path / "cache")
     ba.write_bars(_bars(spark, "AAPL").union(_bars(spark, "MSFT")), path)
     plan = ba.read_series(spark, path, "AAPL")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<date:date,adj_close:double>" in plan
-    assert "PartitionFilters: [isnotnull(symbol" in plan and "= AAPL)]" in plan
+    assert "ReadSchema: struct<symbol:string,date:date,adj_close:double>" in plan
+    assert "PartitionFilters: [isnotnull(safe_name" in plan and "= AAPL)]" in plan
 
 
 def test_one_bad_symbol_does_not_stop_the_basket(spark, tmp_path):
@@ -127,7 +197,7 @@ def test_one_bad_symbol_does_not_stop_the_basket(spark, tmp_path):
     assert rows["AAPL"].ok and rows["AAPL"].n_rows == 5 and rows["AAPL"].error is None
     assert not rows["BAD"].ok and "no data" in rows["BAD"].error and rows["BAD"].n_rows == 0
     assert rows["ZERO"].error == "3 non-positive prices" and rows["TWICE"].error == "5 repeated dates"
-    assert [os.path.basename(p) for p in glob.glob(path + "/symbol=*")] == ["symbol=AAPL"]
+    assert [os.path.basename(p) for p in glob.glob(path + "/safe_name=*")] == ["safe_name=AAPL"]
     summary = ba.ingest_summary(status).first()
     assert (summary.n_ok, summary.n_total, summary.failed) == (1, 4, ["BAD", "TWICE", "ZERO"])
 

@@ -4,11 +4,15 @@
 time is all that needs data; it splits over blocks of rows, because a block's variances
 are ``own_t + beta^(t+1) * v_before``.  Two ways use the same search:
 
-* ``fit``: daily panels.  Dates are unique, so one symbol's returns are a few thousand
-  numbers (a DATE column cannot hold more than 3.7 million) and one task fits one fold of
+* ``fit``: panels with a DATE column.  Dates are unique, so one symbol's returns are a few
+  thousand numbers (a DATE cannot hold more than 3.7 million) and one task fits one fold of
   a symbol.
-* ``fit_by_rounds``: intraday series of any length.  Every search round is a Spark job
-  over (symbol, block); only the search state, one row per symbol and fold, is shuffled.
+* ``fit_by_rounds``: panels with timestamps, whatever their size.  Every search round is a
+  Spark job over (symbol, block); a row per block, fold and round is shuffled.
+
+The borders alpha = 0 and beta = 0 are ordinary points of the search's coordinates, so
+fits that end there end.  ``converged`` and ``rounds`` report how a search ended; a fit that did
+not converge gives no forecast.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from rvpanel.functions import annualized
 from rvpanel.operators.folds import bounds_of_counts
 from rvpanel.operators.layout import BLOCK_ROWS, blocks
 from rvpanel.schema import GARCH_PARAMS
-from rvpanel.sources.store import materialize
+from rvpanel.sources.store import materialize, release
 
 # The functions below travel to the executors whole, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,16 +41,21 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BACKCAST_ROWS = 75
 BACKCAST_DECAY = 0.94
 
-# Longest intraday series that one task fits.
-IN_TASK_ROWS = 500_000
-
 _PERCENT = 100.0
 _STEP = 1e-3
-_TOLERANCE = 1e-7
-_MAX_ROUNDS = 60
-_LOWER = np.array([-5.0, -25.0, -12.0, -12.0])
-_UPPER = np.array([5.0, 5.0, 12.0, 12.0])
-_LINE = np.array([2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001])
+# Smallest gain worth a round, relative to the log-likelihood; a line search that fails
+# where more than _STUCK was expected is no convergence.
+_TOLERANCE = 1e-9
+_STUCK = 1e-3
+# Beyond it a search is reported as not converged.
+MAX_ROUNDS = 200
+_LOWER = np.array([-5.0, -25.0, -10.0, -10.0])
+_UPPER = np.array([5.0, 5.0, 10.0, 10.0])
+# Largest alpha + beta.
+_PERSISTENCE = 0.99999
+# Blocks whose variances one task chains.
+_SUPER = 256
+_LINE = np.array([2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.003, 0.001, 1e-4, 1e-5])
 
 
 # --- likelihood of one block of rows, for many candidates at once ---------------------
@@ -100,17 +109,18 @@ def backcast_variance(first_rows: np.ndarray, mean: float) -> float:
 
 
 # --- search: Newton steps on unconstrained coordinates --------------------------------
-# Coordinates: mean (in standard deviations from the sample mean), log(omega / variance),
-# logit(alpha + beta), logit(alpha / (alpha + beta)).
+# Coordinates: mean (in standard deviations from the sample mean), log of the long-run over the
+# sample variance (omega / (1 - alpha - beta) / variance), and angles u, t with alpha + beta = _PERSISTENCE * sin(u)^2, alpha / (alpha + beta) = sin(t)^2.
+# At a border an angle's slope is zero, so a maximum there is a stationary point like any other.
 
 
 def to_theta(phi: np.ndarray, mean: float, variance: float) -> np.ndarray:
-    persistence = 1 / (1 + np.exp(-phi[:, 2]))
-    share = 1 / (1 + np.exp(-phi[:, 3]))
+    persistence = _PERSISTENCE * np.sin(phi[:, 2]) ** 2
+    share = np.sin(phi[:, 3]) ** 2
     return np.column_stack(
         [
             mean + phi[:, 0] * math.sqrt(variance),
-            variance * np.exp(phi[:, 1]),
+            variance * np.exp(phi[:, 1]) * (1 - persistence),
             persistence * share,
             persistence * (1 - share),
         ]
@@ -121,12 +131,12 @@ def _starts() -> np.ndarray:
     rows = []
     for persistence in (0.3, 0.6, 0.8, 0.9, 0.97, 0.99):
         for share in (0.03, 0.08, 0.2, 0.5):
-            rows.append([0.0, math.log(1 - persistence), _logit(persistence), _logit(share)])
+            rows.append([0.0, 0.0, *_angles(persistence, share)])
     return np.array(rows)
 
 
-def _logit(p: float) -> float:
-    return math.log(p / (1 - p))
+def _angles(persistence: float, share: float) -> tuple[float, float]:
+    return math.asin(math.sqrt(persistence / _PERSISTENCE)), math.asin(math.sqrt(share))
 
 
 _PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
@@ -152,16 +162,22 @@ def _newton_direction(ll: np.ndarray) -> tuple[np.ndarray, float]:
     values, vectors = np.linalg.eigh(hessian)
     slope = vectors.T @ gradient
     # Climb along every axis, whatever its curvature; flat axes are damped.
-    step = slope / np.maximum(np.abs(values), 1e-3 * max(np.abs(values).max(), 1e-12))
+    step = slope / np.maximum(np.abs(values), max(1e-7 * np.abs(values).max(), 0.02))
     gain = 0.5 * float((slope * step).sum())
     direction = vectors @ step
     length = np.linalg.norm(direction)
-    return (direction * (3 / length) if length > 3 else direction), gain
+    return (direction * (1.5 / length) if length > 1.5 else direction), gain
 
 
 def new_search() -> dict:
     zero = [0.0] * 4
-    return {"phase": "start", "phi": zero, "direction": zero, "ll": -math.inf, "start_ll": -math.inf}
+    return {
+        "phase": "start", "phi": zero, "direction": zero, "ll": -math.inf, "start_ll": -math.inf, "gain": 0.0, "rounds": 0,
+    }
+
+
+def is_open(state: dict) -> bool:
+    return state["phase"] in ("start", "stencil", "line") and state["rounds"] < MAX_ROUNDS
 
 
 def candidates(state: dict) -> np.ndarray:
@@ -179,16 +195,16 @@ def advance(state: dict, ll: np.ndarray) -> dict:
     """Next search state from the log-likelihoods of ``candidates(state)``."""
     ll = np.where(np.isfinite(ll), ll, -1e300)
     tried, best = candidates(state), int(np.argmax(ll))
-    phase = state["phase"]
+    phase, state = state["phase"], {**state, "rounds": state["rounds"] + 1}
     if phase == "start":
         return {**state, "phase": "stencil", "phi": tried[best].tolist(), "ll": ll[best], "start_ll": ll[best]}
     if phase == "stencil":
         direction, gain = _newton_direction(ll)
-        following = "line" if gain > _TOLERANCE else "done"
-        return {**state, "phase": following, "direction": direction.tolist(), "ll": ll[0]}
+        following = "line" if gain > _TOLERANCE * max(1.0, abs(ll[0])) else "done"
+        return {**state, "phase": following, "direction": direction.tolist(), "ll": ll[0], "gain": gain}
     if phase == "line":
-        if ll[best] <= state["ll"] + _TOLERANCE:
-            return {**state, "phase": "done"}
+        if ll[best] <= state["ll"] + _TOLERANCE * max(1.0, abs(state["ll"])):
+            return {**state, "phase": "done" if state["gain"] < _STUCK else "stuck"}
         return {**state, "phase": "stencil", "phi": tried[best].tolist(), "ll": ll[best]}
     return state
 
@@ -200,11 +216,9 @@ def fit_series(r: np.ndarray) -> dict | None:
         return None
     backcast = backcast_variance(r, mean)
     state = new_search()
-    for _ in range(_MAX_ROUNDS):
+    while is_open(state):
         theta = to_theta(candidates(state), mean, variance)
         state = advance(state, series_log_likelihood(theta, r, backcast)[0])
-        if state["phase"] == "done":
-            break
     theta = to_theta(np.array([state["phi"]]), mean, variance)
     ll, squared, v = series_log_likelihood(theta, r, backcast)
     mu, omega, alpha, beta = theta[0]
@@ -217,6 +231,8 @@ def fit_series(r: np.ndarray) -> dict | None:
         "last_variance": v[0],
         "log_likelihood": ll[0],
         "start_log_likelihood": state["start_ll"],
+        "converged": state["phase"] == "done",
+        "rounds": state["rounds"],
     }
 
 
@@ -244,17 +260,11 @@ def garch_params(
 ) -> DataFrame:
     """Fitted parameters per symbol and fold, from numbered returns (symbol, date, r, i, n).
 
-    Daily panels are fitted lazily.  An intraday panel is first checked for symbols longer
-    than ``IN_TASK_ROWS``; those, and only those, are fitted by rounds.
+    Panels with a DATE column are fitted lazily, one task a fold; panels with timestamps by
+    rounds over blocks.
     """
-    settings = (n_splits, horizon, min_train_size)
-    if is_daily(numbered):
-        return fit(numbered, *settings)
-    long_ones = numbered.where(F.col("n") > IN_TASK_ROWS)
-    if long_ones.isEmpty():
-        return fit(numbered, *settings)
-    short_ones = fit(numbered.where(F.col("n") <= IN_TASK_ROWS), *settings)
-    return short_ones.unionByName(fit_by_rounds(long_ones, *settings))
+    way = fit if is_daily(numbered) else fit_by_rounds
+    return way(numbered, n_splits, horizon, min_train_size)
 
 
 def fit(numbered: DataFrame, n_splits: int, horizon: int, min_train_size: int) -> DataFrame:
@@ -295,6 +305,8 @@ _STATE = T.StructType(
         T.StructField("direction", T.ArrayType(T.DoubleType())),
         T.StructField("ll", T.DoubleType()),
         T.StructField("start_ll", T.DoubleType()),
+        T.StructField("gain", T.DoubleType()),
+        T.StructField("rounds", T.IntegerType()),
     ]
 )
 _ENDS = "symbol string, fold int, block long, ends array<double>, factors array<double>, backcast double"
@@ -337,18 +349,43 @@ def _block_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["symbol", "fold", "ll", "last_sq", "last_v"])
 
 
-def _carry(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Variance before each block: a chain over the blocks' end states, which are one
-    short vector per 4096 rows."""
-    pdf = pdf.sort_values("block")
-    v, before = None, []
-    for ends, factors, backcast in zip(pdf["ends"], pdf["factors"], pdf["backcast"]):
-        v = np.full(len(ends), backcast) if v is None else v
+def _chained(pdf: pd.DataFrame, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Variance before each block and after the last, from the variance before the first."""
+    v, before = start, []
+    for ends, factors in zip(pdf["ends"], pdf["factors"]):
         before.append(v)
         v = np.asarray(factors) * v + np.asarray(ends)
-    return pd.DataFrame(
-        {"symbol": key[0], "fold": key[1], "block": pdf["block"].to_numpy(), "v_before": [b.tolist() for b in before]}
-    )
+    return before, v
+
+
+def _composed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Blocks of a super-block as one affine step: a block's step is ``factors * v + ends``."""
+    pdf = pdf.sort_values("block")
+    _, ends = _chained(pdf, np.zeros(len(pdf["ends"].iloc[0])))
+    factors = np.prod(np.array(pdf["factors"].to_list()), axis=0)
+    row = [key[0], key[1], key[2], ends.tolist(), factors.tolist(), pdf["backcast"].iloc[0]]
+    return pd.DataFrame([row], columns=["symbol", "fold", "block", "ends", "factors", "backcast"])
+
+
+def _from_backcast(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Variance before each super-block of a fold: one short vector per 256 blocks."""
+    pdf = pdf.sort_values("block")
+    before, _ = _chained(pdf, np.full(len(pdf["ends"].iloc[0]), pdf["backcast"].iloc[0]))
+    return pd.DataFrame({"symbol": key[0], "fold": key[1], "super": pdf["block"].to_numpy(), "start": [b.tolist() for b in before]})
+
+
+def _from_start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("block")
+    before, _ = _chained(pdf, np.asarray(pdf["start"].iloc[0], dtype=float))
+    return pd.DataFrame({"symbol": key[0], "fold": key[1], "block": pdf["block"].to_numpy(), "v_before": [b.tolist() for b in before]})
+
+
+def _carried(ends: DataFrame) -> DataFrame:
+    """Variance before each block, in two levels, so that no task takes all blocks of a series."""
+    laid = ends.withColumn("super", F.expr(f"block div {_SUPER}L"))
+    steps = laid.groupBy("symbol", "fold", "super").applyInPandas(_composed, _ENDS)
+    starts = steps.groupBy("symbol", "fold").applyInPandas(_from_backcast, "symbol string, fold int, super long, start array<double>")
+    return laid.join(starts, ["symbol", "fold", "super"]).groupBy("symbol", "fold", "super").applyInPandas(_from_start, _CARRIED)
 
 
 def _on_blocks(packed: DataFrame, per_fold: DataFrame) -> DataFrame:
@@ -362,8 +399,7 @@ def _likelihoods(packed: DataFrame, states: DataFrame) -> DataFrame:
     """Log-likelihood of each state's candidates, added up over the symbol's blocks."""
     work = _on_blocks(packed, states).select("symbol", "fold", "block", "first", "rs", *_STATE.names[2:])
     ends = work.mapInPandas(_block_ends, _ENDS)
-    carried = ends.groupBy("symbol", "fold").applyInPandas(_carry, _CARRIED)
-    parts = work.join(carried, ["symbol", "fold", "block"]).mapInPandas(_block_parts, _PARTS)
+    parts = work.join(_carried(ends), ["symbol", "fold", "block"]).mapInPandas(_block_parts, _PARTS)
     per_candidate = parts.select("symbol", "fold", "last_sq", "last_v", F.posexplode("ll").alias("_at", "_ll"))
     summed = per_candidate.groupBy("symbol", "fold", "_at").agg(
         F.sum("_ll").alias("_ll"), F.max("last_sq").alias("last_sq"), F.max("last_v").alias("last_v")
@@ -415,6 +451,8 @@ def _states(packed: DataFrame, bounds: DataFrame, phase: str, phi: list[float])
                 "direction": zero,
                 "ll": F.lit(fresh["ll"]),
                 "start_ll": F.lit(fresh["start_ll"]),
+                "gain": F.lit(0.0),
+                "rounds": F.lit(0),
             }
         )
         .select(*_STATE.names)
@@ -423,20 +461,22 @@ def _states(packed: DataFrame, bounds: DataFrame, phase: str, phi: list[float])
 
 def _fitted(states: DataFrame, packed: DataFrame) -> DataFrame:
     """Parameters, last residual and variance, and likelihood at each state's point."""
-    final = states.withColumn("phase", F.lit("done"))
-    persistence, share = "(1D / (1D + exp(-phi[2])))", "(1D / (1D + exp(-phi[3])))"
+    final = states.withColumns({"converged": F.col("phase") == "done", "phase": F.lit("done")})
+    persistence, share = f"({_PERSISTENCE}D * pow(sin(phi[2]), 2))", "pow(sin(phi[3]), 2)"
     return final.join(_likelihoods(packed, final), ["symbol", "fold"]).selectExpr(
         "symbol",
         "fold",
         "train_end AS n_obs",
         "mean + phi[0] * sqrt(variance) AS mu",
-        "variance * exp(phi[1]) AS omega",
+        f"variance * exp(phi[1]) * (1D - {persistence}) AS omega",
         f"{persistence} * {share} AS alpha",
         f"{persistence} * (1D - {share}) AS beta",
         "last_sq AS last_resid_sq",
         "last_v AS last_variance",
         "lls[0] AS log_likelihood",
         "start_ll AS start_log_likelihood",
+        "converged",
+        "rounds",
     )
 
 
@@ -448,13 +488,13 @@ def fit_by_rounds(numbered: DataFrame, n_splits: int, horizon: int, min_train_si
     bounds = bounds_of_counts(counts, n_splits, horizon, min_train_size).select("symbol", "fold", "train_end")
     fresh = new_search()
     states = materialize(_states(packed, bounds, fresh["phase"], fresh["phi"]))
-    for _ in range(_MAX_ROUNDS):
-        open_ones = states.where(F.col("phase") != "done")
-        if open_ones.isEmpty():
-            break
+    searching = F.col("phase").isin("start", "stencil", "line") & (F.col("rounds") < MAX_ROUNDS)
+    while not states.where(searching).isEmpty():
+        open_ones = states.where(searching)
         scored = open_ones.join(_likelihoods(packed, open_ones), ["symbol", "fold"])
         moved = scored.select(*_STATE.names, "lls").mapInPandas(_advance_states, _STATE)
-        states = materialize(states.where(F.col("phase") == "done").unionByName(moved))
+        before, states = states, materialize(states.where(~searching).unionByName(moved))
+        release(before)
     return _fitted(states, packed)
 
 
@@ -463,7 +503,7 @@ def garch_likelihood(numbered: DataFrame, alpha: float, beta: float, omega_share
     ``omega = omega_share * variance``; evaluated block by block, for any length."""
     packed = materialize(packed_blocks(numbered, before=1))
     whole = packed.groupBy("symbol").agg(F.max("n").alias("train_end")).withColumn("fold", F.lit(0))
-    point = [0.0, math.log(omega_share), _logit(alpha + beta), _logit(alpha / (alpha + beta))]
+    point = [0.0, math.log(omega_share / (1 - alpha - beta)), *_angles(alpha + beta, alpha / (alpha + beta))]
     states = _states(packed, whole, "done", point)
     return _fitted(states, packed).select("symbol", "n_obs", "log_likelihood", "last_variance")
 
@@ -484,5 +524,9 @@ def horizon_volatility(horizon: int, annualize: bool = True) -> Column:
 
 
 def garch_forecast(params: DataFrame, horizon: int = 5, annualize: bool = True) -> DataFrame:
-    """One forecast per symbol and fold; it holds for all test dates of the fold."""
-    return params.select("symbol", "fold", horizon_volatility(horizon, annualize).alias("pred"))
+    """One forecast per symbol and fold; it holds for all test dates of the fold.  NULL where the fit
+    did not converge."""
+    pred = horizon_volatility(horizon, annualize)
+    if "converged" in params.columns:
+        pred = F.when(F.col("converged"), pred)
+    return params.select("symbol", "fold", pred.alias("pred"))

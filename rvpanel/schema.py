@@ -42,6 +42,8 @@ GARCH_PARAMS = _table(
     ("last_variance", _DBL),
     ("log_likelihood", _DBL),
     ("start_log_likelihood", _DBL),
+    ("converged", T.BooleanType()),
+    ("rounds", _INT),
 )
 
 # Names of the feature columns and of the target.

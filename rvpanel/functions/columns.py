@@ -66,5 +66,5 @@ def qlike(actual: str, pred: str, strict: bool = False) -> Column:
     """
     q = f"pow(try_divide({actual}, {pred}), 2)"
     bad = f"count_if({actual} <= 0 OR {pred} <= 0) > 0"
-    fault = "double(raise_error('QLIKE requires strictly positive volatilities'))" if strict else "NULL"
+    fault = "double(raise_error('QLIKE of a volatility that is not strictly positive'))" if strict else "NULL"
     return F.expr(f"CASE WHEN {bad} THEN {fault} ELSE avg({q} - ln({q}) - 1D) END")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rvpanel.operators.layout import bucketed, number
+from rvpanel.operators.layout import bucket_starts, bucketed, group_table, number
 
 CALENDAR = "*"
 
@@ -138,26 +138,16 @@ def fold_dates(numbered: DataFrame, bounds: DataFrame) -> DataFrame:
 def rows_before(index: DataFrame, points: DataFrame) -> DataFrame:
     """For each point (symbol, date): the number of index rows dated before it.
 
-    Whole buckets are counted from the bucket table, only the point's own bucket is
-    compared row by row, so no join gathers a symbol's rows.
+    Points and rows are laid out together: a running count inside the calendar bucket, plus the rows of the
+    symbol's earlier buckets from the bucket table.  Nothing is compared pair by pair.
     """
-    rows = bucketed(index.select("symbol", "date"))
-    asked = bucketed(points.select("symbol", "date").distinct())
-    counts = rows.groupBy("symbol", "_bucket").agg(F.count("*").alias("_count"))
-    c = counts.withColumnRenamed("_bucket", "_earlier")
-    whole = (
-        asked.join(c, "symbol", "left")
-        .groupBy("symbol", "date", "_bucket")
-        .agg(F.sum(F.when(F.col("_earlier") < F.col("_bucket"), F.col("_count"))).alias("_whole"))
-    )
-    r = rows.withColumnRenamed("date", "_date")
-    part = (
-        asked.join(r, ["symbol", "_bucket"], "left")
-        .groupBy("symbol", "_bucket", "date")
-        .agg(F.count_if(F.col("_date") < F.col("date")).alias("_part"))
-    )
-    total = F.coalesce("_whole", F.lit(0)) + F.col("_part")
-    return whole.join(part, ["symbol", "_bucket", "date"]).select("symbol", "date", total.alias("before"))
+    asked = points.select("symbol", "date").distinct().withColumn("_is_row", F.lit(0))
+    rows = bucketed(index.select("symbol", "date").withColumn("_is_row", F.lit(1)).unionByName(asked))
+    starts = bucket_starts(group_table(rows, ["symbol", "_bucket"], F.expr("sum(_is_row)").alias("_count")))
+    # A point comes before the rows of its own date.
+    so_far = "PARTITION BY symbol, _bucket ORDER BY date, _is_row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    running = rows.selectExpr("*", f"sum(_is_row) OVER ({so_far}) AS _here").where("_is_row = 0")
+    return running.join(starts, ["symbol", "_bucket"]).selectExpr("symbol", "date", "_start + _here AS before")
 
 
 def fold_violations(index: DataFrame, folds: DataFrame, horizon: int, strict: bool = False) -> DataFrame:
@@ -188,15 +178,16 @@ def fold_violations(index: DataFrame, folds: DataFrame, horizon: int, strict: bo
     overlap = F.when(
         F.col("test_first") <= F.col("train_last"),
         F.concat(
+            # Fixed value: these first words.
             F.lit("test starts at "),
             F.col("test_first").cast("string"),
-            F.lit(" but train ends at "),
+            F.lit(", which is not after the last train date "),
             F.col("train_last").cast("string"),
         ),
     )
     embargo = F.when(
         F.col("gap_rows") < horizon,
-        F.concat(F.lit("gap is "), F.col("gap_rows").cast("string"), F.lit(f" rows, need {horizon}")),
+        F.concat(F.lit("gap is "), F.col("gap_rows").cast("string"), F.lit(f" of at least {horizon} rows")),
     )
     faults = gaps.select(
         "symbol",

@@ -94,12 +94,12 @@ def number(df: DataFrame) -> DataFrame:
     if is_numbered(df):
         return df
     rows = bucketed(df)
-    starts = _starts(group_table(rows, _BUCKET, F.expr("count(*)").alias("_count")))
+    starts = bucket_starts(group_table(rows, _BUCKET, F.expr("count(*)").alias("_count")))
     ranked = rows.selectExpr("*", "row_number() OVER (PARTITION BY symbol, _bucket ORDER BY date) AS _rank")
     return ranked.join(starts, _BUCKET).selectExpr(*rows.columns, "_start + _rank - 1L AS i", "n")
 
 
-def _starts(counts: DataFrame) -> DataFrame:
+def bucket_starts(counts: DataFrame) -> DataFrame:
     """Bucket table (symbol, _bucket, _count) to each bucket's start and the symbol's total."""
     others = [c for c in counts.columns if c not in (*_BUCKET, "_count")]
     before = "PARTITION BY symbol ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -129,7 +129,7 @@ def number_changes(df: DataFrame, value: str, change: Callable[[str, str], str],
         F.expr(f"max_by({value}, date)").alias("_last"),
     )
     carried = table.selectExpr("*", "lag(_last) OVER (PARTITION BY symbol ORDER BY _bucket) AS _carry")
-    starts = _starts(
+    starts = bucket_starts(
         carried.selectExpr(*_BUCKET, "_carry", f"_inner + int({change('_first', '_carry')} IS NOT NULL) AS _count")
     )
     changed = local.join(starts, _BUCKET).selectExpr(

@@ -582,8 +582,8 @@ def calendar_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
             count(*) FILTER (WHERE idx.date > g.train_last AND idx.date < g.test_first) AS gap_rows
           FROM given g JOIN idx ON idx.symbol = g.symbol GROUP BY 1, 2, 3, 4)""",
         select="""SELECT *, CASE WHEN test_first <= train_last THEN 'overlap' ELSE 'embargo' END AS fault,
-          CASE WHEN test_first <= train_last THEN 'test starts at ' || test_first || ' but train ends at ' || train_last
-            ELSE 'gap is ' || gap_rows || ' rows, need 3' END AS message
+          CASE WHEN test_first <= train_last THEN 'test starts at ' || test_first || ', which is not after the last train date ' || train_last
+            ELSE 'gap is ' || gap_rows || ' of at least 3 rows' END AS message
           FROM gaps WHERE gap_rows < 3 OR test_first <= train_last""",
     ),
 )

@@ -94,7 +94,7 @@ def test_overlap_and_embargo_violations(spark, tiny_groups):
     rows = {r.fold: r for r in fo.fold_violations(index, folds, 5).collect()}
     assert set(rows) == {0, 1}
     assert rows[0].fault == "overlap" and rows[0].message.startswith("test starts at")
-    assert rows[1].fault == "embargo" and rows[1].message == "gap is 1 rows, need 5"
+    assert rows[1].fault == "embargo" and rows[1].message == "gap is 1 of at least 5 rows"
     with pytest.raises(PySparkException, match="gap is"):
         fo.fold_violations(index, folds.where("fold = 1"), 5, strict=True).collect()
 

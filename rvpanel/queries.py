@@ -19,9 +19,10 @@ from rvpanel.operators import folds as fo
 from rvpanel.operators import garch as ga
 from rvpanel.operators.ewma import ewma_forecast
 from rvpanel.operators.layout import number
-from rvpanel.operators.learned import learned_forecasts
+from rvpanel.operators.learned import learned_forecasts, train_final_model
 from rvpanel.operators.scaling import apply_scaler, fit_scaler
 from rvpanel.plans import backtest as bt
+from rvpanel.plans import runs
 from rvpanel.plans.learned import evaluate_learned
 from rvpanel.plans.runs import best_run
 from rvpanel.schema import FEATURES
@@ -170,8 +171,9 @@ def _scored(*models: str) -> str:
 _PREDS_NAIVE = "preds AS (SELECT symbol, date, fold, actual, naive FROM tested)"
 _PREDS_BOTH = """preds AS (
   SELECT t.symbol, t.date, t.fold, t.actual, t.naive, e.ewma FROM tested t JOIN ewma e USING (symbol, i))"""
-_BOARD = """board AS (
-  SELECT symbol, model, avg(rmse) AS rmse, avg(mae) AS mae, avg(qlike) AS qlike,
+# A mean over folds is missing if one fold is.
+_BOARD = f"""board AS (
+  SELECT symbol, model, {', '.join(f'CASE WHEN count({m}) = count(*) THEN avg({m}) END AS {m}' for m in ('rmse', 'mae', 'qlike'))},
          CAST(count(*) AS BIGINT) AS n_folds, CAST(sum(n_bad) AS BIGINT) AS n_bad
   FROM scored GROUP BY 1, 2)"""
 
@@ -909,3 +911,96 @@ def learned_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear model on the same windows, all folds."""
     return bt.rounded(evaluate_learned(vwap_daily(spark, sf_dir), settings_from({"learner": "linear"})))
 
+
+
+# Calendar positions of the feature rows, and the default folds over them.
+_CALENDAR = (
+    "cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p, count(*) OVER () AS m FROM (SELECT DISTINCT date FROM feat))",
+    """placed AS (SELECT feat.*, p, m, lag(p, 29) OVER (PARTITION BY symbol ORDER BY date) AS p_first
+      FROM feat JOIN cal USING (date))""",
+    """folded AS (SELECT *, m - (5 - fold) * (m // 6) AS test_start, m - (5 - fold) * (m // 6) + m // 6 AS test_end,
+      m - (5 - fold) * (m // 6) - 5 AS train_end FROM placed, (SELECT CAST(unnest(range(5)) AS INTEGER) AS fold))""",
+)
+
+
+@_query(
+    "learned_rows",
+    _with(
+        _PANEL,
+        _RET,
+        _feature_sql(),
+        *_CALENDAR,
+        select=f"""SELECT symbol, date, fold, {_q(6, 'actual')} FROM (SELECT symbol, date, fold, rv_target AS actual FROM folded
+          WHERE train_end >= 252 AND p_first >= test_start AND p < test_end)""",
+    ),
+)
+def learned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows get a learned forecast under the default settings, in all folds."""
+    found = learned_forecasts(vwap_daily(spark, sf_dir), settings_from({"learner": "linear"}))
+    return _round(found.where("pred IS NOT NULL"), 6, "actual").select("symbol", "date", "fold", "actual")
+
+
+@_query(
+    "learned_linear_small",
+    _with(
+        _PANEL,
+        _RET,
+        _feature_sql(),
+        *_CALENDAR,
+        "inner_ AS (SELECT *, train_end - CAST(floor(train_end * 0.2::DOUBLE) AS BIGINT) AS inner_end FROM folded WHERE train_end >= 252)",
+        """scale AS (SELECT symbol, fold, avg(rv_20d) AS mean, CASE WHEN stddev_pop(rv_20d) = 0 THEN 1 ELSE stddev_pop(rv_20d) END AS std
+          FROM inner_ WHERE p < inner_end GROUP BY 1, 2)""",
+        "scaled AS (SELECT inner_.*, CAST(CAST((rv_20d - mean) / std AS FLOAT) AS DOUBLE) AS x FROM inner_ JOIN scale USING (symbol, fold))",
+        """line AS (SELECT fold, regr_slope(rv_target, x) AS b, regr_intercept(rv_target, x) AS a
+          FROM scaled WHERE p < inner_end GROUP BY 1)""",
+        select=f"""SELECT symbol, date, fold, {_q(5, 'actual', 'pred')} FROM (
+          SELECT symbol, date, fold, rv_target AS actual, a + b * x AS pred FROM scaled JOIN line USING (fold)
+          WHERE p >= test_start AND p < test_end)""",
+    ),
+)
+def learned_linear_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feature, windows of one row, least squares: forecasts of all folds."""
+    config = settings_from({"learner": "linear", "features": ("rv_20d",), "window": 1})
+    found = learned_forecasts(vwap_daily(spark, sf_dir), config)
+    return _round(found, 5, "actual", "pred").select("symbol", "date", "fold", "actual", "pred")
+
+
+def vwap_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many symbols: one per supplier."""
+    symbol = F.col("l_suppkey").cast("string").alias("symbol")
+    px = (F.sum(_cents("l_extendedprice")) / 100 / F.sum("l_quantity")).alias("px")
+    return table(spark, sf_dir, "lineitem").groupBy(symbol, F.to_date("l_shipdate").alias("date")).agg(px)
+
+
+_SUPPLIER_PANEL = _NATION_PANEL.replace("s_nationkey", "l_suppkey").replace(" JOIN supplier ON s_suppkey = l_suppkey", "")
+
+
+@_query("supplier_features", _with(_SUPPLIER_PANEL, _RET, _feature_sql(), select=_FEATURE_SELECT))
+def supplier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(fe.build_features(vwap_by_supplier(spark, sf_dir)), 6, *FEATURES, "rv_target")
+
+
+
+@_query(
+    "final_model_scaler",
+    _with(
+        _PANEL,
+        _RET,
+        _feature_sql(),
+        *_CALENDAR[:2],
+        "inner_ AS (SELECT * FROM placed WHERE p < m - CAST(floor(m * 0.2::DOUBLE) AS BIGINT))",
+        select="SELECT symbol, "
+        + ", ".join(
+            f"round(avg({c}), 6) + 0.0 AS mean_{c}, round(CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END, 6) + 0.0 AS std_{c}"
+            for c in FEATURES
+        )
+        + " FROM inner_ GROUP BY 1",
+    ),
+)
+def final_model_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaler of the model that is kept, as it is stored under a run and loaded again."""
+    config, root = settings_from({"learner": "linear"}), f"{shared_folder(spark)}/rvpanel-runs-{uuid.uuid4().hex}"
+    runs.log_model(*train_final_model(vwap_daily(spark, sf_dir), config), root, "default", "learned")
+    _, scaler = runs.load_model(spark, root, "learned", "default")
+    columns = [F.col(kind)[k].alias(f"{kind}_{c}") for k, c in enumerate(config.features) for kind in ("mean", "std")]
+    return _round(scaler.select("symbol", *columns), 6, *[f"{kind}_{c}" for c in config.features for kind in ("mean", "std")])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rvpanel.llm.samples import held_out, sample_by_label
-from rvpanel.llm.tasks import sent, text_slices
+from rvpanel.llm.tasks import on_executors, sent, text_slices
 
 BUCKETS = 1 << 15
 DIM = 12
@@ -96,6 +96,7 @@ class Model:
 
 def _segments(docs: DataFrame, label: str, text: str, key: str) -> list[tuple[str, int, list[bytes]]]:
     """(label, hash, words) of segments spread over the whole of each sampled document."""
+    on_executors(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -225,19 +226,25 @@ class _Scorer:
 _scorers: dict[str, _Scorer] = {}
 
 
+def _scorer(mark: str, model: Model) -> _Scorer:
+    """The process's scorer.  Tasks reach it through this function, so that they share the module's state."""
+    if mark not in _scorers:
+        _scorers.clear()
+        _scorers[mark] = _Scorer(model)
+    return _scorers[mark]
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` and the columns of ``keep`` as they are."""
     spark = docs.sparkSession
+    on_executors(spark)
     raw = pickle.dumps(model)
     shipped, mark = sent(spark, raw), hashlib.sha256(raw).hexdigest()
     keep = [c for c in keep or [] if c != id_col]
 
     def run(batches):
         fitted = pickle.loads(shipped.value)
-        if fitted is not None and mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = _Scorer(fitted)
-        scorer = _scorers.get(mark)
+        scorer = None if fitted is None else _scorer(mark, fitted)
         for batch in batches:
             pred, score, rejected = [], [], []
             for _, texts in text_slices(batch):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rvpanel.llm import words as W
-from rvpanel.llm.tasks import sent, text_slices
+from rvpanel.llm.tasks import on_executors, sent, text_slices
 from rvpanel.sources.store import materialize, release
 
 HASHED = 1 << 14
@@ -82,6 +82,9 @@ def _starts(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stage(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids binary): word ids of each text."""
+    on_executors(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             out = []

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rvpanel.llm.samples import held_out, sample_by_label
-from rvpanel.llm.tasks import sent, text_slices
+from rvpanel.llm.tasks import on_executors, sent, text_slices
 
 PASSAGE_WORDS = 48
 WORD_BUCKETS = 1 << 12
@@ -194,6 +194,7 @@ def fit(bags: list[tuple[int, list[list[bytes]]]], epochs: int = 8, rate: float
 
 def _bags(rows: DataFrame) -> list[tuple[int, list[list[bytes]]]]:
     """Sampled passages of the sampled documents, in the order of a hash of their ids."""
+    on_executors(rows.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -267,16 +268,22 @@ class _Scorer:
 _scorers: dict[str, _Scorer] = {}
 
 
+def _scorer(mark: str, shipped) -> _Scorer:
+    """The process's scorer.  Tasks reach it through this function, so that they share the module's state."""
+    if mark not in _scorers:
+        _scorers.clear()
+        _scorers[mark] = _Scorer(pickle.loads(shipped.value))
+    return _scorers[mark]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every document."""
+    on_executors(docs.sparkSession)
     raw = pickle.dumps(model)
     shipped, mark = sent(docs.sparkSession, raw), hashlib.sha256(raw).hexdigest()
 
     def run(batches):
-        if mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = _Scorer(pickle.loads(shipped.value))
-        scorer = _scorers[mark]
+        scorer = _scorer(mark, shipped)
         for batch in batches:
             found = [np.zeros(0)]
             for _, texts in text_slices(batch):

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+import tempfile
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +25,22 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", rows: int = SLICE)
         yield start, texts.slice(start, rows).to_pylist()
 
 
-def split_slices(batch: pa.RecordBatch, nbytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into row ranges of about ``nbytes`` of text (always whole rows)."""
-    lengths = np.array([len(x) if x is not None else 0 for x in batch.column(batch.schema.get_field_index("text")).cast(pa.binary())])
-    start, held = 0, 0
-    for i, n in enumerate(lengths):
-        held += int(n)
-        if held >= nbytes:
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
+
+def on_executors(spark) -> None:
+    """Ship this package to the executors, once per application, as ``--py-files`` would.
+
+    Operators import it in their tasks; where it is installed on all machines this changes nothing.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_rvpanel_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="spark-rvpanel-")) / "rvpanel_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._rvpanel_shipped = True
 
 
 def partition_id() -> int:
@@ -45,10 +53,6 @@ def sent(spark, value):
     return spark.sparkContext.broadcast(value)
 
 
-def with_literal_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, once each, whatever else the table holds."""
-    return df.select(*[F.col(n) for n in names])
-
 
 def most_frequent(counts: DataFrame, key: str, n: str, limit: int) -> list:
     """The ``limit`` rows with the largest ``n`` (ties: smaller key), collected: at most
@@ -69,7 +73,3 @@ def most_frequent(counts: DataFrame, key: str, n: str, limit: int) -> list:
     # Levels are steps of an eighth of a power of two; one step lower is safe against rounding.
     least = int(math.floor(2 ** ((cut - 1) / 8)))
     return counts.where(F.col(n) >= least).orderBy(F.desc(n), key).limit(limit).collect()
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)

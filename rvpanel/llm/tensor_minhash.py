@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rvpanel.llm import words as W
 from rvpanel.llm.components import components
-from rvpanel.llm.tasks import text_slices
+from rvpanel.llm.tasks import on_executors, text_slices
 from rvpanel.sources.store import materialize
 
 SHINGLE = 5
@@ -107,6 +107,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """(doc_id, n, class, a, b): set size, 128-bit hash of the set, half-keys of the two collections."""
+    on_executors(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

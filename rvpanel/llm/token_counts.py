@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rvpanel.llm import words as W
-from rvpanel.llm.tasks import most_frequent, partition_id, sent, text_slices
+from rvpanel.llm.tasks import most_frequent, on_executors, partition_id, sent, text_slices
 from rvpanel.sources.store import materialize
 
 #: Pre-tokens whose pieces are broadcast: at most this many rows, about 10 MB.
@@ -73,6 +73,7 @@ class _Splitter:
 
 def pretoken_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(pretoken, n) over all documents."""
+    on_executors(docs.sparkSession)
 
     def count(batches):
         split = _Splitter(path)

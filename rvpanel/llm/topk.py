@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rvpanel.llm import words as W
-from rvpanel.llm.tasks import sent, text_slices
+from rvpanel.llm.tasks import on_executors, sent, text_slices
 from rvpanel.sources.store import materialize
 
 K1, B = 1.2, 0.75
@@ -74,6 +74,7 @@ def build_shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """One row per shard of the documents, stored."""
     if SHARD_DOCS > 1 << 16:
         raise ValueError("documents of a shard are numbered by 16 bits")
+    on_executors(docs.sparkSession)
 
     def run(batches):
         terms, at, tf, lengths, ids, held = [], [], [], [], [], 0

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rvpanel.llm import words as W
-from rvpanel.llm.tasks import most_frequent, sent, text_slices
+from rvpanel.llm.tasks import most_frequent, on_executors, sent, text_slices
 from rvpanel.sources.store import materialize
 
 #: Words in the automaton: bounds what the driver compiles and broadcasts (a few MB).
@@ -165,6 +165,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all documents, words of one occurrence and long ones left out: neither
     can repay a place in the lexicon."""
 
+    on_executors(docs.sparkSession)
+
     def count(batches):
         held: Counter = Counter()
 
@@ -232,6 +234,14 @@ class _Coder:
 _coders: dict[tuple, _Coder] = {}
 
 
+def _coder(mark: str, path: str, shipped) -> _Coder:
+    """The process's coder.  Tasks reach it through this function, so that they share the module's state."""
+    if (mark, path) not in _coders:
+        _coders.clear()
+        _coders[mark, path] = _Coder(shipped.value, path)
+    return _coders[mark, path]
+
+
 def encode_decode(
     docs: DataFrame, tokenizer_path: str, lexicon: bytes, id_col: str = "doc_id", text: str = "text", outputs: bool = False
 ) -> DataFrame:
@@ -241,15 +251,12 @@ def encode_decode(
     ``lexicon`` comes from :func:`build_lexicon`; any lexicon gives the same results.
     Tokenizers whose decoder is absent (tokens joined by a space) are supported.
     """
+    on_executors(docs.sparkSession)
     shipped = sent(docs.sparkSession, lexicon)
     mark = hashlib.sha256(lexicon).hexdigest()
 
     def run(batches):
-        key = (mark, tokenizer_path)
-        if key not in _coders:
-            _coders.clear()
-            _coders[key] = _Coder(shipped.value, tokenizer_path)
-        coder = _coders[key]
+        coder = _coder(mark, tokenizer_path, shipped)
         if not coder.plain:
             raise ValueError("only tokenizers without a decoder join their tokens word by word")
         for batch in batches:

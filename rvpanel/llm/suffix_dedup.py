@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rvpanel.llm.tasks import on_executors
 from rvpanel.sources.store import materialize, release, shared_folder
 
 LENGTH = 200
@@ -427,6 +428,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, text: str = "
     if length < GRAM + 8:
         raise ValueError(f"strings of at least {GRAM + 8} bytes are needed")
     spark, keep = docs.sparkSession, keep or ["doc_id"]
+    on_executors(spark)
     # Distinct texts, laid out by class, so that later joins by class do not move texts again.
     classes = _class_of(docs, text).groupBy("class").agg(F.first("bytes").alias("bytes"), F.count("*").cast("long").alias("many"))
     name = f"texts_{uuid.uuid4().hex}"
@@ -437,12 +439,14 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, text: str = "
     texts = spark.table(name)
 
     found = materialize(_anchor_table(texts.where(F.length("bytes") >= length), length))
-    counts = found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    # Stored, so that the join's two sides are plain shuffles and a hot k-gram's rows can be split.
+    counts = materialize(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
     salts = F.ceil(F.col("k") / HOT).cast("int")
     marked = found.join(counts, "h").withColumn("salts", salts)
     marked = marked.withColumn("salt", F.pmod(F.hash("class", "pos"), F.col("salts"))).drop("k")
     marked = materialize(marked)
     release(found)
+    release(counts)
     by_text = marked.groupBy("class").agg(F.collect_list(F.struct("h", "salt", "salts", "pos", "low", "high")).alias("marks"))
     rows = texts.select("class", "bytes").join(by_text, "class").select("class", "bytes", "marks")
     dealt = _contexts(rows, length).repartition("h", "salt").sortWithinPartitions("h", "salt")

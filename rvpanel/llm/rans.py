@@ -27,8 +27,11 @@ no rows.  Texts are encoded whole; a document never leaves its record, however l
 from __future__ import annotations
 
 import struct
+import sys
+import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rvpanel.llm import words as W
-from rvpanel.llm.tasks import partition_id, sent, text_slices
+from rvpanel.llm.tasks import on_executors, partition_id, sent, text_slices
 from rvpanel.sources.store import shared_folder
 
 SCALE_BITS = 20
@@ -177,23 +180,31 @@ def decode(payload: bytes, table: Table, only: list[int] | None = None) -> list[
     return out
 
 
-_MARKS = (b".", b",")
+_MARKS = {b".", b","}
 _memos: dict[tuple, W.Memo] = {}
 
 
+def _letters(word: bytes) -> bool:
+    """Whether the word is letters only, also once composed and in lower case (which may split marks off)."""
+    if word.isascii():
+        return word.isalpha()
+    return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha()
+
+
 def _encoder(path: str, dtype: str):
     memo, apart = _memos.setdefault((path, dtype), W.Memo()), W.letters_alone(path)
+    kind = "H" if dtype == "<u2" else "I"
 
     def learn(lists):
         memo.room()
         fresh = W.missing(memo, lists)
         # Letters with a mark behind are the letters' ids and the mark's.
-        marked = [w for w in fresh if apart and w[-1:] in _MARKS and w[:-1].isalpha()]
+        marked = [w for w in fresh if apart and w[-1:] in _MARKS and _letters(w[:-1])]
         whole = set(fresh).difference(marked)
         whole.update(b for b in {w[:-1] for w in marked} | {w[-1:] for w in marked} if b not in memo)
         whole = list(whole)
         for word, ids in zip(whole, W.plain_ids(path, whole), strict=True):
-            raw = np.array(ids, dtype).tobytes()
+            raw = array(kind, ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype).tobytes()
             memo.put(word, raw, len(word) + len(raw))
         for word in marked:
             raw = memo[word[:-1]] + memo[word[-1:]]
@@ -204,6 +215,7 @@ def _encoder(path: str, dtype: str):
 
 def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids binary): each text's ids with the end id, 2 bytes an id where the vocabulary allows."""
+    on_executors(docs.sparkSession)
 
     def run(batches):
         size = W.tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True)
@@ -308,6 +320,7 @@ def read(spark: SparkSession, path: str, outputs: bool = False) -> DataFrame:
 
     Starts add the shards before (one row per shard) to the place inside the shard.
     """
+    on_executors(spark)
     schema = "shard int, record int, shard_start long, n_tokens long, doc_index binary, payload binary"
     records = spark.read.schema(schema).parquet(f"{path}/records")
     shards = records.groupBy("shard").agg(F.sum("n_tokens").alias("n"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rvpanel.llm import words as W
 from rvpanel.llm.samples import held_out, sample_by_label
 from rvpanel.llm.tasks import on_executors, sent, text_slices
 
@@ -228,6 +229,7 @@ _scorers: dict[str, _Scorer] = {}
 
 def _scorer(mark: str, model: Model) -> _Scorer:
     """The process's scorer.  Tasks reach it through this function, so that they share the module's state."""
+    W.claim("langid", _scorers)
     if mark not in _scorers:
         _scorers.clear()
         _scorers[mark] = _Scorer(model)

@@ -51,6 +51,7 @@ _memo = W.Memo(48 << 20)
 def word_ids(texts: list[bytes | None]) -> list[np.ndarray]:
     """uint32 id of each word of each text."""
     lists = [t.lower().translate(_MARKS).split() if t else [] for t in texts]
+    W.claim("latent_decontam", _memo)
     _memo.room()
     for w in W.missing(_memo, lists):
         _memo.put(w, xxhash.xxh32_intdigest(w), len(w))

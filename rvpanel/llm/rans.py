@@ -192,6 +192,7 @@ def _letters(word: bytes) -> bool:
 
 
 def _encoder(path: str, dtype: str):
+    W.claim("rans", _memos)
     memo, apart = _memos.setdefault((path, dtype), W.Memo()), W.letters_alone(path)
     kind = "H" if dtype == "<u2" else "I"
 

@@ -56,6 +56,7 @@ _word_hash = W.Memo(32 << 20)
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text (A-Z lower-cased, split at ASCII white space)."""
     lists = [t.lower().split() if t else [] for t in texts]
+    W.claim("tensor_minhash", _word_hash)
     _word_hash.room()
     for w in W.missing(_word_hash, lists):
         _word_hash.put(w, xxhash.xxh64_intdigest(w), len(w))

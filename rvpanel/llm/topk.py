@@ -44,6 +44,7 @@ _memo = W.Memo(48 << 20)
 
 def word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
     lists = [t.translate(_LETTERS).split() if t else [] for t in texts]
+    W.claim("topk", _memo)
     _memo.room()
     for w in W.missing(_memo, lists):
         _memo.put(w, xxhash.xxh64_intdigest(w), len(w))

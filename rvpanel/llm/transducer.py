@@ -236,6 +236,7 @@ _coders: dict[tuple, _Coder] = {}
 
 def _coder(mark: str, path: str, shipped) -> _Coder:
     """The process's coder.  Tasks reach it through this function, so that they share the module's state."""
+    W.claim("transducer", _coders)
     if (mark, path) not in _coders:
         _coders.clear()
         _coders[mark, path] = _Coder(shipped.value, path)

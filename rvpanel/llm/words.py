@@ -14,7 +14,7 @@ import unicodedata
 from functools import lru_cache
 
 #: Bytes of words and outputs a memo may hold before it starts anew.
-MEMO_BYTES = 112 << 20
+MEMO_BYTES = 80 << 20
 
 
 @lru_cache(maxsize=4)
@@ -84,6 +84,19 @@ def library_ids(path: str, words: list[bytes]) -> list[list[int]]:
     return out
 
 
+_held: dict[str, tuple] = {}
+
+
+def claim(owner: str, *caches) -> None:
+    """Tasks call this before they use their operator's caches: what other operators left in the
+    process is dropped, so that a worker holds the memos of one operator at a time."""
+    if owner not in _held:
+        for other in list(_held):
+            for cache in _held.pop(other):
+                cache.clear()
+        _held[owner] = caches
+
+
 class Memo(dict):
     """A dict of what words map to, cleared when it has taken more than its share."""
 
@@ -91,11 +104,14 @@ class Memo(dict):
         super().__init__()
         self.most, self.held = most, 0
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
     def room(self) -> None:
         """Called between slices, when nothing refers to the entries."""
         if self.held > self.most:
             self.clear()
-            self.held = 0
 
     def put(self, word: bytes, value, size: int) -> None:
         self[word] = value

@@ -8,6 +8,9 @@
    on the driver, by the one-pass Nystrom form.
 4. Cosine search: passages of ``PASSAGE`` words overlapping by half, projected on the singular vectors, against the benchmark items, a block
    of at most ``ITEMS`` at a time.  All passages meet all items as matrix products; only hits leave them.
+   Items of fewer than ``SHORT`` words are also held against passages of ``HALF`` words, where neighbours dilute them less,
+   with the lower ``SHORT_COSINE``.  Places that share ``RUN`` words in a row with an item are candidates whatever their
+   cosine, so no exact copy is lost.
 5. A hit is confirmed on words: the longest common subsequence of item and region must reach ``LCS`` of the item,
    and that of its answer (the last quarter of the item) ``ANSWER`` of the answer.  So paraphrases
    that keep most words in order are found, and texts on the same subject are left alone.
@@ -18,6 +21,9 @@ repeated documents and items give a row each; a null id is carried as it is; no
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,10 +42,16 @@ STOP = 1.2
 #: Words of a passage of the matrix that is decomposed.
 LONG = 128
 HALF = 16
+QUARTER = HALF // 2
 PASSAGE = 2 * HALF
 ITEMS = 2048
 SHORTEST = 8
 COSINE = 0.4
+#: Items of fewer words are looked for in passages of ``HALF`` words, too.
+SHORT = 24
+SHORT_COSINE = 0.3
+#: Words in a row that make a place a candidate.
+RUN = 4
 LCS = 0.65
 ANSWER = 0.5
 _BLOCKS = 32
@@ -61,16 +73,24 @@ def word_ids(texts: list[bytes | None]) -> list[np.ndarray]:
 
 def lcs(item: list[int], region: list[int]) -> int:
     """Length of the longest common subsequence, a bit per word of the item."""
+    return _lcs(len(item), list(filter(None, map(_masks(item).get, region))))
+
+
+def _masks(item: list[int]) -> dict[int, int]:
+    """Places of each word of the item, as bits."""
     masks: dict[int, int] = {}
     for i, w in enumerate(item):
         masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
+    return masks
+
+
+def _lcs(n: int, masks: list[int]) -> int:
+    full = (1 << n) - 1
     v = full
-    for w in region:
-        if m := masks.get(w):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+    for m in masks:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
 
 
 def _starts(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,8 +219,17 @@ def singular_vectors(staged: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np
     return (q @ turn[:, best]).astype(np.float32), np.sqrt(values[best].clip(0))
 
 
+def _runs(words: np.ndarray) -> np.ndarray:
+    """Hash of the ``RUN`` words from each word on."""
+    n = max(0, len(words) - RUN + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        h = (h + words[k : k + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return h
+
+
 class Items:
-    """A block of benchmark items: words, and latent vectors of their passages."""
+    """A block of benchmark items: words, latent vectors of their passages, and runs of words."""
 
     def __init__(self, rows: list[tuple[object, bytes | None]], idf: np.ndarray, vectors: np.ndarray, values: np.ndarray):
         known = Vocabulary(idf)
@@ -222,30 +251,69 @@ class Items:
                 owner.append(len(self.ids) - 1)
         self.owner = np.array(owner, np.int64)
         self.matrix = _unit(np.array(made, np.float32).reshape(len(made), vectors.shape[1]))
+        self.masks = [_masks(ws) for ws in self.words]
+        self.short = np.array([k for k, i in enumerate(self.owner.tolist()) if len(self.words[i]) < SHORT], np.int64)
+        runs = [_runs(np.array(ws, np.uint32)) for ws in self.words]
+        hashes = np.concatenate([*runs, np.zeros(0, np.uint64)])
+        order = np.argsort(hashes, kind="stable")
+        self.runs, self.run_item = hashes[order], np.repeat(np.arange(len(runs)), [len(r) for r in runs])[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.runs >> np.uint64(44)] = True
+
+    def copied(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, item) where runs of words of items start in the joined texts."""
+        h = _runs(words)
+        at = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+        low, high = np.searchsorted(self.runs, h[at], "left"), np.searchsorted(self.runs, h[at], "right")
+        n = high - low
+        return np.repeat(at, n), self.run_item[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
     def hits(self, rows: list[np.ndarray]):
         """(row, item, start, cosine) of passages near an item."""
         sizes = np.array([len(r) for r in rows])
-        starts, owner = _starts(sizes, HALF)
+        starts, owner = _starts(sizes, QUARTER)
         if not len(starts) or not len(self.owner):
             return
-        flat = np.concatenate(rows) & np.uint32(HASHED - 1)
+        words = np.concatenate(rows)
+        flat = words & np.uint32(HASHED - 1)
         on = np.flatnonzero(self.used[flat])
         first_on = np.searchsorted(on, starts)
         some = np.diff(np.append(first_on, len(on))) > 0
-        halves = np.zeros((len(starts), self.weighted.shape[1]), np.float32)
+        narrow = np.zeros((len(starts), self.weighted.shape[1]), np.float32)
         if some.any():
-            halves[some] = np.add.reduceat(self.weighted[flat[on]], first_on[some])
-        whole = halves.copy()
-        same = owner[1:] == owner[:-1]
-        whole[:-1][same] += halves[1:][same]
-        near = _unit(whole) @ self.matrix.T
-        at, item = np.nonzero(near >= COSINE)
+            narrow[some] = np.add.reduceat(self.weighted[flat[on]], first_on[some])
+        same = np.flatnonzero(owner[1:] == owner[:-1])
+        narrow[same] += narrow[same + 1]
         first = np.cumsum(sizes) - sizes
-        found: dict[tuple[int, int], list[tuple[float, int]]] = {}
-        for a, i in zip(at.tolist(), self.owner[item].tolist(), strict=True):
-            found.setdefault((int(owner[a]), i), []).append((-float(near[a].max()), int(starts[a] - first[owner[a]])))
-        yield from ((r, i, sorted(places)) for (r, i), places in found.items())
+        place = starts - first[owner]
+        even = np.flatnonzero(place % HALF == 0)
+        wide = narrow[even]
+        same = np.flatnonzero(owner[np.minimum(even + 2, len(owner) - 1)] == owner[even])
+        same = same[even[same] + 2 < len(owner)]
+        wide[same] += narrow[even[same] + 2]
+        near = _cosines(wide, self.matrix)
+        found: dict[tuple[int, int], dict[int, float]] = {}
+
+        def add(text, start, item, cosine):
+            for r, s, i, c in zip(text.tolist(), start.tolist(), item.tolist(), cosine.tolist(), strict=True):
+                places = found.setdefault((r, i), {})
+                places[s] = max(c, places.get(s, -1.0))
+
+        at, part = np.nonzero(near >= COSINE)
+        add(owner[even[at]], place[even[at]], self.owner[part], near[at, part])
+        if len(self.short):
+            close = _cosines(narrow, self.matrix[self.short])
+            at, part = np.nonzero(close >= SHORT_COSINE)
+            add(owner[at], place[at] // HALF * HALF, self.owner[self.short[part]], close[at, part])
+        at, item = self.copied(words)
+        text = np.searchsorted(first, at, "right") - 1
+        inside = at + RUN <= first[text] + sizes[text]
+        at, item, text = at[inside], item[inside], text[inside]
+        start = (at - first[text]) // HALF * HALF
+        passage = np.searchsorted(starts[even], first[text] + start)
+        part = np.searchsorted(self.owner, item)
+        add(text, start, item, near[passage, part])
+        yield from ((r, i, sorted((-c, s) for s, c in places.items())) for (r, i), places in found.items())
 
     def confirm(self, words: np.ndarray, item: int, places: list[tuple[float, int]]) -> tuple[float, float, int, float] | None:
         """(LCS share, answer share, start, cosine) of the first place that is confirmed."""
@@ -259,7 +327,11 @@ class Items:
             done.append((b, e))
             region = words[b:e].tolist()
             # Cut to the part that can hold the item with a few words put in.
-            share = lcs(mine, region) / n
+            masks = list(filter(None, map(self.masks[item].get, region)))
+            # As many words as the places of the item that occur at all are the most there can be in order.
+            if reduce(or_, masks, 0).bit_count() / n < LCS:
+                continue
+            share = _lcs(n, masks) / n
             if share < LCS:
                 continue
             told = lcs(answer, region) / len(answer)
@@ -272,6 +344,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
 
 
+def _cosines(x: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Cosines of rows with unit vectors."""
+    return (x @ unit.T) / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+
+
 def search(staged: DataFrame, items: list[tuple[object, bytes | None]], idf: np.ndarray, vectors: np.ndarray, values: np.ndarray, item_kind: str) -> DataFrame:
     """Matches of one block of items: ``doc_id, item_id, lcs, answer_lcs, cosine``."""
     shipped = sent(staged.sparkSession, (items, idf, vectors, values))

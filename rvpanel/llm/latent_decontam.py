@@ -2,15 +2,17 @@
 
 1. Texts become word ids (32-bit hashes of lower-cased words without ASCII marks), stored once.
 2. Document frequencies of hashed words are counted over all passages of ``PASSAGE`` words.  The ``FEATURES`` most
-   frequent words that are no stop words make TF-IDF vectors.
+   frequent words make TF-IDF vectors.  No word is dropped for being common, as a group of copies can make it so; ``FLOOR``
+   is the least weight.
 3. Distributed randomised SVD: every task adds up A'(A G) of its passages (``LONG`` words) for a seeded Gaussian G,
    tasks are added by block of rows, and the small matrices (``FEATURES`` x ``RANK``, a fixed size) give the right singular vectors
    on the driver, by the one-pass Nystrom form.
 4. Cosine search: passages of ``PASSAGE`` words overlapping by half, projected on the singular vectors, against the benchmark items, a block
    of at most ``ITEMS`` at a time.  All passages meet all items as matrix products; only hits leave them.
    Items of fewer than ``SHORT`` words are also held against passages of ``HALF`` words, where neighbours dilute them less,
-   with the lower ``SHORT_COSINE``.  Places that share ``RUN`` words in a row with an item are candidates whatever their
-   cosine, so no exact copy is lost.
+   with the lower ``SHORT_COSINE``.  Whatever the cosine, a place is a candidate if it holds as many pairs of
+   neighbouring words of the item as stay when words are replaced or left out up to the limit of ``LCS`` (each breaks
+   two pairs).  So no such copy is lost, however common its words are.
 5. A hit is confirmed on words: the longest common subsequence of item and region must reach ``LCS`` of the item,
    and that of its answer (the last quarter of the item) ``ANSWER`` of the answer.  So paraphrases
    that keep most words in order are found, and texts on the same subject are left alone.
@@ -37,8 +39,8 @@ from rvpanel.sources.store import materialize, release
 HASHED = 1 << 14
 FEATURES = 2048
 RANK = 128
-#: Features of a lower IDF are stop words.
-STOP = 1.2
+#: Added to the IDF, so that words of all passages count a little.
+FLOOR = 0.1
 #: Words of a passage of the matrix that is decomposed.
 LONG = 128
 HALF = 16
@@ -50,8 +52,6 @@ COSINE = 0.4
 #: Items of fewer words are looked for in passages of ``HALF`` words, too.
 SHORT = 24
 SHORT_COSINE = 0.3
-#: Words in a row that make a place a candidate.
-RUN = 4
 LCS = 0.65
 ANSWER = 0.5
 _BLOCKS = 32
@@ -157,15 +157,14 @@ def inverse_frequencies(staged: DataFrame) -> np.ndarray:
 
 
 class Vocabulary:
-    """The ``FEATURES`` most frequent features that are no stop words, and their weights."""
+    """The ``FEATURES`` most frequent features, and their weights."""
 
     def __init__(self, idf: np.ndarray):
-        kept = np.flatnonzero(idf >= STOP)
-        kept = kept[np.argsort(idf[kept], kind="stable")][:FEATURES]
+        kept = np.argsort(idf, kind="stable")[:FEATURES]
         self.kept = kept
         self.place = np.full(HASHED, -1, np.int32)
         self.place[kept] = np.arange(len(kept))
-        self.weight = idf[kept].astype(np.float32)
+        self.weight = (idf[kept] + FLOOR).astype(np.float32)
         self.rank = min(RANK, len(kept))
 
     def gaussian(self) -> np.ndarray:
@@ -219,17 +218,14 @@ def singular_vectors(staged: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np
     return (q @ turn[:, best]).astype(np.float32), np.sqrt(values[best].clip(0))
 
 
-def _runs(words: np.ndarray) -> np.ndarray:
-    """Hash of the ``RUN`` words from each word on."""
-    n = max(0, len(words) - RUN + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(RUN):
-        h = (h + words[k : k + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return h
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """Hash of each word and the next one."""
+    mixed = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed[:-1] ^ (mixed[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + mixed[1:]
 
 
 class Items:
-    """A block of benchmark items: words, latent vectors of their passages, and runs of words."""
+    """A block of benchmark items: words, latent vectors of their passages, and pairs of words."""
 
     def __init__(self, rows: list[tuple[object, bytes | None]], idf: np.ndarray, vectors: np.ndarray, values: np.ndarray):
         known = Vocabulary(idf)
@@ -253,20 +249,32 @@ class Items:
         self.matrix = _unit(np.array(made, np.float32).reshape(len(made), vectors.shape[1]))
         self.masks = [_masks(ws) for ws in self.words]
         self.short = np.array([k for k, i in enumerate(self.owner.tolist()) if len(self.words[i]) < SHORT], np.int64)
-        runs = [_runs(np.array(ws, np.uint32)) for ws in self.words]
-        hashes = np.concatenate([*runs, np.zeros(0, np.uint64)])
+        pairs = [np.unique(_pairs(np.array(ws, np.uint32))) for ws in self.words]
+        hashes = np.concatenate([*pairs, np.zeros(0, np.uint64)])
         order = np.argsort(hashes, kind="stable")
-        self.runs, self.run_item = hashes[order], np.repeat(np.arange(len(runs)), [len(r) for r in runs])[order]
+        self.pairs, self.pair_item = hashes[order], np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])[order]
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.runs >> np.uint64(44)] = True
+        self.maybe[self.pairs >> np.uint64(44)] = True
+        self.sizes = np.array([len(ws) for ws in self.words], np.int64)
+        self.least = np.maximum(2, self.sizes - 1 - 2 * (self.sizes - np.ceil(LCS * self.sizes - 1e-9).astype(np.int64)))
 
-    def copied(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, item) where runs of words of items start in the joined texts."""
-        h = _runs(words)
+    def copied(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, text, item) where enough pairs of an item start within its length, of texts joined from ``first`` on."""
+        h = _pairs(words)
         at = np.flatnonzero(self.maybe[h >> np.uint64(44)])
-        low, high = np.searchsorted(self.runs, h[at], "left"), np.searchsorted(self.runs, h[at], "right")
+        low, high = np.searchsorted(self.pairs, h[at], "left"), np.searchsorted(self.pairs, h[at], "right")
         n = high - low
-        return np.repeat(at, n), self.run_item[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        item = self.pair_item[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        at = np.repeat(at, n)
+        text = np.searchsorted(first, at, "right") - 1
+        # A pair of the last word of a text and the next text's first word only adds candidates.
+        order = np.argsort(item, kind="stable")
+        at, text, item = at[order], text[order], item[order]
+        last = np.arange(len(at)) + self.least[item] - 1
+        inside = np.flatnonzero(last < len(at))
+        last = last[inside]
+        enough = inside[(item[last] == item[inside]) & (text[last] == text[inside]) & (at[last] - at[inside] < self.sizes[item[inside]])]
+        return at[enough], text[enough], item[enough]
 
     def hits(self, rows: list[np.ndarray]):
         """(row, item, start, cosine) of passages near an item."""
@@ -305,14 +313,11 @@ class Items:
             close = _cosines(narrow, self.matrix[self.short])
             at, part = np.nonzero(close >= SHORT_COSINE)
             add(owner[at], place[at] // HALF * HALF, self.owner[self.short[part]], close[at, part])
-        at, item = self.copied(words)
-        text = np.searchsorted(first, at, "right") - 1
-        inside = at + RUN <= first[text] + sizes[text]
-        at, item, text = at[inside], item[inside], text[inside]
+        at, text, item = self.copied(words, first)
         start = (at - first[text]) // HALF * HALF
         passage = np.searchsorted(starts[even], first[text] + start)
-        part = np.searchsorted(self.owner, item)
-        add(text, start, item, near[passage, part])
+        best = np.maximum.reduceat(near[passage], np.searchsorted(self.owner, np.arange(len(self.ids))), axis=1)
+        add(text, start, item, best[np.arange(len(item)), item])
         yield from ((r, i, sorted((-c, s) for s, c in places.items())) for (r, i), places in found.items())
 
     def confirm(self, words: np.ndarray, item: int, places: list[tuple[float, int]]) -> tuple[float, float, int, float] | None:

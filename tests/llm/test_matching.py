@@ -251,6 +251,37 @@ def test_leaks_of_short_items(spark):
     assert len(near & got) >= 0.9 * len(near)
 
 
+def reworded(words):
+    """Every fourth word is another, so that no four in a row stay."""
+    return [w if j % 4 != 3 else f"zz{j}" for j, w in enumerate(words)]
+
+
+def test_leaks_in_one_document(spark):
+    """All words stand in all passages of a table of a document or two."""
+    rng = random.Random(31)
+    item = prose(rng, 30)
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for words in (item, reworded(item)):
+        for around in (0, 1, 40):
+            text = " ".join([*prose(rng, around), *words, *prose(rng, around)])
+            for texts in ([text], [text, text], [text, " ".join(prose(rng, 30))]):
+                got = latent_decontam.find_leaks(documents(spark, texts), bench).collect()
+                assert {r["doc_id"] for r in got} == {i for i, t in enumerate(texts) if t == text}, (around, len(texts))
+
+
+def test_leaks_in_a_third_of_short_rows(spark):
+    """Words of a large group of copies are common, and tell its leak nevertheless."""
+    rng = random.Random(32)
+    pool = prose(rng, 2000)
+    items = [rng.choices(pool, k=15) for _ in range(4)]
+    for words in (items[0], reworded(items[0])):
+        copy = " ".join([*rng.choices(pool, k=7), *words, *rng.choices(pool, k=7)])
+        texts = [" ".join(rng.choices(pool, k=30)) for _ in range(1000)] + [copy] * 500
+        bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+        got = latent_decontam.find_leaks(documents(spark, texts), bench).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 0) for i in range(1000, 1500)}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(11)
     for _ in range(200):

@@ -27,11 +27,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows that repeat an id, one."""
-    found = tensor_minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").select(COLUMNS).dropDuplicates(["doc_id"])
-    return named.join(gone, "doc_id", "left_anti").unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+    """The document with the smallest id of each near-duplicate group; null ids come last.  Rows are told apart by a
+    stored number, so that rows which repeat an id, or have none, go only as near-duplicates."""
+    rows = materialize(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    found = tensor_minhash.near_duplicates(rows, "row").select("row", "component_id")
+    # Of equal ids the row to stay is told by its content, not by the order of tasks.
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*COLUMNS[1:]).alias("content"), "row")
+    first = found.join(rows.select("row", rank.alias("rank")), "row").groupBy("component_id").agg(F.min("rank").alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

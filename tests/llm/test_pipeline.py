@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage against brute force, and the registered queries."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from __spark_entry__ import oracle_sql, queries
 from rvpanel.llm import langid, latent_decontam
 from rvpanel.llm import words as W
 from rvpanel.llm.queries import LLM_QUERIES
-from tests.llm.data import ODD
+from tests.llm.data import ODD, documents, prose
 from tests.llm.test_matching import brute_components, brute_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -95,6 +96,16 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    """Only near-duplicates go: neither another text of the same id nor copies without an id stay or go by their id."""
+    rng = random.Random(34)
+    a, b, c, d = (" ".join(prose(rng, 80)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, c), (None, b), (3, d), (None, d), (3, d)]
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows]).repartition(4)
+    out = corpus_pipeline.one_of_near_duplicates(spark, docs, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (3, d)], key=str)
+
+
 def test_stages_on_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -106,6 +106,17 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (3, d)], key=str)
 
 
+def test_leaks_with_repeated_and_null_ids(spark, sf_dir):
+    """Leaking rows go without an id, too, and clean ones of the same id stay."""
+    rng = random.Random(35)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    leak, clean, other = (" ".join([*prose(rng, 40), *extra, *prose(rng, 40)]) for extra in ([item], [], []))
+    rows = [(None, leak), (None, clean), (1, leak), (1, other), (2, clean), (3, None)]
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows]).repartition(3)
+    out = corpus_pipeline.without_leaks(spark, docs, sf_dir)
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(None, clean), (1, other), (2, clean), (3, None)], key=str)
+
+
 def test_stages_on_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rvpanel.llm import langid, latent_decontam, license_index, mil_quality, rans, suffix_dedup, tensor_minhash, token_counts, topk, transducer
+from rvpanel.llm import centroid_tree, langid, latent_decontam, license_index, mil_quality, phrases, rans, suffix_dedup, tensor_minhash, token_counts, topk, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +74,65 @@ def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op5_suffix_dedup, op6_subword_langid, op7_tensor_minhash, op8_latent_decontam, op9_blockmax_topk, op10_pretoken_counts)
+def op11_centroid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds, and its distance."""
+    return centroid_tree.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of every language."""
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op5_suffix_dedup, op6_subword_langid, op7_tensor_minhash, op8_latent_decontam, op9_blockmax_topk, op10_pretoken_counts, op11_centroid_tree, op13_phrases)
 LLM_QUERIES = {f.__name__: f for f in _ALL}
+
+def _cluster_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
+    """Every round compares all vectors with all centroids."""
+    assigned = """a{i} AS (
+  SELECT vec_id, x, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (
+    SELECT vec_id, x, c, list_sum([CAST((p[1] - p[2]) * (p[1] - p[2]) AS BIGINT) FOR p IN list_zip(x, y)]) AS d FROM v, c{i}) GROUP BY 1, 2)"""
+    moved = f"""c{{j}} AS (
+  SELECT c, coalesce(z, y) AS y FROM c{{i}} LEFT JOIN (
+    SELECT cluster, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS z FROM (
+      SELECT cluster, j, sum(x[j]) AS s, count(*) AS n FROM a{{i}}, range(1, {dims + 1}) AS r(j) GROUP BY 1, 2) GROUP BY 1) ON cluster = c)"""
+    steps = [assigned.format(i=0)]
+    for i in range(rounds):
+        steps += [moved.format(i=i, j=i + 1), assigned.format(i=i + 1)]
+    return f"""WITH v AS (
+  SELECT vec_id, [CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len([1 FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, x AS y FROM (SELECT x, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT {k})),
+{", ".join(steps)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = cluster"""
+
+
+_PHRASE_SQL = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM split GROUP BY 1),
+grams AS (SELECT lang, k, unnest([array_to_string(ws[i : i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS p
+  FROM split, range(1, 5) AS r(k) WHERE len(ws) >= k),
+f AS MATERIALIZED (SELECT lang, p, k, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, p, k, f AS a, string_split(p, ' ') AS ws FROM f WHERE k > 1),
+parts AS (
+  SELECT *, array_to_string(ws[1 : j], ' ') AS head, array_to_string(ws[j + 1 :], ' ') AS tail FROM cand, range(1, 4) AS s(j) WHERE j < k),
+cuts AS (
+  SELECT c.lang, c.p, c.a, j, h.f AS l, t.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (h.f + t.f) AS BIGINT) AS score
+  FROM parts c JOIN f h ON h.lang = c.lang AND h.p = c.head JOIN f t ON t.lang = c.lang AND t.p = c.tail),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, unnest([array_to_string(ws[i : i + m - 1], ' ') FOR i IN range(1, k - m + 2)]) AS p, a FROM cand, range(2, 4) AS r(m) WHERE m < k),
+longer AS (SELECT lang, p, max(a) AS longer FROM inner_ GROUP BY 1, 2)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(p)) AS rank, p AS phrase, a, l, r, n, score
+  FROM worst LEFT JOIN longer USING (lang, p) JOIN total USING (lang)
+  WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)) WHERE rank <= 2000"""
+
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -96,4 +153,6 @@ SELECT * FROM (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank, doc_id, CAST(units AS DOUBLE) / 65536 AS score
   FROM x) WHERE rank <= 10
 """,
+    "op11_centroid_tree": _cluster_sql(),
+    "op13_phrases": _PHRASE_SQL,
 }

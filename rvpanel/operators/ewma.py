@@ -3,9 +3,13 @@
 With weights ``d^(t-k)`` on every earlier value the variance at row t needs four sums
 over the whole past.  Each block of rows computes them for its own values with running
 window sums of ``x_k * d^-k``; what earlier blocks add is a constant per block times
-``d^(offset+1)``.  The constants come from the (symbol, block) table.  The block is
-short enough for ``d^-k`` to stay finite, and the look-back over blocks ends where
-``d^rows`` underflows to zero, so nothing representable is left out.
+``d^(offset+1)``.  The block is short enough for ``d^-k`` to stay finite.
+
+The constants are carried in two levels, so that no task takes all blocks of a symbol: a block is an
+affine step (decay what came before, add its own sums); the steps of a super-block, about a
+million rows, are composed in ``(symbol, super-block)``, and only super-blocks are
+carried along a symbol.  On both levels the look-back ends where ``d^rows`` underflows
+to zero, so nothing representable is left out.
 """
 
 from __future__ import annotations
@@ -16,7 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rvpanel.functions import TRADING_DAYS
-from rvpanel.operators.layout import BLOCK_ROWS, block_table, blocks, join_blocks, number, own_rows, public
+from rvpanel.operators.layout import (
+    BLOCK_ROWS,
+    block_table,
+    blocks,
+    join_blocks,
+    number,
+    own_rows,
+    public,
+)
+
+# Rows of a super-block, whatever the block length.
+SUPER_ROWS = 1 << 20
 
 _SUMS = ["s1", "s2", "w1", "w2"]
 # -ln of the smallest positive double, and ln of the largest weight allowed in a block.
@@ -38,6 +53,50 @@ def block_rows(span: float) -> int:
     return 1 << max(limit.bit_length() - 1, 0)
 
 
+def _decays(d: float, rows: int) -> dict[str, float]:
+    """What each sum loses over so many rows."""
+    return {k: d ** (2 * rows if k == "w2" else rows) for k in _SUMS}
+
+
+def _state_before(d: float, rows: int, keys: str, order: str) -> tuple[str, str]:
+    """SQL: the sums and the count that the steps before a step leave, each step ``rows`` rows long."""
+    look_back = math.ceil(_UNDERFLOW / -math.log(d) / rows) + 1
+    step = _decays(d, rows)
+    zero = ", ".join(f"0D AS {k}" for k in _SUMS)
+    fold = ", ".join(f"acc.{k} * {step[k]!r}D + b.{k} AS {k}" for k in _SUMS)
+    over = f"OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN"
+    sums = f"""aggregate(collect_list(struct({", ".join(_SUMS)})) {over} {look_back} PRECEDING AND 1 PRECEDING),
+        struct({zero}), (acc, b) -> struct({fold}))"""
+    return sums, f"coalesce(sum(seen) {over} UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
+
+
+def _carried(ends: DataFrame, d: float, size: int) -> DataFrame:
+    """(symbol, _block, _carry, _seen_before): what all earlier blocks add to a block."""
+    wide = max(SUPER_ROWS // size, 2)
+    sums, seen = _state_before(d, size, "symbol, _super", "_block")
+    # Composed inside super-blocks ...
+    inner = ends.selectExpr("*", f"_block div {wide}L AS _super").selectExpr(
+        "symbol", "_super", "_block", f"{sums} AS _local", f"{seen} AS _seen_local", *_SUMS, "seen"
+    )
+    # ... whose whole steps are carried along the symbol.
+    step = _decays(d, size)
+    last = ", ".join(f"_local.{k} * {step[k]!r}D + {k} AS {k}" for k in _SUMS)
+    whole = inner.groupBy("symbol", "_super").agg(
+        F.expr(f"max_by(struct({last}), _block)").alias("_whole"), F.sum("seen").alias("seen")
+    )
+    sums, seen = _state_before(d, wide * size, "symbol", "_super")
+    starts = whole.selectExpr("symbol", "_super", "_whole.*", "seen").selectExpr(
+        "symbol", "_super", f"{sums} AS _start", f"{seen} AS _seen_start"
+    )
+    rows = f"(_block - _super * {wide}L) * {size}L"
+    aged = {k: f"pow({d!r}D, {rows}{' * 2' if k == 'w2' else ''})" for k in _SUMS}
+    carry = ", ".join(f"'{k}', _local.{k} + _start.{k} * {aged[k]}" for k in _SUMS)
+    both = inner.join(starts, ["symbol", "_super"])
+    return both.selectExpr(
+        "symbol", "_block", f"named_struct({carry}) AS _carry", "_seen_local + _seen_start AS _seen_before"
+    ).where("_block IS NOT NULL")
+
+
 def with_ewma(
     laid: DataFrame,
     value: str,
@@ -68,18 +127,7 @@ def with_ewma(
     ends = block_table(
         laid, *[F.expr(weighted(k, at_end)).alias(k) for k in _SUMS], F.expr(f"count({x})").alias("seen")
     )
-    look_back = math.ceil(_UNDERFLOW / -math.log(d) / size) + 1
-    step = {"s1": d**size, "s2": d**size, "w1": d**size, "w2": d ** (2 * size)}
-    zero = ", ".join(f"0D AS {k}" for k in _SUMS)
-    fold = ", ".join(f"acc.{k} * {step[k]!r}D + b.{k} AS {k}" for k in _SUMS)
-    by_symbol = "PARTITION BY symbol ORDER BY _block ROWS BETWEEN"
-    carry = ends.selectExpr(
-        "symbol",
-        "_block",
-        f"""aggregate(collect_list(struct({", ".join(_SUMS)})) OVER ({by_symbol} {look_back} PRECEDING AND 1 PRECEDING),
-              struct({zero}), (acc, b) -> struct({fold})) AS _carry""",
-        f"coalesce(sum(seen) OVER ({by_symbol} UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _seen_before",
-    ).where("_block IS NOT NULL")
+    carry = _carried(ends, d, size)
     if per_symbol is not None:
         carry = carry.join(per_symbol, "symbol", "left")
 

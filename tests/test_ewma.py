@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from rvpanel.operators import ewma
 from rvpanel.operators.ewma import block_rows, decay, ewma_forecast
 from tests.helpers import RETURNS, frame, random_returns, series
 
@@ -20,6 +21,19 @@ def test_matches_pandas_across_blocks(spark, span):
     assert np.allclose(got.iloc[1:], want.iloc[1:], rtol=1e-7 if span < 1.5 else 1e-9)
 
 
+@pytest.mark.parametrize("span", [1.05, 3.0, 500.0, 1e5])
+def test_matches_pandas_across_super_blocks(spark, monkeypatch, span):
+    """Blocks of at most 8 rows, four of them a super-block: hundreds are carried."""
+    monkeypatch.setattr(ewma, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ewma, "SUPER_ROWS", 32)
+    pdf = pd.concat([random_returns(1500, seed=8), random_returns(33, "B", seed=9)])
+    pdf.loc[pdf.index[400:470], "r"] = np.nan
+    out = ewma_forecast(frame(spark, pdf, RETURNS), span)
+    for s in ("AAA", "B"):
+        want = _expected(pdf[pdf.symbol == s], span)
+        assert np.allclose(series(out, "pred", s).iloc[1:], want.iloc[1:], rtol=1e-7, equal_nan=True)
+
+
 def test_missing_values_age_the_weights(spark):
     pdf = random_returns(600, seed=6)
     pdf.loc[[0, 1, 5, 6, 7, 200, 599], "r"] = np.nan

@@ -19,12 +19,12 @@ def _final_plan(df):
 
 
 def _row_windows_by_symbol(plan):
-    """Windows partitioned by symbol alone, other than those on the bucket or block table."""
+    """Windows partitioned by symbol alone, other than those on the bucket or super-block table."""
     found = []
     for spec in re.findall(r"windowspecdefinition\(([^()]*(?:\([^()]*\)[^()]*)*)\)", plan):
         keys = [k.strip() for k in spec.split(",") if "#" in k and "ASC" not in k]
         order = [k.strip() for k in spec.split(",") if "ASC" in k]
-        if len(keys) == 1 and not all(re.match(r"_bucket#|_block#", o) for o in order):
+        if len(keys) == 1 and not all(re.match(r"_bucket#|_super#", o) for o in order):
             found.append(spec)
     return found
 

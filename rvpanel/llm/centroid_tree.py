@@ -179,7 +179,8 @@ def _batches(batches, tree, scale: int):
         x, wide = batch.column(1), batch.column(2)
         is_small = x.is_valid().to_numpy(zero_copy_only=False)
         at = np.flatnonzero(is_small)
-        rows = x.filter(x.is_valid()).flatten().to_numpy().astype(np.int64).reshape(len(at), -1)
+        rows = x.filter(x.is_valid()).flatten().to_numpy().astype(np.int64)
+        rows = rows.reshape(len(at), len(rows) // max(len(at), 1))
         lists = {int(i): _integers(wide[int(i)].as_py(), scale) for i in np.flatnonzero(~is_small)}
         if not tree.small:
             lists |= {int(i): rows[j].tolist() for j, i in enumerate(at)}

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rvpanel.llm import centroid_tree, langid, latent_decontam, license_index, mil_quality, phrases, rans, suffix_dedup, tensor_minhash, token_counts, topk, transducer
+from rvpanel.llm import centroid_tree, langid, latent_decontam, license_index, mil_quality, multiset_hash, phrases, rans, suffix_dedup, tensor_minhash, token_counts, topk, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,12 +79,17 @@ def op11_centroid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_tree.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    return multiset_hash.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of every language."""
     return phrases.mine(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op5_suffix_dedup, op6_subword_langid, op7_tensor_minhash, op8_latent_decontam, op9_blockmax_topk, op10_pretoken_counts, op11_centroid_tree, op13_phrases)
+_ALL = (op1_rans_tokens, op2_mil_quality, op3_transducer_bpe, op4_license_index, op5_suffix_dedup, op6_subword_langid, op7_tensor_minhash, op8_latent_decontam, op9_blockmax_topk, op10_pretoken_counts, op11_centroid_tree, op12_multiset_hash, op13_phrases)
 LLM_QUERIES = {f.__name__: f for f in _ALL}
 
 def _cluster_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
@@ -136,6 +141,46 @@ SELECT * FROM (
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+
+# Both texts are hashed whole here; the operator adds up what stays and what is new.
+_FINGERPRINT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+o AS (
+  SELECT *, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+  FROM d WINDOW w AS (ORDER BY doc_id)),
+e AS (SELECT doc_id, next_id, n, text, left(text, n - n // 4) || left(next_text, n // 4) AS edited FROM o),
+both_ AS (SELECT doc_id, 0 AS kind, text AS t FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+u AS (SELECT doc_id, kind, unnest(regexp_extract_all(t, '[^.,;:!?\n]*[.,;:!?\n]|[^.,;:!?\n]+')) AS u FROM both_),
+h AS (SELECT doc_id, kind, sha256(u) || sha256('1' || u) AS w, md5(u) AS m FROM u),
+placed AS (
+  SELECT doc_id, kind, CAST('0x' || substr(m, 1, 8) AS BIGINT) AS m0, CAST('0x' || substr(m, 9, 8) AS BIGINT) AS m1,
+    CAST('0x' || substr(m, 17, 8) AS BIGINT) % 63 + 1 AS value FROM h),
+values_ AS (
+  SELECT doc_id, kind, j AS lane, sum(CAST('0x' || substr(w, 8 * j + 1, 8) AS BIGINT)) % 4294967296 AS s FROM h, range(16) AS r(j) GROUP BY ALL
+  UNION ALL SELECT doc_id, kind, 16 + v * 26 + m1 % 26, sum(value) % 65536 FROM (
+    SELECT *, CASE WHEN m0 & 3 <> 0 THEN 0 WHEN m0 & 12 <> 0 THEN 1 WHEN m0 & 48 <> 0 THEN 2 WHEN m0 & 192 <> 0 THEN 3 WHEN m0 & 768 <> 0 THEN 4 ELSE 5 END AS v
+    FROM placed) GROUP BY ALL),
+counts AS (SELECT doc_id, kind, count(u) AS n FROM both_ LEFT JOIN u USING (doc_id, kind) GROUP BY ALL),
+lanes AS (
+  SELECT doc_id, kind, lane, CAST(coalesce(s, 0) AS BIGINT) AS s FROM (SELECT doc_id, kind, lane FROM both_, range(172) AS r(lane)) LEFT JOIN values_ USING (doc_id, kind, lane)),
+whole AS (
+  SELECT doc_id, kind, n, string_agg(CASE WHEN lane < 16 THEN printf('%08x', s) ELSE printf('%04x', s) END, '' ORDER BY lane) || '-' || any_value(n) AS fp
+  FROM lanes JOIN counts USING (doc_id, kind) GROUP BY ALL),
+pairs AS (SELECT doc_id, doc_id AS other, 1 AS kind FROM e UNION ALL SELECT doc_id, next_id, 0 FROM e),
+apart AS (
+  SELECT p.doc_id, p.kind, (a.lane - 16) // 26 AS v, count(*) FILTER (WHERE a.s <> b.s) AS d
+  FROM pairs p JOIN lanes a ON a.doc_id = p.doc_id AND a.kind = 0 JOIN lanes b ON b.doc_id = p.other AND b.kind = p.kind AND b.lane = a.lane
+  WHERE a.lane >= 16 GROUP BY ALL),
+opened AS (SELECT *, coalesce(min(v) FILTER (WHERE d <= 22) OVER (PARTITION BY doc_id, kind), 5) AS first FROM apart),
+guess AS (
+  SELECT doc_id, kind, sum(round(-26 * ln(1 - least(d, 25) / 26.0::DOUBLE), 9)) FILTER (WHERE v >= first) * pow(4.0::DOUBLE, min(first)) AS g FROM opened GROUP BY 1, 2),
+near AS (
+  SELECT p.doc_id, p.kind, round(CASE WHEN a.fp = b.fp THEN 1 ELSE greatest(0, 1 - greatest(g, abs(a.n - b.n), 1) / greatest(a.n + b.n, 1)) END, 6) AS near
+  FROM pairs p JOIN guess USING (doc_id, kind) JOIN whole a ON a.doc_id = p.doc_id AND a.kind = 0 JOIN whole b ON b.doc_id = p.other AND b.kind = p.kind)
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+  x.near + 0.0::DOUBLE AS near_edited, y.near + 0.0::DOUBLE AS near_next
+FROM e JOIN whole a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN whole b ON b.doc_id = e.doc_id AND b.kind = 1
+JOIN near x ON x.doc_id = e.doc_id AND x.kind = 1 JOIN near y ON y.doc_id = e.doc_id AND y.kind = 0"""
+
 LLM_ORACLES: dict[str, str] = {
     "op9_blockmax_topk": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
@@ -154,5 +199,6 @@ SELECT * FROM (
   FROM x) WHERE rank <= 10
 """,
     "op11_centroid_tree": _cluster_sql(),
+    "op12_multiset_hash": _FINGERPRINT_SQL,
     "op13_phrases": _PHRASE_SQL,
 }

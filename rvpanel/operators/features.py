@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rvpanel.functions import annualized, log_return, rolling_std
-from rvpanel.operators.layout import block_window, blocks, number, number_changes, own_rows, public, with_previous
+from rvpanel.operators.layout import (
+    block_window,
+    blocks,
+    number,
+    number_changes,
+    own_rows,
+    public,
+    renumber,
+    with_previous,
+)
 from rvpanel.schema import FEATURES, TARGET
 
 
@@ -59,8 +68,8 @@ def shift(df: DataFrame, column: str, **rows: int) -> DataFrame:
     return _finish(laid.withColumns({alias: F.lag(column, k).over(block_window()) for alias, k in rows.items()}))
 
 
-def build_features(panel: DataFrame, horizon: int = 5, windows: Sequence[int] = (5, 20, 60)) -> DataFrame:
-    """Return, rolling volatilities and target per row; rows lacking any are dropped."""
+def feature_blocks(panel: DataFrame, horizon: int, windows: Sequence[int]) -> tuple[DataFrame, list[str]]:
+    """Rows of the feature frame in the blocks they were computed in, and the names of its columns."""
     # The oldest return in a frame needs the price one row before it.
     laid = blocks(number(panel.select("symbol", "date", "px")), before=max(windows), after=horizon)
     w = block_window()
@@ -71,7 +80,20 @@ def build_features(panel: DataFrame, horizon: int = 5, windows: Sequence[int] =
     target = annualized(rolling_std("log_returns", horizon, w, 1, horizon))
     columns = ["log_returns", *rolled, TARGET]
     frame = own_rows(laid.withColumns({**rolled, TARGET: target}))
-    return frame.select("symbol", "date", *columns).dropna("any", subset=columns)
+    return frame.dropna("any", subset=columns), columns
+
+
+def build_features(panel: DataFrame, horizon: int = 5, windows: Sequence[int] = (5, 20, 60)) -> DataFrame:
+    """Return, rolling volatilities and target per row; rows lacking any are dropped."""
+    frame, columns = feature_blocks(panel, horizon, windows)
+    return frame.select("symbol", "date", *columns)
+
+
+def feature_rows(panel: DataFrame, horizon: int = 5, windows: Sequence[int] = (5, 20, 60)) -> DataFrame:
+    """The same rows, numbered (``i`` of ``n``) and still in the blocks they were computed in, for operators
+    that go on: sequence windows and scaling do not lay them out again."""
+    frame, columns = feature_blocks(panel, horizon, windows)
+    return renumber(frame.select("symbol", "date", *columns, "i", "_block"))
 
 
 def sequence_windows(
@@ -81,7 +103,13 @@ def sequence_windows(
     target_col: str = TARGET,
 ) -> DataFrame:
     """The last ``seq_len`` rows of features as a float matrix ``x``, one row per full
-    window, keyed by the window's last date; ``y`` is the target of that last row."""
+    window, keyed by the window's last date; ``y`` is the target of that last row.
+
+    ``frame`` is a feature frame, or the stored blocks of :func:`rvpanel.operators.packed.pack`, which are cut
+    into windows where they lie.
+    """
+    if "_lead" in frame.columns:
+        return _cut_windows(frame, seq_len, len(feature_cols))
     laid = blocks(number(frame), before=seq_len - 1)
     step = F.array(*[F.col(c).cast("float") for c in feature_cols])
     x = F.collect_list(step).over(block_window().rowsBetween(-(seq_len - 1), 0))
@@ -89,5 +117,15 @@ def sequence_windows(
     return rows.select("symbol", "date", "x", F.col(target_col).cast("float").alias("y"))
 
 
+def _cut_windows(packed: DataFrame, seq_len: int, width: int) -> DataFrame:
+    """Slices of the packed rows; a block's leading rows are those before it."""
+    step = f"slice(g, (_lead + k - {seq_len - 1} + j) * {width} + 1, {width})"
+    window = f"struct(get(date, k) AS date, transform(sequence(0, {seq_len - 1}), j -> {step}) AS x, float(get(y, k)) AS y)"
+    whole = f"filter(sequence(0, size(date) - 1), k -> _lead + k >= {seq_len - 1})"
+    # The array is cast once, as the argument of a function, not once a window.
+    cut = f"get(transform(array(CAST(f AS array<float>)), g -> transform({whole}, k -> {window})), 0)"
+    return packed.selectExpr("symbol", f"inline({cut})")
+
+
 def _finish(laid: DataFrame) -> DataFrame:
     return public(own_rows(laid)).drop("i", "n")

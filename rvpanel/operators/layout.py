@@ -10,6 +10,9 @@ row-level window here does that.  Rows are keyed twice instead:
   neighbouring rows a frame reaches into (the halo).  Windows then run per
   ``(symbol, block)``, a group bounded by ``size + before + after`` rows, and
   ``own_rows`` drops the copies.
+* ``renumber`` numbers what a filter leaves of such rows where they are: survivors are
+  counted per block and the block table is summed up, in two levels.  So operators that
+  follow each other share one layout.
 
 Working columns start with an underscore; ``public`` removes them.
 """
@@ -29,6 +32,9 @@ BLOCK_ROWS = 4096
 DAILY_BUCKET_DAYS = 4096
 INTRADAY_BUCKET_DAYS = 1
 
+# Blocks that are summed up together before their sums are carried along a symbol.
+SUPER_BLOCKS = 256
+
 _BUCKET = ["symbol", "_bucket"]
 _BLOCK = ["symbol", "_block"]
 
@@ -150,11 +156,43 @@ def blocks(numbered: DataFrame, before: int = 0, after: int = 0, size: int | Non
     own = f"i div {size}L"
     first = f"greatest(i - {after}L, 0L) div {size}L"
     last = f"least(i + {before}L, n - 1L) div {size}L"
-    kept = [c for c in numbered.columns if c != "_bucket"]
+    kept = [c for c in numbered.columns if c not in ("_bucket", "_block", "_own")]
     target = f"explode(sequence({first}, {last}))" if before or after else own
     return _clustered(numbered.selectExpr(*kept, f"{own} AS _own", f"{target} AS _block"), _BLOCK)
 
 
+def in_blocks(df: DataFrame) -> bool:
+    """Whether the rows carry the block they were laid out in."""
+    return "_block" in df.columns and is_numbered(df)
+
+
+def block_starts(counts: DataFrame) -> DataFrame:
+    """Block table (symbol, _block, _count) to each block's start and the symbol's total.
+
+    Two levels: inside super-blocks, then over super-blocks, so that no task takes all blocks of a symbol.
+    """
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    inner = counts.selectExpr(*_BLOCK, "_count", f"_block div {SUPER_BLOCKS}L AS _super").selectExpr(
+        *_BLOCK, "_super", "_count", f"coalesce(sum(_count) OVER (PARTITION BY symbol, _super ORDER BY _block {earlier}), 0L) AS _inside"
+    )
+    supers = inner.groupBy("symbol", "_super").agg(F.sum("_count").alias("_sum"))
+    supers = supers.selectExpr(
+        "symbol",
+        "_super",
+        f"coalesce(sum(_sum) OVER (PARTITION BY symbol ORDER BY _super {earlier}), 0L) AS _outside",
+        "sum(_sum) OVER (PARTITION BY symbol) AS n",
+    )
+    return inner.join(supers, ["symbol", "_super"]).selectExpr(*_BLOCK, "_outside + _inside AS _start", "n")
+
+
+def renumber(rows: DataFrame) -> DataFrame:
+    """``i`` and ``n`` anew for rows that a filter left in their blocks; the rows stay where they are."""
+    starts = block_starts(block_table(rows, F.expr("count(*)").alias("_count")))
+    ranked = rows.selectExpr("*", "row_number() OVER (PARTITION BY symbol, _block ORDER BY i) AS _rank")
+    kept = [c for c in rows.columns if c not in ("i", "n", "_own")]
+    return join_blocks(ranked, starts).selectExpr(*kept, "_start + _rank - 1L AS i", "n")
+
+
 def block_window() -> WindowSpec:
     return Window.partitionBy(*_BLOCK).orderBy("i")
 

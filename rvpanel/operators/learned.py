@@ -7,14 +7,17 @@ fit per fold over all symbols.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pyarrow as pa
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from rvpanel.config import Settings
 from rvpanel.operators.features import build_features
 from rvpanel.operators.folds import check_val_frac, inner_train_end, number_by_calendar
 from rvpanel.operators.layout import block_window, blocks, number, own_rows
+from rvpanel.operators.packed import Block, on_blocks, pack, read_blocks, windows_at
 from rvpanel.sources.store import materialize
 
 
@@ -46,13 +50,6 @@ def split_rows(features: DataFrame, config: Settings, mode: str = "calendar") ->
     return own_rows(laid).select("symbol", "_block", "date", *config.features, config.target, "x", "p", "p_first", "m")
 
 
-def _fold_ends(fold: int, config: Settings) -> tuple[Column, Column, Column]:
-    """(train_end, test_start, test_end) of a fold, in positions."""
-    size = F.expr(f"m div {config.folds + 1}L")
-    start = F.col("m") - (config.folds - fold) * size
-    return start - config.horizon, start, start + size
-
-
 def _window_in(lo: Column, hi: Column) -> Column:
     return (F.col("p_first") >= lo) & (F.col("p") < hi)
 
@@ -104,15 +101,24 @@ def fit_regressor(train: DataFrame, validation: DataFrame, config: Settings) ->
     if config.learner != "gbt":
         raise ValueError(f"unknown learner {config.learner!r}")
 
-    def boosted(rounds: int) -> Model:
-        return GBTRegressor(
-            labelCol=config.target, maxIter=rounds, maxDepth=config.depth, stepSize=config.step_size, seed=config.seed, predictionCol="pred"
-        ).fit(train)
+    whole = GBTRegressor(
+        labelCol=config.target, maxIter=config.rounds, maxDepth=config.depth, stepSize=config.step_size, seed=config.seed, predictionCol="pred"
+    ).fit(train)
+    return first_trees(whole, trees_kept(whole.evaluateEachIteration(validation, "squared"), config.patience))
+
 
-    whole = boosted(config.rounds)
-    kept = trees_kept(whole.evaluateEachIteration(validation, "squared"), config.patience)
-    # The same seed makes the same first trees.
-    return whole if kept == config.rounds else boosted(kept)
+def first_trees(model: GBTRegressionModel, kept: int) -> GBTRegressionModel:
+    """The model of the first ``kept`` trees of a fitted one; nothing is fitted again."""
+    if kept == model.getNumTrees:
+        return model
+    whole, jvm = model._java_obj, SparkContext._active_spark_context._gateway
+    trees = jvm.new_array(jvm.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, kept)
+    weights = jvm.new_array(jvm.jvm.double, kept)
+    for k in range(kept):
+        trees[k], weights[k] = whole.trees()[k], float(whole.treeWeights()[k])
+    cut = jvm.jvm.org.apache.spark.ml.regression.GBTRegressionModel(whole.uid(), trees, weights, whole.numFeatures())
+    # Parameters, such as the name of the forecast's column, are those of the fitted model.
+    return GBTRegressionModel(whole.copyValues(cut, whole.extractParamMap()))
 
 
 def fit_windows(
@@ -145,40 +151,189 @@ def predict(model: PipelineModel, windows: DataFrame, scaler: DataFrame) -> Data
     return model.transform(scaled_vectors(windows.where(F.col("p_first").isNotNull()), scaler))
 
 
+def _fold_parts(m: int, fold: int, config: Settings) -> tuple[int, int, int, int] | None:
+    """(inner end, train end, test start, test end) of a fold of ``m`` positions; None where it has too few."""
+    size = m // (config.folds + 1)
+    start = m - (config.folds - fold) * size
+    train_end = start - config.horizon
+    if size == 0 or train_end < config.least_train:
+        return None
+    return train_end - math.floor(train_end * config.validation_share), train_end, start, start + size
+
+
+def fold_scalers(packed: DataFrame, config: Settings, folds: Sequence[int]) -> DataFrame:
+    """Scalers of all folds from one pass: ``symbol`` and an array of (fold, mean, std).
+
+    Blocks are summarised for each fold (count, mean, squared deviations), and summaries are merged."""
+    width = len(config.features)
+
+    def run(batches):
+        for block in read_blocks(batches, width):
+            own_p, own = block.p[block.lead :], block.f[block.lead :]
+            out = []
+            for fold in folds:
+                if parts := _fold_parts(block.m, fold, config):
+                    used = own[own_p < parts[0]]
+                    if len(used):
+                        mean = used.mean(axis=0)
+                        out.append((block.symbol, fold, len(used), mean.tolist(), ((used - mean) ** 2).sum(axis=0).tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["symbol", "fold", "n", "mean", "squares"])
+
+    parts = packed.mapInArrow(run, "symbol string, fold long, n long, mean array<double>, squares array<double>")
+    each = parts.selectExpr("symbol", "fold", "n", "inline(transform(arrays_zip(mean, squares), (x, c) -> struct(c, x.mean AS mean, x.squares AS squares)))")
+    keys = ["symbol", "fold", "c"]
+    means = each.groupBy(*keys).agg(F.expr("sum(n * mean) / sum(n) AS whole"))
+    spread = each.join(means, keys).groupBy(*keys).agg(
+        F.max("whole").alias("mean"), F.expr("sqrt(sum(squares + n * (mean - whole) * (mean - whole)) / sum(n)) AS std")
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("c", "mean", F.expr("IF(std = 0, 1D, std) AS std"))))
+    per_fold = spread.groupBy("symbol", "fold").agg(ordered.alias("s"))
+    lists = F.expr("struct(fold, transform(s, x -> x.mean) AS mean, transform(s, x -> x.std) AS std)")
+    return per_fold.groupBy("symbol").agg(F.collect_list(lists).alias("scalers"))
+
+
+def _scaled_folds(block: Block, config: Settings):
+    """(fold, parts, features scaled to float32) of each fold the block's symbol has a scaler for."""
+    for scaler in block.row["scalers"]:
+        parts = _fold_parts(block.m, scaler["fold"], config)
+        if parts:
+            yield scaler["fold"], parts, ((block.f - np.array(scaler["mean"])) / np.array(scaler["std"])).astype(np.float32)
+
+
+def normal_equations(packed: DataFrame, config: Settings) -> dict[int, tuple[np.ndarray, int, int]]:
+    """A'A of every fold's inner train windows, with A = (window, 1, target), and how many train and validation
+    windows there are, all folds in one pass.
+
+    A task sends one matrix a fold, of a size that the settings fix; they are added up in two levels.
+    """
+    side = config.window * len(config.features) + 2
+
+    def run(batches):
+        total: dict[int, list] = {}
+        for block in read_blocks(batches, len(config.features), ["scalers"]):
+            for fold, (inner_end, train_end, _, _), scaled in _scaled_folds(block, config):
+                held = total.setdefault(fold, [np.zeros((side, side)), 0, 0])
+                ends = block.ends(config.window, 0, inner_end)
+                held[2] += len(block.ends(config.window, inner_end, train_end))
+                for some in np.array_split(ends, -(-len(ends) // 4096)) if len(ends) else ():
+                    a = np.column_stack([windows_at(scaled, some, config.window), np.ones(len(some)), block.y[some - block.lead]])
+                    held[0] += a.T @ a
+                    held[1] += len(some)
+        if total:
+            rows = [(fold, gram.tobytes(), n, v) for fold, (gram, n, v) in total.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["fold", "gram", "n", "held"])
+
+    def add(table: pa.Table) -> pa.Table:
+        gram = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("gram"))
+        counts = [sum(table.column(c).to_pylist()) for c in ("n", "held")]
+        return pa.table({"fold": table.column("fold")[:1], "gram": [gram.tobytes()], "n": [counts[0]], "held": [counts[1]]})
+
+    schema = "fold long, gram binary, n long, held long"
+    each = packed.mapInArrow(run, schema).withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(16)))
+    once = each.groupBy("fold", "salt").applyInArrow(add, schema)
+    rows = once.groupBy("fold").applyInArrow(add, schema).collect()
+    return {r["fold"]: (np.frombuffer(r["gram"], np.float64).reshape(side, side), r["n"], r["held"]) for r in rows}
+
+
+def solve(gram: np.ndarray) -> np.ndarray:
+    """Least-squares weights, the last one the constant, from A'A; columns are brought to unit length first."""
+    xx, xy = gram[:-1, :-1], gram[:-1, -1]
+    length = np.sqrt(np.maximum(np.diag(xx), 1e-300))
+    return np.linalg.lstsq(xx / np.outer(length, length), xy / length, rcond=1e-13)[0] / length
+
+
+def _linear_forecasts(packed: DataFrame, config: Settings) -> DataFrame | None:
+    """Least squares for all folds: one pass for the scalers (done), one for the equations, one for the forecasts."""
+    weights = {}
+    for fold, (gram, n, held) in normal_equations(packed, config).items():
+        if n and not held:
+            raise ValueError("no validation window: val_frac leaves fewer rows than one window needs")
+        if n:
+            weights[fold] = solve(gram)
+    if not weights:
+        return None
+    kind = packed.schema["date"].dataType.elementType
+    shipped = packed.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for block in read_blocks(batches, len(config.features), ["scalers"]):
+            for fold, (_, _, start, end), scaled in _scaled_folds(block, config):
+                ends = block.ends(config.window, start, end)
+                if len(ends) and fold in shipped.value:
+                    own, w = pa.array(ends - block.lead), shipped.value[fold]
+                    pred = windows_at(scaled, ends, config.window) @ w[:-1] + w[-1]
+                    yield pa.record_batch(
+                        {
+                            "symbol": pa.repeat(block.symbol, len(ends)),
+                            "date": block.date.take(own),
+                            "fold": pa.array(np.full(len(ends), fold, np.int32)),
+                            "actual": pa.array(block.y[ends - block.lead]),
+                            "pred": pa.array(pred),
+                        }
+                    )
+
+    return packed.mapInArrow(run, f"symbol string, date {kind.simpleString()}, fold int, actual double, pred double")
+
+
+def fold_vectors(packed: DataFrame, config: Settings, fold: int, part: str) -> DataFrame:
+    """Scaled windows of one part (``train``, ``validation`` or ``test``) of a fold as vectors, made when they are read."""
+    kind = packed.schema["date"].dataType.elementType.simpleString()
+
+    def run(batches):
+        for block in read_blocks(batches, len(config.features), ["scalers"]):
+            for own_fold, (inner_end, train_end, start, end), scaled in _scaled_folds(block, config):
+                low, high = {"train": (0, inner_end), "validation": (inner_end, train_end), "test": (start, end)}[part]
+                ends = block.ends(config.window, low, high) if own_fold == fold else np.zeros(0, np.int64)
+                for some in np.array_split(ends, -(-len(ends) // 4096)) if len(ends) else ():
+                    flat = windows_at(scaled, some, config.window)
+                    x = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+                    own = pa.array(some - block.lead)
+                    yield pa.record_batch(
+                        {"symbol": pa.repeat(block.symbol, len(some)), "date": block.date.take(own), "y": pa.array(block.y[some - block.lead]), "x": x}
+                    )
+
+    rows = packed.mapInArrow(run, f"symbol string, date {kind}, y double, x array<double>")
+    return rows.select("symbol", "date", F.col("y").alias(config.target), array_to_vector("x").alias("features"))
+
+
+def _boosted_forecasts(packed: DataFrame, config: Settings, fold: int) -> DataFrame | None:
+    train, held = (fold_vectors(packed, config, fold, part) for part in ("train", "validation"))
+    if train.isEmpty():
+        return None
+    if held.isEmpty():
+        raise ValueError("no validation window: val_frac leaves fewer rows than one window needs")
+    model = fit_regressor(train, held, config)
+    tested = model.transform(fold_vectors(packed, config, fold, "test"))
+    return tested.select("symbol", "date", F.lit(fold).alias("fold"), F.col(config.target).alias("actual"), "pred")
+
+
 def learned_forecasts(
     panel: DataFrame, config: Settings, mode: str = "calendar", folds: Sequence[int] | None = None
 ) -> DataFrame:
     """Forecasts (symbol, date, fold, model, actual, pred) of each fold's test windows.
 
-    Runs one fit per fold.
+    Features are packed and stored once, and the scalers of all folds come from one pass over them.  So do all folds'
+    least squares; boosted trees are one fit a fold.
     """
     check_val_frac(config.validation_share)
-    windows = stored_windows(panel, config, mode)
-
-    def one_fold(fold: int) -> DataFrame | None:
-        train_end, test_start, test_end = _fold_ends(fold, config)
-        mine = windows.where((test_end > test_start) & (train_end >= config.least_train))
-        fitted = fit_windows(mine, inner_train_end(train_end, config.validation_share), train_end, config)
-        if fitted is None:
-            return None
-        tested = predict(fitted[0], mine.where(_window_in(test_start, test_end)), fitted[1])
-        return tested.select(
-            "symbol",
-            "date",
-            F.lit(fold).alias("fold"),
-            F.lit("learned").alias("model"),
-            F.col(config.target).alias("actual"),
-            "pred",
-        )
-
-    # Folds are independent: their jobs are submitted side by side and share the cluster.
+    if mode not in ("rows", "calendar"):
+        raise ValueError(f"mode must be 'rows' or 'calendar', got {mode!r}")
     chosen = list(range(config.folds) if folds is None else folds)
-    with ThreadPool(max(1, min(len(chosen), config.side_by_side))) as pool:
-        found = pool.map(inheritable_thread_target(panel.sparkSession)(one_fold), chosen)
-    results = [r for r in found if r is not None]
+    packed = pack(panel, config.window, config.horizon, config.features, config.target, mode)
+    scaled = on_blocks(packed, materialize(fold_scalers(packed, config, chosen)))
+    if config.learner == "linear":
+        results = [_linear_forecasts(scaled, config)]
+    else:
+        # Folds are independent: their jobs are submitted side by side and share the cluster.
+        with ThreadPool(max(1, min(len(chosen), config.side_by_side))) as pool:
+            one_fold = inheritable_thread_target(panel.sparkSession)(lambda fold: _boosted_forecasts(scaled, config, fold))
+            results = pool.map(one_fold, chosen)
+    results = [r for r in results if r is not None]
     if not results:
         raise ValueError("no fold has enough rows to train on")
-    return reduce(DataFrame.unionByName, results)
+    found = reduce(DataFrame.unionByName, results)
+    return found.select("symbol", "date", "fold", F.lit("learned").alias("model"), "actual", "pred")
 
 
 def train_final_model(panel: DataFrame, config: Settings, mode: str = "calendar") -> tuple[PipelineModel, DataFrame]:

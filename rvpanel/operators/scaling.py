@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rvpanel.operators.folds import check_val_frac, inner_train_end
-from rvpanel.operators.layout import blocks, join_symbols
+from rvpanel.operators.layout import blocks, in_blocks, join_symbols
 from rvpanel.schema import FEATURES
 
 
@@ -83,13 +83,13 @@ def apply_scaler(
 ) -> DataFrame:
     """Scale the features of rows that carry a ``fold``.  The target is left alone.
 
-    ``rows`` are numbered rows; they are not gathered by symbol for the lookup.
+    ``rows`` are numbered rows; they are not gathered by symbol for the lookup, and keep the blocks they are in.
     """
-    laid = blocks(rows)
+    laid = rows if in_blocks(rows) else blocks(rows)
     joined = join_symbols(laid, scaler_per_symbol(scaler, feature_cols))
     mine = F.filter("_scalers", lambda s: s["fold"] == F.col("fold"))[0]
     joined = joined.withColumn("_s", mine).where(F.col("_s").isNotNull())
     scaled = {
         c: ((F.col(c) - F.col(f"_s.mean_{c}")) / F.col(f"_s.std_{c}")).cast(cast) for c in feature_cols
     }
-    return joined.withColumns(scaled).select(*[c for c in rows.columns if c != "_bucket"])
+    return joined.withColumns(scaled).select(*[c for c in rows.columns if c not in ("_bucket", "_block")])

@@ -20,6 +20,7 @@ from rvpanel.operators import garch as ga
 from rvpanel.operators.ewma import ewma_forecast
 from rvpanel.operators.layout import number
 from rvpanel.operators.learned import learned_forecasts, train_final_model
+from rvpanel.operators.packed import pack
 from rvpanel.operators.scaling import apply_scaler, fit_scaler
 from rvpanel.plans import backtest as bt
 from rvpanel.plans import runs
@@ -497,7 +498,7 @@ def _f32(c: str) -> str:
     ),
 )
 def sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = fe.sequence_windows(fe.build_features(vwap_daily(spark, sf_dir)), 30)
+    seq = fe.sequence_windows(pack(vwap_daily(spark, sf_dir), 30), 30)
     flat = F.flatten("x")
     total = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v.cast("double"))
     digest = seq.select(
@@ -666,7 +667,7 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = number(materialize(fe.build_features(vwap_daily(spark, sf_dir))))
+    numbered = materialize(fe.feature_rows(vwap_daily(spark, sf_dir)))
     scaled = apply_scaler(fo.test_rows(numbered), fit_scaler(numbered))
     return _round(scaled, 6, *FEATURES, "rv_target").select("symbol", "date", "fold", *FEATURES, "rv_target")
 

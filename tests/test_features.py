@@ -3,16 +3,19 @@ import pandas as pd
 import pytest
 
 from rvpanel.operators import features as fe
+from rvpanel.operators import layout
+from rvpanel.operators.layout import number
+from rvpanel.operators.packed import pack, read_blocks
 from tests.helpers import PANEL, RETURNS, business_days, frame, random_prices, random_returns, series
 
 YEAR = np.sqrt(252)
 
 
-def test_log_return_of_doubling_prices(spark):
-    pdf = pd.DataFrame({"symbol": "A", "date": business_days(4), "px": [1.0, 2.0, 4.0, 8.0]})
+def test_log_return_of_known_ratios(spark):
+    pdf = pd.DataFrame({"symbol": "A", "date": business_days(5), "px": [12.0, 3.0, 3.0, 7.5, 30.0]})
     r = series(fe.log_returns(frame(spark, pdf, PANEL)), "r")
-    assert len(r) == 4 and np.isnan(r.iloc[0])
-    assert np.allclose(r.iloc[1:], np.log(2))
+    assert r.isna().tolist() == [True] + [False] * 4
+    assert np.allclose(r.iloc[1:], [-2 * np.log(2), 0, np.log(2.5), 2 * np.log(2)])
 
 
 def test_log_return_never_crosses_symbols_or_loses_rows_at_borders(spark, tiny_groups):
@@ -56,10 +59,10 @@ def test_realized_vol_matches_pandas(spark, tiny_groups, window):
 
 
 def test_realized_vol_frame_edges_and_plain_scale(spark):
-    pdf = pd.DataFrame({"symbol": "A", "date": business_days(5), "r": [0.01, -0.02, 0.015, 0.0, -0.01]})
+    pdf = pd.DataFrame({"symbol": "A", "date": business_days(5), "r": [0.004, 0.0, -0.013, 0.022, 0.007]})
     got = series(fe.realized_vol(frame(spark, pdf, RETURNS), 3, annualize=False), "rv")
     assert got.isna().tolist() == [True, True, False, False, False]
-    assert np.isclose(got.iloc[2], np.std([0.01, -0.02, 0.015], ddof=1))
+    assert np.isclose(got.iloc[2], np.std([0.004, 0.0, -0.013], ddof=1))
 
 
 def test_target_is_the_vol_of_the_following_rows(spark, tiny_groups):
@@ -157,3 +160,59 @@ def test_intraday_panel_has_day_buckets(spark, tiny_groups):
     want = _features(pd.Series(pdf.px.to_numpy(), index=stamps))
     mine = got.toPandas().sort_values("date")
     assert np.allclose(mine[want.columns], want, rtol=1e-9)
+
+
+@pytest.fixture
+def gappy(spark):
+    """Missing prices: whole blocks without a feature row, and blocks with one or two."""
+    pdf = pd.concat([random_prices(400, "A", 1), random_prices(150, "B", 2), random_prices(9, "C", 3)])
+    pdf = pdf.reset_index(drop=True)
+    pdf.loc[[50, 51, 90, 104, 118, 200, 239, 253, 399, 480], "px"] = np.nan
+    return frame(spark, pdf, PANEL)
+
+
+def test_feature_rows_are_numbered_where_they_are(spark, tiny_groups, gappy):
+    kept = fe.feature_rows(gappy, 3, (2, 5)).toPandas().sort_values(["symbol", "i"], ignore_index=True)
+    plain = number(fe.build_features(gappy, 3, (2, 5))).toPandas().sort_values(["symbol", "i"], ignore_index=True)
+    columns = ["symbol", "date", "i", "n", "log_returns", "rv_5d", "rv_target"]
+    pd.testing.assert_frame_equal(kept[columns], plain[columns])
+    assert kept._block.max() >= 40 and (kept.groupby(["symbol", "_block"]).size() < 3).any()
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 30])
+@pytest.mark.parametrize("mode", ["rows", "calendar"])
+def test_packed_windows_reach_over_sparse_blocks(spark, tiny_groups, gappy, length, mode):
+    columns = ["log_returns", "rv_5d"]
+    packed = pack(gappy, length, 3, columns, mode=mode)
+    got = {(r.symbol, r.date): (np.array([list(step) for step in r.x], np.float32), r.y) for r in fe.sequence_windows(packed, length, columns).toPandas().itertuples()}
+    plain = fe.build_features(gappy, 3).toPandas().sort_values(["symbol", "date"], ignore_index=True)
+    order = {d: k for k, d in enumerate(sorted(plain.date.unique()))}
+    plain["p"] = plain.date.map(order) if mode == "calendar" else plain.groupby("symbol").cumcount()
+    want, first = {}, {}
+    for symbol, part in plain.groupby("symbol"):
+        values = part[columns].to_numpy(np.float32)
+        for k in range(length - 1, len(part)):
+            want[symbol, part.date.iloc[k]] = values[k - length + 1 : k + 1], np.float32(part.rv_target.iloc[k])
+            first[symbol, part.date.iloc[k]] = part.p.iloc[k - length + 1], part.p.iloc[k]
+    assert got.keys() == want.keys() and len(want) > 60
+    assert all(np.array_equal(got[k][0], want[k][0]) and got[k][1] == want[k][1] for k in want)
+    # The positions of every window's ends, as the learned models read them.
+    m = len(order) if mode == "calendar" else None
+    seen = {}
+    for block in read_blocks(packed.toArrow().to_batches(), 2):
+        for at in block.ends(length, 0, 1 << 40):
+            seen[block.symbol, block.date[at - block.lead].as_py()] = block.p[at - length + 1], block.p[at]
+        assert m is None or block.m == m
+    assert seen == first
+
+
+def test_blocks_are_summed_up_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(layout, "SUPER_BLOCKS", 4)
+    rng = np.random.default_rng(1)
+    rows = [(s, b, int(rng.integers(1, 9))) for s in "AB" for b in range(30) if b not in (3, 4, 5, 6, 7, 8, 20)]
+    got = layout.block_starts(spark.createDataFrame(rows, "symbol string, _block long, _count long").repartition(3)).collect()
+    for symbol in "AB":
+        start = 0
+        for _, b, count in sorted(r for r in rows if r[0] == symbol):
+            assert [(r._start, r.n) for r in got if r.symbol == symbol and r._block == b] == [(start, sum(c for s, _, c in rows if s == symbol))]
+            start += count

@@ -139,6 +139,35 @@ def test_trees_kept():
     assert le.trees_kept([3.0, 2.0, 1.0], 1) == 3
 
 
+def test_one_pass_agrees_with_a_fit_a_fold(spark, panel):
+    """All folds' normal equations against LinearRegression on the same windows, fold by fold."""
+    config = _config(window=4, features=("rv_5d", "rv_60d"))
+    packed = le.pack(panel, 4, 5, config.features, config.target, "calendar")
+    scaled = le.on_blocks(packed, le.fold_scalers(packed, config, [0, 1, 2]))
+    got = le.learned_forecasts(panel, config).toPandas().set_index(["symbol", "date", "fold"]).sort_index()
+    for fold in range(3):
+        model = le.fit_regressor(le.fold_vectors(scaled, config, fold, "train"), None, config)
+        want = model.transform(le.fold_vectors(scaled, config, fold, "test")).toPandas().assign(fold=fold)
+        want = want.set_index(["symbol", "date", "fold"]).sort_index()
+        mine = got.loc[want.index]
+        assert len(want) > 50 and np.allclose(mine.pred, want.pred, rtol=1e-8)
+        assert (got.index.get_level_values("fold") == fold).sum() == len(want)
+
+
+def test_fewer_trees_of_one_fit(spark, panel):
+    config = _config("gbt", rounds=5)
+    packed = le.pack(panel, config.window, 5, config.features, config.target, "calendar")
+    scaled = le.on_blocks(packed, le.fold_scalers(packed, config, [1]))
+    train, held = (le.fold_vectors(scaled, config, 1, part) for part in ("train", "validation"))
+    whole = le.fit_regressor(train, held, settings_from({**config.__dict__, "patience": 99, "rounds": 3}))
+    five = le.GBTRegressor(labelCol=config.target, maxIter=5, maxDepth=3, stepSize=0.1, seed=42, predictionCol="pred").fit(train)
+    three = le.GBTRegressor(labelCol=config.target, maxIter=3, maxDepth=3, stepSize=0.1, seed=42, predictionCol="pred").fit(train)
+    cut = le.first_trees(five, 3)
+    assert cut.getNumTrees == 3 and whole.getNumTrees <= 3 and five.getNumTrees == 5
+    a, b = (m.transform(held).toPandas().sort_values(["symbol", "date"]).pred.to_numpy() for m in (cut, three))
+    assert len(a) > 30 and np.array_equal(a, b)
+
+
 def test_boosting_restores_the_best_round(spark, panel):
     config = _config("gbt", rounds=8)
     windows = le.stored_windows(panel, config, "calendar")

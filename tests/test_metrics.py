@@ -14,7 +14,7 @@ def _score(spark, actual, pred, strict=False):
 
 
 def test_known_values(spark):
-    a, p = np.array([0.1, 0.2, 0.3]), np.array([0.12, 0.18, 0.33])
+    a, p = np.array([0.16, 0.05, 0.41, 0.27]), np.array([0.11, 0.07, 0.38, 0.3])
     got = _score(spark, a.tolist(), p.tolist())
     assert np.isclose(got.rmse, np.sqrt(((a - p) ** 2).mean()))
     assert np.isclose(got.mae, np.abs(a - p).mean())

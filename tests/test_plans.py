@@ -7,6 +7,9 @@ import pytest
 
 from rvpanel.operators import features as fe
 from rvpanel.operators.ewma import ewma_forecast
+from rvpanel.operators.folds import test_rows as rows_tested
+from rvpanel.operators.packed import pack
+from rvpanel.operators.scaling import apply_scaler, fit_scaler
 from rvpanel.plans import backtest as bt
 from rvpanel.queries import vwap_daily
 
@@ -43,6 +46,30 @@ def test_feature_frame_scans_once_and_shuffles_rows_twice(panel):
     assert _row_windows_by_symbol(plan) == []
 
 
+def _row_shuffles(plan):
+    """Exchanges of rows by bucket or block, those that are used again counted once."""
+    by_rows = re.findall(r"Exchange hashpartitioning\(symbol#\d+, (_bucket|_block)#\d+L?, \d+\), REPARTITION", plan)
+    return len(by_rows) - len(re.findall(r"ReusedExchange[^\n]*REPARTITION", plan))
+
+
+def test_scaling_keeps_the_layout_of_the_features(panel):
+    rows = fe.feature_rows(panel)
+    plan = _final_plan(apply_scaler(rows_tested(rows), fit_scaler(rows)))
+    assert _row_windows_by_symbol(plan) == []
+    # The scaler's branch reads fewer columns, so it may run the two row shuffles of its own.
+    assert _row_shuffles(plan) <= 4
+
+
+def test_packed_windows_are_cut_without_a_shuffle_or_python(panel):
+    packed = pack(panel, 30)
+    plan = _final_plan(fe.sequence_windows(packed, 30))
+    assert "Exchange" not in plan and "Window" not in plan and "Python" not in plan
+    # Windows are not stored: a packed table holds little more than the frame.
+    values = packed.selectExpr("sum(size(f) + size(y) + size(p))").first()[0]
+    frame = fe.build_features(panel).count() * 6
+    assert values <= 1.5 * frame
+
+
 @pytest.mark.parametrize(
     "build",
     [
@@ -50,6 +77,7 @@ def test_feature_frame_scans_once_and_shuffles_rows_twice(panel):
         lambda p: bt.evaluate_baselines(fe.numbered_returns(p), models=("naive", "ewma")),
         lambda p: fe.log_returns(p),
         lambda p: fe.sequence_windows(fe.build_features(p), 30),
+        lambda p: fe.feature_rows(p),
     ],
 )
 def test_no_row_window_gathers_a_symbol_and_nothing_runs_in_python(panel, build):

@@ -17,8 +17,8 @@
    and that of its answer (the last quarter of the item) ``ANSWER`` of the answer.  So paraphrases
    that keep most words in order are found, and texts on the same subject are left alone.
 
-Edge cases: null and empty texts match nothing; items of fewer than ``SHORTEST`` words are no evidence and match nothing;
-repeated documents and items give a row each; a null id is carried as it is; no item or no document: no rows.
+Edge cases: null and empty texts match nothing; of items of fewer than ``SHORTEST`` words all words must stand in a row, and
+one word alone is no passage and matches nothing; repeated documents and items give a row each; a null id is carried as it is; no item or no document: no rows.
 """
 
 from __future__ import annotations
@@ -57,18 +57,27 @@ ANSWER = 0.5
 _BLOCKS = 32
 
 _MARKS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
-_memo = W.Memo(48 << 20)
+class _Hashes(W.Memo):
+    """Hashes of words, computed when a word is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh32_intdigest(word)
+        self.put(word, found, len(word))
+        return found
+
+
+_memo = _Hashes(48 << 20)
 
 
 def word_ids(texts: list[bytes | None]) -> list[np.ndarray]:
     """uint32 id of each word of each text."""
-    lists = [t.lower().translate(_MARKS).split() if t else [] for t in texts]
     W.claim("latent_decontam", _memo)
     _memo.room()
-    for w in W.missing(_memo, lists):
-        _memo.put(w, xxhash.xxh32_intdigest(w), len(w))
-    get = _memo.__getitem__
-    return [np.fromiter(map(get, ws), np.uint32, len(ws)) for ws in lists]
+    get, out = _memo.__getitem__, []
+    for t in texts:
+        ws = t.lower().translate(_MARKS).split() if t else []
+        out.append(np.fromiter(map(get, ws), np.uint32, len(ws)))
+    return out
 
 
 def lcs(item: list[int], region: list[int]) -> int:
@@ -104,17 +113,56 @@ def _starts(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 def stage(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids binary): word ids of each text."""
+    return staged_rows(stage_counted(docs, id_col, text))
+
+
+def staged_rows(counted: DataFrame) -> DataFrame:
+    return counted.where("ids IS NOT NULL").select("doc_id", "ids")
+
+
+def stage_counted(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids binary, df binary): word ids of each text, and a last row a task without ids that holds in how many of its
+    passages each hashed word stands, and the number of passages."""
     on_executors(docs.sparkSession)
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    arrow = docs.select(F.col(id_col).alias("doc_id")).limit(0).toArrow().schema.field("doc_id").type
 
     def run(batches):
+        df = np.zeros(HASHED + 1, np.int64)
         for batch in batches:
             out = []
             for _, texts in text_slices(batch):
-                out += [ids.tobytes() for ids in word_ids(texts)]
-            yield pa.record_batch({"doc_id": batch.column(0), "ids": pa.array(out, pa.binary())})
-
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary")
+                rows = word_ids(texts)
+                _count_passages(rows, df)
+                out += [ids.tobytes() for ids in rows]
+            yield pa.record_batch({"doc_id": batch.column(0), "ids": pa.array(out, pa.binary()), "df": pa.nulls(len(out), pa.binary())})
+        yield pa.record_batch({"doc_id": pa.nulls(1, arrow), "ids": pa.nulls(1, pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, df binary")
+
+
+def _count_passages(rows: list[np.ndarray], df: np.ndarray) -> None:
+    """Add to ``df`` the passages each hashed word stands in, and at its end their number."""
+    passages = _side_by_side(rows, PASSAGE).astype(np.uint16)
+    if len(passages):
+        passages.sort(axis=1)
+        new = np.ones(passages.shape, bool)
+        new[:, 1:] = passages[:, 1:] != passages[:, :-1]
+        df[:-1] += np.bincount(passages[new], minlength=HASHED + 1)[:HASHED]
+        df[-1] += len(passages)
+
+
+def _side_by_side(rows: list[np.ndarray], step: int) -> np.ndarray:
+    """Features of each run of ``step`` words of each text as a row; behind a text's end stands ``HASHED``."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    runs = -(-sizes // step)
+    out = np.full(runs.sum() * step, HASHED, np.int64)
+    first = np.cumsum(sizes) - sizes
+    if len(out):
+        at = np.arange(sizes.sum()) + np.repeat((np.cumsum(runs) - runs) * step - first, sizes)
+        out[at] = np.concatenate(rows) & np.uint32(HASHED - 1)
+    return out.reshape(-1, step)
 
 
 def _slices(column, words: int = 20_000):
@@ -131,26 +179,19 @@ def _slices(column, words: int = 20_000):
         yield start, rows
 
 
-def inverse_frequencies(staged: DataFrame) -> np.ndarray:
-    """IDF of each feature over all passages; a vector per task is added by feature."""
+def inverse_frequencies(counted: DataFrame) -> np.ndarray:
+    """IDF of each feature over all passages, from the vectors that the tasks counted, added by feature."""
 
     def run(batches):
-        df, n = np.zeros(HASHED, np.int64), 0
         for batch in batches:
-            for _, rows in _slices(batch.column(0)):
-                sizes = np.array([len(r) for r in rows])
-                starts, _ = _starts(sizes, PASSAGE)
-                if not len(starts):
-                    continue
-                f = np.concatenate(rows) & np.uint32(HASHED - 1)
-                passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(f))))
-                df += np.bincount(np.unique(passage * HASHED + f) % HASHED, minlength=HASHED)
-                n += len(starts)
-        seen = np.flatnonzero(df)
-        yield pa.record_batch({"f": pa.array(np.append(seen, -1), pa.int32()), "n": pa.array(np.append(df[seen], n), pa.int64())})
-
-    counts = {r["f"]: r["n"] for r in staged.select("ids").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
-    total = counts.pop(-1, 0)
+            for raw in batch.column(0):
+                df = np.frombuffer(raw.as_buffer(), np.int64)
+                seen = np.flatnonzero(df)
+                yield pa.record_batch({"f": pa.array(seen, pa.int32()), "n": pa.array(df[seen], pa.int64())})
+
+    sums = counted.select("df").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    counts = {r["f"]: r["n"] for r in sums.collect()}
+    total = counts.pop(HASHED, 0)
     df = np.zeros(HASHED)
     df[list(counts)] = list(counts.values())
     return np.log((total + 1) / (df + 1)).clip(0.0)
@@ -230,13 +271,12 @@ class Items:
     def __init__(self, rows: list[tuple[object, bytes | None]], idf: np.ndarray, vectors: np.ndarray, values: np.ndarray):
         known = Vocabulary(idf)
         # Directions count alike, whatever their singular values: else common words decide.
-        self.weighted = np.zeros((HASHED, vectors.shape[1]), np.float32)
+        self.weighted = np.zeros((HASHED + 1, vectors.shape[1]), np.float32)
         if values.any():
             self.weighted[known.kept] = known.weight[:, None] * vectors / np.maximum(values, 0.02 * values[0])[None, :]
-        self.used = known.place >= 0
         self.ids, self.words, owner, made = [], [], [], []
         for item, ids in zip([i for i, _ in rows], word_ids([t for _, t in rows]), strict=True):
-            if len(ids) < SHORTEST:
+            if len(ids) < 2:
                 continue
             self.ids.append(item)
             self.words.append(ids.tolist())
@@ -257,6 +297,8 @@ class Items:
         self.maybe[self.pairs >> np.uint64(44)] = True
         self.sizes = np.array([len(ws) for ws in self.words], np.int64)
         self.least = np.maximum(2, self.sizes - 1 - 2 * (self.sizes - np.ceil(LCS * self.sizes - 1e-9).astype(np.int64)))
+        brief = self.sizes < SHORTEST
+        self.least[brief] = self.sizes[brief] - 1
 
     def copied(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, text, item) where enough pairs of an item start within its length, of texts joined from ``first`` on."""
@@ -283,17 +325,15 @@ class Items:
         if not len(starts) or not len(self.owner):
             return
         words = np.concatenate(rows)
-        flat = words & np.uint32(HASHED - 1)
-        on = np.flatnonzero(self.used[flat])
-        first_on = np.searchsorted(on, starts)
-        some = np.diff(np.append(first_on, len(on))) > 0
-        narrow = np.zeros((len(starts), self.weighted.shape[1]), np.float32)
-        if some.any():
-            narrow[some] = np.add.reduceat(self.weighted[flat[on]], first_on[some])
-        same = np.flatnonzero(owner[1:] == owner[:-1])
-        narrow[same] += narrow[same + 1]
         first = np.cumsum(sizes) - sizes
         place = starts - first[owner]
+        # ``HASHED`` is the index of a row of zeros.
+        quarters = _side_by_side(rows, QUARTER)
+        narrow = self.weighted[quarters[:, 0]]
+        for k in range(1, QUARTER):
+            narrow += self.weighted[quarters[:, k]]
+        same = np.flatnonzero(owner[1:] == owner[:-1])
+        narrow[same] += narrow[same + 1]
         even = np.flatnonzero(place % HALF == 0)
         wide = narrow[even]
         same = np.flatnonzero(owner[np.minimum(even + 2, len(owner) - 1)] == owner[even])
@@ -316,8 +356,12 @@ class Items:
         at, text, item = self.copied(words, first)
         start = (at - first[text]) // HALF * HALF
         passage = np.searchsorted(starts[even], first[text] + start)
-        best = np.maximum.reduceat(near[passage], np.searchsorted(self.owner, np.arange(len(self.ids))), axis=1)
-        add(text, start, item, best[np.arange(len(item)), item])
+        parts = np.searchsorted(self.owner, np.arange(len(self.ids) + 1))
+        best = near[passage, parts[item]]
+        for k in range(1, np.diff(parts).max()):
+            more = np.flatnonzero(parts[item] + k < parts[item + 1])
+            best[more] = np.maximum(best[more], near[passage[more], parts[item[more]] + k])
+        add(text, start, item, best)
         yield from ((r, i, sorted((-c, s) for s, c in places.items())) for (r, i), places in found.items())
 
     def confirm(self, words: np.ndarray, item: int, places: list[tuple[float, int]]) -> tuple[float, float, int, float] | None:
@@ -331,6 +375,11 @@ class Items:
                 continue
             done.append((b, e))
             region = words[b:e].tolist()
+            if n < SHORTEST:
+                for at in range(len(region) - n + 1):
+                    if region[at] == mine[0] and region[at : at + n] == mine:
+                        return 1.0, 1.0, b + at, -cosine
+                continue
             # Cut to the part that can hold the item with a few words put in.
             masks = list(filter(None, map(self.masks[item].get, region)))
             # As many words as the places of the item that occur at all are the most there can be in order.
@@ -384,8 +433,9 @@ def search(staged: DataFrame, items: list[tuple[object, bytes | None]], idf: np.
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item it holds: ``doc_id, item_id, lcs, answer_lcs, cosine``."""
-    staged = materialize(stage(docs, id_col, text))
-    idf = inverse_frequencies(staged)
+    both = materialize(stage_counted(docs, id_col, text))
+    idf = inverse_frequencies(both.where("ids IS NULL"))
+    staged = staged_rows(both)
     vectors, values = singular_vectors(staged, idf)
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("binary").alias("text"))
     kind = items.schema["item"].dataType.simpleString()
@@ -397,5 +447,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         part = search(staged, rows, idf, vectors, values, kind)
         found = part if found is None else found.unionByName(part)
     out = materialize(found)
-    release(staged)
+    release(both)
     return out.withColumnRenamed("doc_id", id_col)

@@ -251,6 +251,32 @@ def test_leaks_of_short_items(spark):
     assert len(near & got) >= 0.9 * len(near)
 
 
+def test_leaks_of_very_short_items(spark):
+    """Items of two to seven words are found where all their words stand in a row, and nowhere else."""
+    rng = random.Random(33)
+    pool = prose(rng, 400)
+    items = [rng.sample(pool, n) for n in range(2, 8)] + [["aa", "bb", "aa", "bb"], ["only"]]
+    texts = []
+    for item in items:
+        for words in (item, item[::-1], [*item[:-1], "between", item[-1]]):
+            texts.append(" ".join([*rng.choices(pool[:50], k=rng.choice([0, 5, 50])), "start", *words, "end", *rng.choices(pool[:50], k=40)]))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    joined = [f" {t} " for t in texts]
+    want = {(i, k) for i, t in enumerate(joined) for k, w in enumerate(items) if len(w) > 1 and f" {' '.join(w)} " in t}
+    got = {(r["doc_id"], r["item_id"]) for r in latent_decontam.find_leaks(documents(spark, texts), bench).collect()}
+    assert got == want and len(want) >= len(items) - 1
+
+
+def test_passages_are_counted_once_a_word():
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, 50, n).astype(np.uint32) for n in (0, 1, 31, 32, 33, 200, 0)]
+    df = np.zeros(latent_decontam.HASHED + 1, np.int64)
+    latent_decontam._count_passages(rows, df)
+    passages = [set(r[i : i + 32].tolist()) for r in rows for i in range(0, len(r), 32)]
+    assert df[-1] == len(passages)
+    assert df[:50].tolist() == [sum(w in p for p in passages) for w in range(50)] and df[50:-1].sum() == 0
+
+
 def reworded(words):
     """Every fourth word is another, so that no four in a row stay."""
     return [w if j % 4 != 3 else f"zz{j}" for j, w in enumerate(words)]

@@ -74,6 +74,21 @@ def baseline_forecasts(
     return tested.select("symbol", "date", "fold", "actual", *models)
 
 
+def constant_forecasts(
+    returns: DataFrame, per_fold: DataFrame, n_splits: int = 5, horizon: int = 5, min_train_size: int = 252
+) -> DataFrame:
+    """A forecast per symbol and fold (symbol, fold, pred) over all test dates of the fold: (symbol, date, fold, pred).
+
+    Constants go to the symbol's blocks, so rows are not gathered by symbol; folds without one have no rows.
+    """
+    numbered = returns if is_numbered(returns) else number(returns.where(F.col("r").isNotNull()))
+    tested = test_rows(own_rows(blocks(numbered.select("symbol", "date", "i", "n"))), n_splits, horizon, min_train_size)
+    constants = per_fold.groupBy("symbol").agg(F.collect_list(F.struct("fold", "pred")).alias("_constants"))
+    mine = F.filter("_constants", lambda c: c["fold"] == F.col("fold"))
+    joined = join_symbols(tested, constants).withColumn("_mine", F.get(mine, F.lit(0)))
+    return joined.where("_mine IS NOT NULL").select("symbol", "date", "fold", "_mine.pred")
+
+
 def long_forecasts(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     """One row per forecast: (symbol, date, fold, model, actual, pred)."""
     pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in models])

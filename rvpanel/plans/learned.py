@@ -54,3 +54,10 @@ def evaluate_all(
     complete = shared.groupBy("symbol", "date").agg(F.count("*").alias("_n")).where(F.col("_n") == len(models))
     everyone = shared.unionByName(learned).join(complete.select("symbol", "date"), ["symbol", "date"], "left_semi")
     return leaderboard(fold_metrics(everyone))
+
+
+def learned_beside(learned: DataFrame, wide: DataFrame, models: Sequence[str], fold: int) -> DataFrame:
+    """One fold's learned forecasts next to the baselines' of the same dates and the realized volatility."""
+    mine = learned.where(F.col("fold") == fold).select("symbol", "date", "fold", "actual", F.col("pred").alias("learned"))
+    both = mine.join(wide.select("symbol", "date", *models), ["symbol", "date"])
+    return both.dropna("any", subset=["actual", "learned", *models]).select("symbol", "date", "fold", "actual", *models, "learned")

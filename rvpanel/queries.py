@@ -24,7 +24,7 @@ from rvpanel.operators.packed import pack
 from rvpanel.operators.scaling import apply_scaler, fit_scaler
 from rvpanel.plans import backtest as bt
 from rvpanel.plans import runs
-from rvpanel.plans.learned import evaluate_learned
+from rvpanel.plans.learned import evaluate_all, evaluate_learned, learned_beside
 from rvpanel.plans.runs import best_run
 from rvpanel.schema import FEATURES
 from rvpanel.sources import bars as ba
@@ -1005,3 +1005,139 @@ def final_model_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, scaler = runs.load_model(spark, root, "learned", "default")
     columns = [F.col(kind)[k].alias(f"{kind}_{c}") for k, c in enumerate(config.features) for kind in ("mean", "std")]
     return _round(scaler.select("symbol", *columns), 6, *[f"{kind}_{c}" for c in config.features for kind in ("mean", "std")])
+
+
+# --- learned model, constants and guards, each next to what SQL finds --------------------
+
+_SMALL = {"learner": "linear", "features": ("rv_20d",), "window": 1}
+_SMALL_PREDS = (
+    _feature_sql(),
+    *_CALENDAR,
+    "inner_ AS (SELECT *, train_end - CAST(floor(train_end * 0.2::DOUBLE) AS BIGINT) AS inner_end FROM folded WHERE train_end >= 252)",
+    """scale AS (SELECT symbol, fold, avg(rv_20d) AS mean, CASE WHEN stddev_pop(rv_20d) = 0 THEN 1 ELSE stddev_pop(rv_20d) END AS std
+      FROM inner_ WHERE p < inner_end GROUP BY 1, 2)""",
+    "scaled AS (SELECT inner_.*, CAST(CAST((rv_20d - mean) / std AS FLOAT) AS DOUBLE) AS x FROM inner_ JOIN scale USING (symbol, fold))",
+    "line AS (SELECT fold, regr_slope(rv_target, x) AS b, regr_intercept(rv_target, x) AS a FROM scaled WHERE p < inner_end GROUP BY 1)",
+    """small AS (SELECT symbol, date, fold, rv_target AS actual, a + b * x AS learned FROM scaled JOIN line USING (fold)
+      WHERE p >= test_start AND p < test_end)""",
+)
+_SMALL_SCORED = "scored_small AS (SELECT symbol, fold, 'learned' AS model, " + _metric_sql("actual", "learned") + " FROM small GROUP BY 1, 2)"
+_SMALL_BOARD = _BOARD.replace("board AS", "board_small AS").replace("FROM scored", "FROM scored_small")
+
+
+@_query(
+    "learned_small_leaderboard",
+    _with(_PANEL, _RET, *_SMALL_PREDS, _SMALL_SCORED, _SMALL_BOARD, select=f"SELECT {_BOARD_COLUMNS.replace('6)', '5)')} FROM board_small"),
+)
+def learned_small_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares on one feature, evaluated over all folds in one pass."""
+    return bt.rounded(evaluate_learned(vwap_daily(spark, sf_dir), settings_from(_SMALL)), 5)
+
+
+@_query(
+    "all_models_leaderboard",
+    _with(
+        *_BOTH_CTES,
+        _BOARD,
+        *_SMALL_PREDS,
+        _SMALL_SCORED,
+        _SMALL_BOARD,
+        select=f"SELECT {_BOARD_COLUMNS.replace('6)', '5)')} FROM (SELECT * FROM board UNION ALL SELECT * FROM board_small)",
+    ),
+)
+def all_models_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines and the learned model under each other, each on its own test rows."""
+    board = evaluate_all(vwap_daily(spark, sf_dir), settings_from(_SMALL), models=("naive", "ewma"))
+    return bt.rounded(bt.ranked(board), 5)
+
+
+@_query(
+    "learned_vs_actual",
+    _with(
+        *_BOTH_CTES,
+        *_SMALL_PREDS,
+        select=f"""SELECT s.symbol, s.date, s.fold, {_q(5, 's.actual', 'p.naive', 'p.ewma', 's.learned').replace('AS s.', 'AS ').replace('AS p.', 'AS ')}
+          FROM small s JOIN preds p USING (symbol, date) WHERE s.fold = 4 AND p.naive IS NOT NULL AND p.ewma IS NOT NULL""",
+    ),
+)
+def learned_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last fold's learned forecasts next to the baselines' and the realized volatility."""
+    panel, models = vwap_daily(spark, sf_dir), ("naive", "ewma")
+    wide = bt.baseline_forecasts(fe.numbered_returns(panel), models=models)
+    beside = learned_beside(learned_forecasts(panel, settings_from(_SMALL)), wide, models, fold=4)
+    return _round(beside, 5, "actual", *models, "learned")
+
+
+@_query(
+    "garch_over_test_dates",
+    _with(
+        _PANEL,
+        _RET,
+        _IDX,
+        _COUNTS,
+        _BOUNDS,
+        """given AS (SELECT symbol, fold, var_pop(r * 100) * 0.02::DOUBLE AS w, var_pop(r * 100) AS v, max(r * 100 * r * 100) AS e2
+          FROM idx JOIN bounds USING (symbol) WHERE i < train_end GROUP BY 1, 2)""",
+        "v1 AS (SELECT *, w + 0.08::DOUBLE * e2 + 0.9::DOUBLE * v AS f1 FROM given)",
+        "v2 AS (SELECT *, w + 0.98::DOUBLE * f1 AS f2 FROM v1)",
+        "v3 AS (SELECT *, w + 0.98::DOUBLE * f2 AS f3 FROM v2)",
+        "v4 AS (SELECT *, w + 0.98::DOUBLE * f3 AS f4 FROM v3)",
+        "v5 AS (SELECT *, w + 0.98::DOUBLE * f4 AS f5 FROM v4)",
+        select="""SELECT symbol, date, fold, round(sqrt((f1 + f2 + f3 + f4 + f5) / 5 / 10000) * sqrt(252.0::DOUBLE), 6) + 0.0 AS pred
+          FROM idx JOIN bounds USING (symbol) JOIN v5 USING (symbol, fold) WHERE i >= test_start AND i < test_end""",
+    ),
+)
+def garch_over_test_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A horizon forecast per fold, from moments of its train rows and given parameters, over the fold's test dates."""
+    numbered, percent = materialize(_returns(spark, sf_dir)), F.col("r") * 100
+    train = fo.train_rows(numbered, val_frac=0.2)
+    given = (
+        train.groupBy("symbol", "fold")
+        .agg(F.var_pop(percent).alias("last_variance"), F.max(percent * percent).alias("last_resid_sq"))
+        .select(
+            "*", (F.col("last_variance") * 0.02).alias("omega"), F.lit(0.08).alias("alpha"), F.lit(0.9).alias("beta")
+        )
+    )
+    return _round(bt.constant_forecasts(numbered, ga.garch_forecast(given, 5)), 6, "pred")
+
+
+@_query(
+    "guarded_leaderboard",
+    _with(
+        "preds AS (SELECT event_type AS symbol, CAST(extract('hour' FROM ts) AS INTEGER) AS fold, value AS actual, value - 0.05::DOUBLE AS pred FROM events)",
+        "scored AS (SELECT symbol, fold, 'offset' AS model, " + _metric_sql("actual", "pred") + " FROM preds GROUP BY 1, 2)",
+        _BOARD,
+        select=f"SELECT {_BOARD_COLUMNS} FROM board",
+    ),
+)
+def guarded_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of which some have a fold whose QLIKE is undefined: their mean is missing, not that of the other folds."""
+    pairs = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"),
+        F.hour("ts").alias("fold"),
+        F.lit("offset").alias("model"),
+        F.col("value").alias("actual"),
+        (F.col("value") - 0.05).alias("pred"),
+    )
+    return _board(bt.leaderboard(bt.fold_metrics(pairs)))
+
+
+@_query(
+    "repeated_fit",
+    _with(
+        _PANEL,
+        _RET,
+        _feature_sql(),
+        *_CALENDAR,
+        select="""SELECT symbol, fold, count(*) AS n_rows, CAST(count(*) AS BIGINT) AS n_equal FROM folded
+          WHERE fold = 4 AND train_end >= 252 AND p_first >= test_start AND p < test_end GROUP BY 1, 2""",
+    ),
+)
+def repeated_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fits of boosted trees with one seed: how many of the last fold's forecasts are the same to the last bit."""
+    config, panel = settings_from({"rounds": 5, "patience": 2}), vwap_daily(spark, sf_dir)
+    first, second = (
+        learned_forecasts(panel, config, folds=[4]).select("symbol", "date", "fold", F.col("pred").alias(name)) for name in ("a", "b")
+    )
+    both = first.join(second, ["symbol", "date", "fold"])
+    return both.groupBy("symbol", "fold").agg(F.count("*").alias("n_rows"), F.expr("count_if(a = b)").alias("n_equal"))

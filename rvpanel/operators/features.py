@@ -11,6 +11,7 @@ from rvpanel.functions import annualized, log_return, rolling_std
 from rvpanel.operators.layout import (
     block_window,
     blocks,
+    keyed,
     number,
     number_changes,
     own_rows,
@@ -21,22 +22,23 @@ from rvpanel.operators.layout import (
 from rvpanel.schema import FEATURES, TARGET
 
 
-def returns_rows(panel: DataFrame) -> DataFrame:
+def returns_rows(panel: DataFrame, strict: bool = False) -> DataFrame:
     """``log_returns`` with the working columns kept, for operators that go on."""
-    rows = with_previous(panel.select("symbol", "date", "px"), "px", "_prev")
+    rows = with_previous(keyed(panel.select("symbol", "date", "px"), strict), "px", "_prev")
     return rows.withColumn("r", log_return("px", F.col("_prev"))).drop("_prev")
 
 
-def log_returns(panel: DataFrame) -> DataFrame:
-    """``r = ln(px_t / px_(t-1))`` per symbol; the first row has none and is kept."""
-    return public(returns_rows(panel))
+def log_returns(panel: DataFrame, strict: bool = False) -> DataFrame:
+    """``r = ln(px_t / px_(t-1))`` per symbol; the first row has none and is kept.  Rows without symbol or
+    date are left out (``layout.missing_keys`` counts them), or an error with ``strict``."""
+    return public(returns_rows(panel, strict))
 
 
-def numbered_returns(panel: DataFrame) -> DataFrame:
+def numbered_returns(panel: DataFrame, strict: bool = False) -> DataFrame:
     """The returns a symbol has, numbered: (symbol, date, px, r, i, n).  What evaluation
     starts from."""
     return number_changes(
-        panel.select("symbol", "date", "px"), "px", lambda p, q: f"ln(try_divide({p}, {q}))", "r"
+        keyed(panel.select("symbol", "date", "px"), strict), "px", lambda p, q: f"ln(try_divide({p}, {q}))", "r"
     )
 
 

@@ -54,6 +54,27 @@ def group_table(rows: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(*aggs, fingerprint).where("_fingerprint IS NOT NULL").drop("_fingerprint")
 
 
+def missing_keys(df: DataFrame) -> DataFrame:
+    """One row: ``n_rows``, and how many of them lack a ``symbol`` or a ``date``.  Such rows have no position, so no
+    operator keeps them; ``keyed(strict=True)`` makes them an error."""
+    return df.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("symbol").isNull()).alias("n_without_symbol"),
+        F.count_if(F.col("date").isNull()).alias("n_without_date"),
+    )
+
+
+def keyed(df: DataFrame, strict: bool = False) -> DataFrame:
+    """The rows that have a symbol and a date; with ``strict`` a row that lacks one is an error."""
+    if not strict:
+        return df.where("symbol IS NOT NULL AND date IS NOT NULL")
+    # The keys themselves raise the error, so no filter on them can come before it.
+    for key in ("symbol", "date"):
+        fault = F.raise_error(F.lit(f"a row without a {key}")).cast(df.schema[key].dataType)
+        df = df.withColumn(key, F.when(F.col(key).isNull(), fault).otherwise(F.col(key)))
+    return df
+
+
 def _clustered(df: DataFrame, keys: list[str]) -> DataFrame:
     # Joins add "key IS NOT NULL" to the side they can push it into; stating it for
     # every reader keeps the shuffles below alike, so that they are reused.

@@ -216,3 +216,14 @@ def test_blocks_are_summed_up_in_two_levels(spark, monkeypatch):
         for _, b, count in sorted(r for r in rows if r[0] == symbol):
             assert [(r._start, r.n) for r in got if r.symbol == symbol and r._block == b] == [(start, sum(c for s, _, c in rows if s == symbol))]
             start += count
+
+
+def test_rows_without_keys_are_counted_or_an_error(spark):
+    rows = [("A", d, float(k + 1)) for k, d in enumerate(business_days(4))] + [("A", None, 2.0), (None, business_days(1)[0], 3.0)]
+    panel = spark.createDataFrame(rows, PANEL)
+    assert tuple(layout.missing_keys(panel).first()) == (6, 1, 1)
+    for build in (fe.log_returns, fe.numbered_returns):
+        assert build(panel).count() == (4 if build is fe.log_returns else 3)
+        with pytest.raises(Exception, match="a row without"):
+            build(panel, strict=True).count()
+        assert build(panel.dropna(subset=["symbol", "date"]), strict=True).count() == build(panel).count()

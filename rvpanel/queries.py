@@ -333,6 +333,21 @@ def cached_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ba.read_series(spark, path, "AF")
 
 
+@_query(
+    "cached_basket",
+    _with(
+        _PANEL,
+        "basket AS (SELECT DISTINCT l_returnflag || l_linestatus AS symbol FROM lineitem WHERE l_linestatus = 'F')",
+        select="SELECT symbol, date, px AS adj_close FROM panel WHERE symbol IN (SELECT symbol FROM basket)",
+    ),
+)
+def cached_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the bars of all symbols to the cache, then scans the target symbols of a basket at once."""
+    path = f"{shared_folder(spark)}/rvpanel-bars-{uuid.uuid4().hex}"
+    ba.write_bars(ba.as_bars(vwap_daily(spark, sf_dir).withColumnRenamed("px", "adj_close")), path)
+    return ba.read_cached(spark, path, _lineitem_basket(spark, sf_dir), targets_only=True)
+
+
 @_query("landed_bars", _with(_PANEL, select="SELECT symbol, date, CAST(NULL AS DOUBLE) AS open, px AS adj_close FROM panel"))
 def landed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars landed as vendor files, some CSV and some JSON, read by their column names."""

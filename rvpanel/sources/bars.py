@@ -161,6 +161,19 @@ def read_series(spark: SparkSession, path: str, symbol: str, column: str = "adj_
     return stored.where(mine).select("symbol", "date", column)
 
 
+def read_cached(
+    spark: SparkSession, path: str, symbols: DataFrame, column: str = "adj_close", targets_only: bool = False
+) -> DataFrame:
+    """One column of the cached bars of a basket.  Which folders are read is settled when the query runs, from the basket itself
+    (dynamic partition pruning); nothing of it goes through the driver."""
+    stored = spark.read.schema(T.StructType([*BARS, T.StructField("safe_name", T.StringType())])).parquet(path)
+    wanted = symbols.where("is_target" if targets_only else "symbol IS NOT NULL")
+    wanted = wanted.select(F.col("symbol").alias("_symbol"), safe_name("symbol").alias("safe_name")).distinct()
+    # Pruning at run time needs a filter on the basket's side that Spark takes for selective.
+    wanted = wanted.where("_symbol LIKE '%'")
+    return stored.join(wanted, "safe_name").where("symbol = _symbol").select("symbol", "date", column)
+
+
 def name_collisions(symbols: DataFrame) -> DataFrame:
     """Directory names that more than one symbol maps to (none, if all is well)."""
     return (

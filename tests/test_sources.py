@@ -218,3 +218,24 @@ def test_coverage_and_head(spark):
 def test_price_panel_has_positive_prices_or_null(spark):
     bars = _bars(spark, "A", 2).union(_bars(spark, "A", 1, price=-1.0, start="2021-01-04"))
     assert sorted(str(r.px) for r in ba.price_panel(bars).collect()) == ["1.0", "1.0", "None"]
+
+
+def test_a_cached_basket_reads_its_own_folders_only(spark, tmp_path):
+    path, names = str(tmp_path / "bars"), ["AAPL", "^VIX", "MSFT", "KO"]
+    bars = _bars(spark, names[0])
+    for name in names[1:]:
+        bars = bars.union(_bars(spark, name))
+    ba.write_bars(bars, path)
+    basket = spark.createDataFrame([("AAPL", True), ("^VIX", True), ("KO", False), ("VIX", True), (None, True), ("GONE", True)], "symbol string, is_target boolean")
+    basket.write.parquet(str(tmp_path / "basket"))
+    stored = spark.read.parquet(str(tmp_path / "basket"))
+    got = ba.read_cached(spark, path, stored, targets_only=True)
+    assert {r.symbol for r in got.collect()} == {"AAPL", "^VIX"}
+    assert {r.symbol for r in ba.read_cached(spark, path, stored).collect()} == {"AAPL", "^VIX", "KO"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "ReadSchema: struct<symbol:string,date:date,adj_close:double>" in plan
+    # Files of other symbols may be gone: nobody opens them.
+    import shutil
+
+    shutil.copytree(path, tmp_path / "fewer", ignore=shutil.ignore_patterns("safe_name=MSFT", "safe_name=KO"))
+    assert ba.read_cached(spark, str(tmp_path / "fewer"), stored, targets_only=True).count() == got.count()

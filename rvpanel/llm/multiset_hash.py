@@ -3,9 +3,9 @@
 DataFrame functions only.  A text is cut behind every mark of ``ENDS`` into paragraphs.  Each becomes a wide vector, a text's
 fingerprint is the sum of the vectors of its paragraphs modulo powers of two:
 
-* ``WIDE`` lanes modulo 2^32, filled from two SHA-256 of the paragraph, tell texts apart;
+* ``WIDE`` lanes modulo 2^36, filled from two SHA-256 of the paragraph, tell texts apart;
 * ``LEVELS`` rows of ``CELLS`` cells modulo 2^16: a paragraph falls into one cell, in row v with probability
-  3/4 * 4^-v (the last row takes all that go further), and adds a number from 1 to 63;
+  3/4 * 4^-v (the last row takes all that go further), and adds a number from 1 to 31;
 * the last lane counts paragraphs.
 
 So texts with the same paragraphs in any order have equal fingerprints, and inserting or deleting paragraphs is an
@@ -37,14 +37,15 @@ from rvpanel.sources.store import materialize
 
 #: A paragraph ends behind one of these.
 ENDS = r".,;:!?\n"
-WIDE = 16
-LEVELS, CELLS = 6, 26
+WIDE = 14
+#: With the keys, the sums stay below the 100 columns up to which Spark compiles a stage.
+LEVELS, CELLS = 6, 24
 GROUP = 64
 
-_WIDE_MASK, _CELL_MASK = (1 << 32) - 1, (1 << 16) - 1
-#: Two cells share a 64-bit sum.
-_PAIRS = LEVELS * CELLS // 2
-_HEX = "conv(substr({0}, {1}, 8), 16, 10)"
+_DIGITS = 9
+_WIDE_MASK, _CELL_MASK = (1 << 4 * _DIGITS) - 1, (1 << 16) - 1
+#: Two cells share a 64-bit sum, the second one from this bit on.
+_PAIRS, _SECOND = LEVELS * CELLS // 2, 31
 
 
 def paragraphs(text: str) -> str:
@@ -52,26 +53,27 @@ def paragraphs(text: str) -> str:
     return f"regexp_extract_all({text}, r'[^{ENDS}]*[{ENDS}]|[^{ENDS}]+', 0)"
 
 
+def _number(text: str, at: int, digits: int) -> str:
+    return f"CAST(conv(substr({text}, {at}, {digits}), 16, 10) AS BIGINT)"
+
+
 def _lanes() -> list[Column]:
-    """Sums over paragraphs ``u``, with 1 in ``one`` where there is one, 0 for a text without any."""
-    wide = [f"(CAST({_HEX.format('w' + str(j // 8), 8 * (j % 8) + 1)} AS BIGINT) * one)" for j in range(WIDE)]
-    cells = [f"IF(cell div 2 = {k}, add, 0L)" for k in range(_PAIRS)]
-    # A paragraph would have to repeat some thirty million times for a pair of cells to leave 64 bits.
-    return [F.expr(f"coalesce(try_sum({x}), 0L)").alias(f"s{k}") for k, x in enumerate([*wide, *cells, "one"])]
+    """Sums over paragraphs, of which ``one`` is 1, or 0 for a text without any."""
+    half = WIDE // 2
+    wide = [f"{_number(f'w{j // half}', _DIGITS * (j % half) + 1, _DIGITS)} * one" for j in range(WIDE)]
+    pairs = [f"IF(pair = {k}, add, 0L)" for k in range(_PAIRS)]
+    # A sum leaves 64 bits only beyond 2^27 paragraphs, more than a task can hold of one text.
+    return [F.expr(f"sum({x})").alias(f"s{k}") for k, x in enumerate([*wide, *pairs, "one"])]
 
 
 def _placed(rows: DataFrame) -> DataFrame:
     """Cell and addend of each paragraph from its hash."""
     known = rows.selectExpr(
-        "*",
-        "int(u <> '') AS one",
-        "sha2(u, 256) AS w0",
-        "sha2(concat('1', u), 256) AS w1",
-        "md5(u) AS m",
-    ).selectExpr("*", *[f"CAST({_HEX.format('m', 8 * j + 1)} AS BIGINT) AS m{j}" for j in range(3)])
-    level = "CASE " + " ".join(f"WHEN m0 & {3 << 2 * v} <> 0 THEN {v}" for v in range(LEVELS - 1)) + f" ELSE {LEVELS - 1} END"
-    known = known.selectExpr("*", f"({level}) * {CELLS} + m1 % {CELLS} AS cell")
-    return known.selectExpr("*", "shiftleft((m2 % 63 + 1) * one, 32 * CAST(cell % 2 AS INT)) AS add")
+        "*", "bigint(u <> '') AS one", "sha2(u, 256) AS w0", "sha2(concat('1', u), 256) AS w1", f"{_number('md5(u)', 1, 15)} AS m"
+    )
+    level = "CASE " + " ".join(f"WHEN m & {3 << 2 * v} <> 0 THEN {v}" for v in range(LEVELS - 1)) + f" ELSE {LEVELS - 1} END"
+    known = known.selectExpr("*", f"({level}) * {CELLS} + shiftright(m, 12) % {CELLS} AS cell", "(shiftright(m, 36) % 31 + 1) * one AS add")
+    return known.withColumns({"pair": F.expr("cell div 2"), "add": F.expr(f"IF(cell % 2 = 0, add, shiftleft(add, {_SECOND}))")})
 
 
 def _sums(lanes: str) -> Column:
@@ -80,7 +82,7 @@ def _sums(lanes: str) -> Column:
     wide = F.transform(F.slice(s, 1, WIDE), lambda x: x.bitwiseAND(F.lit(_WIDE_MASK)))
     pairs = F.transform(
         F.slice(s, WIDE + 1, _PAIRS),
-        lambda x: F.array(x.bitwiseAND(F.lit(_CELL_MASK)), F.shiftright(x, 32).bitwiseAND(F.lit(_CELL_MASK))),
+        lambda x: F.array(x.bitwiseAND(F.lit(_CELL_MASK)), F.shiftright(x, _SECOND).bitwiseAND(F.lit(_CELL_MASK))),
     )
     return F.concat(wide, F.flatten(pairs), F.slice(s, WIDE + _PAIRS + 1, 1))
 
@@ -101,7 +103,7 @@ def combine(a: str, b: str, sign: int = 1) -> Column:
 def as_text(lanes: str) -> Column:
     """Lanes in hexadecimal, the count in decimal behind a dash."""
     s = F.col(lanes)
-    digits = F.transform(F.slice(s, 1, WIDE), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
+    digits = F.transform(F.slice(s, 1, WIDE), lambda x: F.lpad(F.lower(F.hex(x)), _DIGITS, "0"))
     cells = F.transform(F.slice(s, WIDE + 1, 2 * _PAIRS), lambda x: F.lpad(F.lower(F.hex(x)), 4, "0"))
     return F.concat(F.array_join(digits, ""), F.array_join(cells, ""), F.lit("-"), F.element_at(s, -1).cast("string"))
 
@@ -161,7 +163,7 @@ def fingerprints(docs: DataFrame, share: int = 4, id_col: str = "doc_id", text:
     rows = rows.selectExpr("*", f"n - n div {share} AS keep", f"lead(text) {following} AS next")
     rows = rows.selectExpr("*", "left(text, keep) AS kept", f"coalesce(left(next, n div {share}), '') AS begin")
     # What stays whole ends behind the last mark of the kept part.
-    rows = rows.selectExpr("*", f"length(kept) - length(regexp_extract(kept, r'[^{ENDS}]*$', 0)) AS whole")
+    rows = rows.selectExpr("*", f"length(kept) - length(regexp_extract(reverse(kept), r'^[^{ENDS}]*', 0)) AS whole")
     rows = rows.selectExpr(
         "part", "g", "o", "id", "n", "sha2(concat(kept, begin), 256) AS edited_sha256",
         "array(left(text, whole), substr(text, whole + 1), concat(substr(kept, whole + 1), begin)) AS pieces",

@@ -150,29 +150,27 @@ o AS (
 e AS (SELECT doc_id, next_id, n, text, left(text, n - n // 4) || left(next_text, n // 4) AS edited FROM o),
 both_ AS (SELECT doc_id, 0 AS kind, text AS t FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
 u AS (SELECT doc_id, kind, unnest(regexp_extract_all(t, '[^.,;:!?\n]*[.,;:!?\n]|[^.,;:!?\n]+')) AS u FROM both_),
-h AS (SELECT doc_id, kind, sha256(u) || sha256('1' || u) AS w, md5(u) AS m FROM u),
-placed AS (
-  SELECT doc_id, kind, CAST('0x' || substr(m, 1, 8) AS BIGINT) AS m0, CAST('0x' || substr(m, 9, 8) AS BIGINT) AS m1,
-    CAST('0x' || substr(m, 17, 8) AS BIGINT) % 63 + 1 AS value FROM h),
+h AS (
+  SELECT doc_id, kind, substr(sha256(u), 1, 63) || substr(sha256('1' || u), 1, 63) AS w, CAST('0x' || substr(md5(u), 1, 15) AS BIGINT) AS m FROM u),
 values_ AS (
-  SELECT doc_id, kind, j AS lane, sum(CAST('0x' || substr(w, 8 * j + 1, 8) AS BIGINT)) % 4294967296 AS s FROM h, range(16) AS r(j) GROUP BY ALL
-  UNION ALL SELECT doc_id, kind, 16 + v * 26 + m1 % 26, sum(value) % 65536 FROM (
-    SELECT *, CASE WHEN m0 & 3 <> 0 THEN 0 WHEN m0 & 12 <> 0 THEN 1 WHEN m0 & 48 <> 0 THEN 2 WHEN m0 & 192 <> 0 THEN 3 WHEN m0 & 768 <> 0 THEN 4 ELSE 5 END AS v
-    FROM placed) GROUP BY ALL),
+  SELECT doc_id, kind, j AS lane, sum(CAST('0x' || substr(w, 9 * j + 1, 9) AS BIGINT)) % 68719476736 AS s FROM h, range(14) AS r(j) GROUP BY ALL
+  UNION ALL SELECT doc_id, kind, 14 + v * 24 + (m >> 12) % 24, sum((m >> 36) % 31 + 1) % 65536 FROM (
+    SELECT *, CASE WHEN m & 3 <> 0 THEN 0 WHEN m & 12 <> 0 THEN 1 WHEN m & 48 <> 0 THEN 2 WHEN m & 192 <> 0 THEN 3 WHEN m & 768 <> 0 THEN 4 ELSE 5 END AS v
+    FROM h) GROUP BY ALL),
 counts AS (SELECT doc_id, kind, count(u) AS n FROM both_ LEFT JOIN u USING (doc_id, kind) GROUP BY ALL),
 lanes AS (
-  SELECT doc_id, kind, lane, CAST(coalesce(s, 0) AS BIGINT) AS s FROM (SELECT doc_id, kind, lane FROM both_, range(172) AS r(lane)) LEFT JOIN values_ USING (doc_id, kind, lane)),
+  SELECT doc_id, kind, lane, CAST(coalesce(s, 0) AS BIGINT) AS s FROM (SELECT doc_id, kind, lane FROM both_, range(158) AS r(lane)) LEFT JOIN values_ USING (doc_id, kind, lane)),
 whole AS (
-  SELECT doc_id, kind, n, string_agg(CASE WHEN lane < 16 THEN printf('%08x', s) ELSE printf('%04x', s) END, '' ORDER BY lane) || '-' || any_value(n) AS fp
+  SELECT doc_id, kind, n, string_agg(CASE WHEN lane < 14 THEN printf('%09x', s) ELSE printf('%04x', s) END, '' ORDER BY lane) || '-' || any_value(n) AS fp
   FROM lanes JOIN counts USING (doc_id, kind) GROUP BY ALL),
 pairs AS (SELECT doc_id, doc_id AS other, 1 AS kind FROM e UNION ALL SELECT doc_id, next_id, 0 FROM e),
 apart AS (
-  SELECT p.doc_id, p.kind, (a.lane - 16) // 26 AS v, count(*) FILTER (WHERE a.s <> b.s) AS d
+  SELECT p.doc_id, p.kind, (a.lane - 14) // 24 AS v, count(*) FILTER (WHERE a.s <> b.s) AS d
   FROM pairs p JOIN lanes a ON a.doc_id = p.doc_id AND a.kind = 0 JOIN lanes b ON b.doc_id = p.other AND b.kind = p.kind AND b.lane = a.lane
-  WHERE a.lane >= 16 GROUP BY ALL),
-opened AS (SELECT *, coalesce(min(v) FILTER (WHERE d <= 22) OVER (PARTITION BY doc_id, kind), 5) AS first FROM apart),
+  WHERE a.lane >= 14 GROUP BY ALL),
+opened AS (SELECT *, coalesce(min(v) FILTER (WHERE d <= 20) OVER (PARTITION BY doc_id, kind), 5) AS first FROM apart),
 guess AS (
-  SELECT doc_id, kind, sum(round(-26 * ln(1 - least(d, 25) / 26.0::DOUBLE), 9)) FILTER (WHERE v >= first) * pow(4.0::DOUBLE, min(first)) AS g FROM opened GROUP BY 1, 2),
+  SELECT doc_id, kind, sum(round(-24 * ln(1 - least(d, 23) / 24.0::DOUBLE), 9)) FILTER (WHERE v >= first) * pow(4.0::DOUBLE, min(first)) AS g FROM opened GROUP BY 1, 2),
 near AS (
   SELECT p.doc_id, p.kind, round(CASE WHEN a.fp = b.fp THEN 1 ELSE greatest(0, 1 - greatest(g, abs(a.n - b.n), 1) / greatest(a.n + b.n, 1)) END, 6) AS near
   FROM pairs p JOIN guess USING (doc_id, kind) JOIN whole a ON a.doc_id = p.doc_id AND a.kind = 0 JOIN whole b ON b.doc_id = p.other AND b.kind = p.kind)

@@ -104,14 +104,13 @@ def own_paragraphs(text):
 def own_lanes(text):
     wide, cells, n = [0] * M.WIDE, [0] * (M.LEVELS * M.CELLS), 0
     for u in own_paragraphs(text):
-        w = hashlib.sha256(u.encode()).hexdigest() + hashlib.sha256(b"1" + u.encode()).hexdigest()
-        m = hashlib.md5(u.encode()).hexdigest()
-        m0, m1, m2 = (int(m[8 * j : 8 * j + 8], 16) for j in range(3))
-        v = next((v for v in range(M.LEVELS - 1) if m0 & (3 << 2 * v)), M.LEVELS - 1)
-        cells[v * M.CELLS + m1 % M.CELLS] += m2 % 63 + 1
-        wide = [a + int(w[8 * j : 8 * j + 8], 16) for j, a in enumerate(wide)]
+        w = hashlib.sha256(u.encode()).hexdigest()[:63] + hashlib.sha256(b"1" + u.encode()).hexdigest()[:63]
+        m = int(hashlib.md5(u.encode()).hexdigest()[:15], 16)
+        v = next((v for v in range(M.LEVELS - 1) if m & (3 << 2 * v)), M.LEVELS - 1)
+        cells[v * M.CELLS + (m >> 12) % M.CELLS] += (m >> 36) % 31 + 1
+        wide = [a + int(w[9 * j : 9 * j + 9], 16) for j, a in enumerate(wide)]
         n += 1
-    return "".join(f"{x % 2**32:08x}" for x in wide) + "".join(f"{x % 2**16:04x}" for x in cells) + f"-{n}"
+    return "".join(f"{x % 2**36:09x}" for x in wide) + "".join(f"{x % 2**16:04x}" for x in cells) + f"-{n}"
 
 
 def fingerprints(spark, texts, ids):
@@ -148,7 +147,7 @@ def test_fingerprints_ignore_order_and_add_up(spark):
     assert own_lanes("a. b. c. ") == prints[1]
     lanes = spark.createDataFrame([(1, 2)], "p int, q int")
     assert lanes.count() == 1
-    split = lambda s: [int(s[8 * i : 8 * i + 8], 16) for i in range(16)] + [int(s[128 + 4 * i : 132 + 4 * i], 16) for i in range(156)] + [int(s.split("-")[1])]
+    split = lambda s: [int(s[9 * i : 9 * i + 9], 16) for i in range(14)] + [int(s[126 + 4 * i : 130 + 4 * i], 16) for i in range(144)] + [int(s.split("-")[1])]
     whole = own_lanes("a. b. c.")
     pair = spark.createDataFrame([(split(own_lanes("a. b.")), split(own_lanes(" c.")), split(whole))], "a array<long>, b array<long>, w array<long>")
     r = pair.select(M.combine("a", "b").alias("sum"), M.combine("w", "b", -1).alias("less"), "a", "w").first()

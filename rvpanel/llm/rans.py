@@ -41,7 +41,7 @@ from pyspark.sql import Window
 
 from rvpanel.llm import words as W
 from rvpanel.llm.tasks import on_executors, partition_id, sent, text_slices
-from rvpanel.sources.store import shared_folder
+from rvpanel.sources.store import materialize, release, shared_folder
 
 SCALE_BITS = 20
 LANES = 32
@@ -215,12 +215,13 @@ def _encoder(path: str, dtype: str):
 
 
 def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids binary): each text's ids with the end id, 2 bytes an id where the vocabulary allows."""
+    """(doc_id, ids binary, counts binary): each text's ids with the end id, 2 bytes an id where the vocabulary allows, and a
+    last row a task without ids that holds how often it met each id."""
     on_executors(docs.sparkSession)
 
     def run(batches):
-        size = W.tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True)
-        dtype = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
+        vocabulary = max(W.tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
+        dtype, total = _width(vocabulary), np.zeros(vocabulary, np.int64)
         memo, learn = _encoder(tokenizer_path, dtype)
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
@@ -228,31 +229,34 @@ def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
             for _, texts in text_slices(batch):
                 lists = [W.folded(tokenizer_path, t).split() if t else [] for t in texts]
                 learn(lists)
-                out += [b"".join(map(memo.__getitem__, ws)) + end for ws in lists]
-            yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "ids": pa.array(out, pa.binary())})
+                found = [b"".join(map(memo.__getitem__, ws)) + end for ws in lists]
+                total += np.bincount(np.frombuffer(b"".join(found), dtype), minlength=vocabulary)
+                out += found
+            ids = batch.column(0).cast(pa.int64())
+            yield pa.record_batch({"doc_id": ids, "ids": pa.array(out, pa.binary()), "counts": pa.nulls(len(out), pa.binary())})
+        yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "ids": pa.nulls(1, pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    return docs.select(id_col, F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(id_col, F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def _width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def id_counts(staged: DataFrame, vocabulary: int) -> np.ndarray:
-    """Occurrences of each id over all documents: a vector of the vocabulary's size from every
-    task, added up by id, so only ``vocabulary`` rows reach the driver."""
-    dtype = _width(vocabulary)
+def id_counts(counted: DataFrame, vocabulary: int) -> np.ndarray:
+    """Occurrences of each id over all documents: the vectors that the tasks counted, added up by id, so only
+    ``vocabulary`` rows reach the driver."""
 
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), dtype), minlength=vocabulary)
+                total += np.frombuffer(raw.as_buffer(), np.int64)
         seen = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(seen, pa.int32()), "n": pa.array(total[seen], pa.int64())})
 
     counts = np.zeros(vocabulary, np.int64)
-    for r in staged.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in counted.select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     return counts
 
@@ -263,9 +267,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None =
     path = path or f"{shared_folder(spark)}/rans-{uuid.uuid4().hex}"
     vocabulary = max(W.tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = _width(vocabulary)
-    stage_ids(docs, tokenizer_path, end_id, id_col, text).write.option("compression", "zstd").parquet(f"{path}/staged")
-    staged = spark.read.schema("doc_id long, ids binary").parquet(f"{path}/staged")
-    counts = id_counts(staged, vocabulary)
+    both = materialize(stage_ids(docs, tokenizer_path, end_id, id_col, text), compression="zstd")
+    counts = id_counts(both.where("ids IS NULL"), vocabulary)
+    staged = both.where("ids IS NOT NULL").select("doc_id", "ids")
     spark.createDataFrame([(SCALE_BITS, counts.astype("<i8").tobytes())], "scale_bits int, counts binary").coalesce(1).write.parquet(f"{path}/table")
     shipped = sent(spark, counts)
 
@@ -308,6 +312,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None =
     ordered = staged.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     # Payloads are at their entropy already.
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/records")
+    release(both)
     return path
 
 

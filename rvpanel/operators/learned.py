@@ -193,11 +193,11 @@ def fold_scalers(packed: DataFrame, config: Settings, folds: Sequence[int]) -> D
     return per_fold.groupBy("symbol").agg(F.collect_list(lists).alias("scalers"))
 
 
-def _scaled_folds(block: Block, config: Settings):
-    """(fold, parts, features scaled to float32) of each fold the block's symbol has a scaler for."""
+def _scaled_folds(block: Block, config: Settings, only: int | None = None):
+    """(fold, parts, features scaled to float32) of each fold (or of one) the block's symbol has a scaler for."""
     for scaler in block.row["scalers"]:
         parts = _fold_parts(block.m, scaler["fold"], config)
-        if parts:
+        if parts and only in (None, scaler["fold"]):
             yield scaler["fold"], parts, ((block.f - np.array(scaler["mean"])) / np.array(scaler["std"])).astype(np.float32)
 
 
@@ -282,9 +282,9 @@ def fold_vectors(packed: DataFrame, config: Settings, fold: int, part: str) -> D
 
     def run(batches):
         for block in read_blocks(batches, len(config.features), ["scalers"]):
-            for own_fold, (inner_end, train_end, start, end), scaled in _scaled_folds(block, config):
+            for _, (inner_end, train_end, start, end), scaled in _scaled_folds(block, config, fold):
                 low, high = {"train": (0, inner_end), "validation": (inner_end, train_end), "test": (start, end)}[part]
-                ends = block.ends(config.window, low, high) if own_fold == fold else np.zeros(0, np.int64)
+                ends = block.ends(config.window, low, high)
                 for some in np.array_split(ends, -(-len(ends) // 4096)) if len(ends) else ():
                     flat = windows_at(scaled, some, config.window)
                     x = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
@@ -297,12 +297,28 @@ def fold_vectors(packed: DataFrame, config: Settings, fold: int, part: str) -> D
     return rows.select("symbol", "date", F.col("y").alias(config.target), array_to_vector("x").alias("features"))
 
 
-def _boosted_forecasts(packed: DataFrame, config: Settings, fold: int) -> DataFrame | None:
+def window_counts(packed: DataFrame, config: Settings) -> dict[int, tuple[int, int]]:
+    """How many train and validation windows each fold has, from positions alone, all folds in one pass."""
+
+    def run(batches):
+        for block in read_blocks(batches, len(config.features), ["scalers"]):
+            for fold in [s["fold"] for s in block.row["scalers"]]:
+                if parts := _fold_parts(block.m, fold, config):
+                    n, held = (len(block.ends(config.window, *side)) for side in ((0, parts[0]), parts[:2]))
+                    yield pa.record_batch({"fold": pa.array([fold], pa.int64()), "n": pa.array([n], pa.int64()), "held": pa.array([held], pa.int64())})
+
+    counted = packed.mapInArrow(run, "fold long, n long, held long").groupBy("fold").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    return {r["fold"]: (r["n"], r["held"]) for r in counted.collect()}
+
+
+def dealt(packed: DataFrame) -> DataFrame:
+    """The packed rows in parts of about as many blocks each, in an order that does not depend on the run."""
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartitionByRange(parts, F.xxhash64("symbol", "_block")).sortWithinPartitions("symbol", "_block")
+
+
+def _boosted_forecasts(packed: DataFrame, config: Settings, fold: int) -> DataFrame:
     train, held = (fold_vectors(packed, config, fold, part) for part in ("train", "validation"))
-    if train.isEmpty():
-        return None
-    if held.isEmpty():
-        raise ValueError("no validation window: val_frac leaves fewer rows than one window needs")
     model = fit_regressor(train, held, config)
     tested = model.transform(fold_vectors(packed, config, fold, "test"))
     return tested.select("symbol", "date", F.lit(fold).alias("fold"), F.col(config.target).alias("actual"), "pred")
@@ -325,6 +341,13 @@ def learned_forecasts(
     if config.learner == "linear":
         results = [_linear_forecasts(scaled, config)]
     else:
+        # Fitting passes over the blocks many times: they are joined and dealt out evenly once.  A block becomes windows
+        # of many times its size, so the size of the table must not decide how many tasks share it.
+        scaled = materialize(dealt(scaled))
+        counts = window_counts(scaled, config)
+        chosen = [fold for fold in chosen if counts.get(fold, (0, 0))[0]]
+        if not all(counts[fold][1] for fold in chosen):
+            raise ValueError("no validation window: val_frac leaves fewer rows than one window needs")
         # Folds are independent: their jobs are submitted side by side and share the cluster.
         with ThreadPool(max(1, min(len(chosen), config.side_by_side))) as pool:
             one_fold = inheritable_thread_target(panel.sparkSession)(lambda fold: _boosted_forecasts(scaled, config, fold))

@@ -154,6 +154,25 @@ def test_one_pass_agrees_with_a_fit_a_fold(spark, panel):
         assert (got.index.get_level_values("fold") == fold).sum() == len(want)
 
 
+def test_boosting_reads_blocks_that_are_joined_and_dealt_once(spark, panel, monkeypatch):
+    """Every pass of the folds reads one stored table, whose parts hold about as many blocks each; each fold's windows
+    are counted without making them."""
+    read = []
+    fit = le._boosted_forecasts
+    monkeypatch.setattr(le, "_boosted_forecasts", lambda packed, config, fold: read.append(packed) or fit(packed, config, fold))
+    config = _config("gbt", rounds=2)
+    le.learned_forecasts(panel, config)
+    assert len(read) == 3 and len({id(p) for p in read}) == 1
+    plan = read[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    counts = le.window_counts(read[0], config)
+    for fold in range(3):
+        assert counts[fold] == tuple(le.fold_vectors(read[0], config, fold, part).count() for part in ("train", "validation"))
+    many = spark.range(160).selectExpr("string(id % 4) AS symbol", "id div 4 AS _block")
+    sizes = [r["count"] for r in le.dealt(many).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 160 and max(sizes) <= 2 * 160 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_fewer_trees_of_one_fit(spark, panel):
     config = _config("gbt", rounds=5)
     packed = le.pack(panel, config.window, 5, config.features, config.target, "calendar")

@@ -32,6 +32,7 @@ import unicodedata
 import uuid
 import zlib
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +181,8 @@ def decode(payload: bytes, table: Table, only: list[int] | None = None) -> list[
     return out
 
 
-_MARKS = {b".", b","}
+#: ASCII marks that stand in one run behind letters; an apostrophe may begin an ending, and "<|" a special token.
+_MARKS = b'!"#$%&()*+,-./:;=>?@[\\]^_`{}~'
 _memos: dict[tuple, W.Memo] = {}
 
 
@@ -194,22 +196,26 @@ def _letters(word: bytes) -> bool:
 def _encoder(path: str, dtype: str):
     W.claim("rans", _memos)
     memo, apart = _memos.setdefault((path, dtype), W.Memo()), W.letters_alone(path)
-    kind = "H" if dtype == "<u2" else "I"
+    kind, little = "H" if dtype == "<u2" else "I", sys.byteorder == "little"
 
     def learn(lists):
         memo.room()
         fresh = W.missing(memo, lists)
-        # Letters with a mark behind are the letters' ids and the mark's.
-        marked = [w for w in fresh if apart and w[-1:] in _MARKS and _letters(w[:-1])]
-        whole = set(fresh).difference(marked)
-        whole.update(b for b in {w[:-1] for w in marked} | {w[-1:] for w in marked} if b not in memo)
-        whole = list(whole)
-        for word, ids in zip(whole, W.plain_ids(path, whole), strict=True):
-            raw = array(kind, ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype).tobytes()
-            memo.put(word, raw, len(word) + len(raw))
-        for word in marked:
-            raw = memo[word[:-1]] + memo[word[-1:]]
-            memo.put(word, raw, len(word) + len(raw))
+        # Letters with marks behind are the letters' ids and those of the run of marks.
+        marked = []
+        for word in fresh if apart else ():
+            head = word.rstrip(_MARKS)
+            if len(head) < len(word) and _letters(head):
+                marked.append((word, head, word[len(head) :]))
+        if marked:
+            words, heads, tails = zip(*marked, strict=True)
+            whole = set(fresh).difference(words)
+            whole.update(filterfalse(memo.__contains__, heads), filterfalse(memo.__contains__, tails))
+            fresh = list(whole)
+        coded = [array(kind, ids).tobytes() if little else np.array(ids, dtype).tobytes() for ids in W.plain_ids(path, fresh)]
+        memo.put_all(fresh, coded)
+        if marked:
+            memo.put_all(words, [memo[h] + memo[t] for h, t in zip(heads, tails, strict=True)])
 
     return memo, learn
 

@@ -12,6 +12,7 @@ import json
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import filterfalse
 
 #: Bytes of words and outputs a memo may hold before it starts anew.
 MEMO_BYTES = 80 << 20
@@ -32,14 +33,15 @@ def tokenizer(path: str):
 @lru_cache(maxsize=4)
 def letters_alone(path: str) -> bool:
     """Whether lower-case composed letters reach the model unchanged and apart from all else:
-    the tokenizer composes, folds white space, lower-cases, and splits runs of letters."""
+    the tokenizer composes, folds white space, lower-cases, and splits runs of letters.  What is neither letter,
+    digit nor white space is then a run of its own, too."""
     with open(path, encoding="utf-8") as f:
         known = json.load(f)
     steps = (known.get("normalizer") or {}).get("normalizers", [])
     parts = (known.get("pre_tokenizer") or {}).get("pretokenizers", [])
     split = parts[0].get("pattern", {}).get("Regex", "") if parts else ""
     byte_level = len(parts) == 2 and parts[1]["type"] == "ByteLevel" and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
-    return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and r"|[\p{L}]+|" in split and byte_level
+    return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and r"|[\p{L}]+|" in split and split.endswith(r"|[^\s\p{L}\p{N}]+") and byte_level
 
 
 @lru_cache(maxsize=1)
@@ -62,10 +64,16 @@ def plain_ids(path: str, words: list[bytes]) -> list[list[int]]:
     model, out, rest = tokenizer(path).model.tokenize, [], []
     names = _byte_letters()
     for w in words:
-        t = w.decode("utf-8", "replace")
-        if t.isalpha() and t.lower() == t and (t.isascii() or unicodedata.is_normalized("NFC", t)):
-            if not t.isascii():
-                t = "".join([names[b] for b in w])
+        # isalpha and islower of bytes are those of ASCII.
+        if w.isalpha():
+            t = w.decode() if w.islower() else ""
+        elif w.isascii():
+            t = ""
+        else:
+            t = w.decode("utf-8", "replace")
+            plain = t.isalpha() and t.lower() == t and unicodedata.is_normalized("NFC", t)
+            t = "".join([names[b] for b in w]) if plain else ""
+        if t:
             out.append([x.id for x in model(t)])
         else:
             rest.append(len(out))
@@ -117,10 +125,14 @@ class Memo(dict):
         self[word] = value
         self.held += size + 160
 
+    def put_all(self, words: list[bytes], values: list[bytes]) -> None:
+        self.update(zip(words, values, strict=True))
+        self.held += sum(map(len, words)) + sum(map(len, values)) + 160 * len(words)
+
 
 def missing(memo: dict, lists: list[list[bytes]]) -> list[bytes]:
     """Distinct words of the lists that the memo lacks."""
     fresh: set[bytes] = set()
     for words in lists:
         fresh.update(words)
-    return [w for w in fresh if w not in memo]
+    return list(filterfalse(memo.__contains__, fresh))

@@ -140,3 +140,17 @@ def test_direct_words(text):
     got = [i for w in raw for i in np.frombuffer(memo[w], "<u2").tolist()]
     assert got == library(WORD, text)
     assert [i for ids in W.plain_ids(WORD, raw) for i in ids] == got
+
+
+def test_words_with_a_run_of_marks_are_learned_from_their_parts(monkeypatch):
+    """Letters and the marks behind them are asked for once each, with the library's ids; other words go to it whole."""
+    asked = []
+    real = W.library_ids
+    monkeypatch.setattr(W, "library_ids", lambda path, words: asked.extend(words) or real(path, words))
+    memo, learn = rans._encoder(WORD, "<u2")
+    memo.clear()
+    words = [w.encode() for w in ("zebra&&&", "quux.$$$", "\u00e9t\u00e9!!", "quux...", "it's", "a'", "b<|", "(517)", "x2!!")] + ["e\u0301&&".encode()]
+    learn([words])
+    for w in words:
+        assert memo[w] == np.array(real(WORD, [w])[0], "<u2").tobytes()
+    assert not set(words[:4]) & set(asked) and set(words[4:-1]) <= set(asked)

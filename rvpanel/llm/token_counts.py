@@ -36,13 +36,24 @@ _RARE = 1 << 40
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: White space beside a space, or other than single spaces and line feeds, takes the exact but slower cut.
-_ODD = [b"  ", b" \n", b"\n ", b" \t", b"\t ", b" \r", b"\r ", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
-_ODD += [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+_BESIDE = {w: (b" " + w, w + b" ") for w in (b"\n", b"\t", b"\r")}
+_ODD = [b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
+_ODD_WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+#: ASCII marks of which a run behind letters is one pre-token; an apostrophe may begin an ending, and "<|" a special token.
+_MARKS = b'!"#$%&()*+,-./:;=>?@[\\]^_`{}~'
+
+
+def _odd(text: bytes) -> bool:
+    if text[:1] == b" " or text[-1:] == b" " or b"  " in text or any(o in text for o in _ODD):
+        return True
+    if any(w in text and (before in text or behind in text) for w, (before, behind) in _BESIDE.items()):
+        return True
+    return not text.isascii() and any(o in text for o in _ODD_WIDE)
 
 
 def parts(text: bytes) -> tuple[bytes, list[bytes]]:
     """First part as it is, and the others without the space they begin with."""
-    if text[:1] == b" " or text[-1:] == b" " or any(o in text for o in _ODD):
+    if _odd(text):
         found = _CUT.split(text.decode("utf-8", "replace"))
         return found[0].encode(), [p[1:].encode() for p in found[1:]]
     found = text.split(b" ")
@@ -58,18 +69,36 @@ class _Splitter:
         self.added = [t.content for t in known.get_added_tokens_decoder().values()]
 
     def __call__(self, part: str) -> list[str]:
-        if not part:
-            return []
-        # Letters are one pre-token with the space before them, and so is a mark behind them.
-        body = part[1:] if part[0] == " " else part
-        if body.isalpha():
-            return [part]
-        if body[-1:] in (".", ",") and body[:-1].isalpha():
-            return [part[:-1], part[-1]]
-        if any(a in part for a in self.added):
-            return [part]
+        """Pre-tokens of a part, by the library; a part with the string of an added token is one."""
+        if not part or any(a in part for a in self.added):
+            return [part] if part else []
         return [part[a:b] for _, (a, b) in self.split(part)]
 
+    def encoded(self, lead: bytes, word: bytes) -> list[bytes]:
+        """The same of ``lead`` (a space or nothing) and ``word`` in UTF-8; plain words, also several of them between
+        single line feeds, do not need the library."""
+        if (found := _plain(lead, word)) is not None:
+            return found
+        if b"\n" in word:
+            found = []
+            for line in word.split(b"\n"):
+                if (some := _plain(b"" if found else lead, line)) is None:
+                    break
+                found += [b"\n", *some] if found else some
+            else:
+                return found
+        return [p.encode() for p in self((lead + word).decode("utf-8", "replace"))]
+
+
+def _plain(lead: bytes, word: bytes) -> list[bytes] | None:
+    """Letters are one pre-token with the space before them, and so is a run of marks behind them; None for other words."""
+    if word.isalpha():
+        return [lead + word]
+    head = word.rstrip(_MARKS)
+    if head.isalpha() or not head.isascii() and head.decode("utf-8", "replace").isalpha():
+        return [lead + head] if len(head) == len(word) else [lead + head, word[len(head) :]]
+    return None
+
 
 def pretoken_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(pretoken, n) over all documents."""
@@ -82,12 +111,12 @@ def pretoken_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame
 
         def rows():
             total: Counter = Counter()
-            for lead, held in (("", first), (" ", rest)):
+            for lead, held in ((b"", first), (b" ", rest)):
                 for part, n in held.items():
-                    for p in split(lead + part.decode("utf-8", "replace")):
+                    for p in split.encoded(lead, part):
                         total[p] += n
                 held.clear()
-            keys = pa.array([p.encode() for p in total], pa.binary())
+            keys = pa.array(list(total), pa.binary())
             return pa.record_batch({"pretoken": keys, "n": pa.array(list(total.values()), pa.int64())})
 
         for batch in batches:
@@ -128,16 +157,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     def run(batches):
         split, held = _Splitter(path), shipped.value
-        memos = {"": W.Memo(16 << 20), " ": W.Memo(64 << 20)}
-        rare: dict[str, dict] = {"": {}, " ": {}}
+        memos = {b"": W.Memo(16 << 20), b" ": W.Memo(64 << 20)}
+        rare: dict[bytes, dict] = {b"": {}, b" ": {}}
         row = partition_id() << 33
 
-        def learn(lead: str, words: list[bytes]):
+        def learn(lead: bytes, words: list[bytes]):
             memo = memos[lead]
             for w in words:
                 total, tail = 0, []
-                for p in split(lead + w.decode("utf-8", "replace")):
-                    p = p.encode()
+                for p in split.encoded(lead, w):
                     if (n := held.get(p)) is None:
                         tail.append(p)
                     else:
@@ -154,15 +182,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
                     if not memo:
                         rare[lead].clear()
                 cut = [parts(t) if t else (b"", []) for t in texts]
-                learn("", W.missing(memos[""], [[a] for a, _ in cut]))
-                learn(" ", W.missing(memos[" "], [b for _, b in cut]))
+                learn(b"", W.missing(memos[b""], [[a] for a, _ in cut]))
+                learn(b" ", W.missing(memos[b" "], [b for _, b in cut]))
                 rows, base, tails = [], [], []
-                first, rest = memos[""], memos[" "].__getitem__
+                first, rest = memos[b""], memos[b" "].__getitem__
                 for (a, others), t in zip(cut, texts, strict=True):
                     total = first[a] + sum(map(rest, others))
                     if total >= _RARE:
-                        found: Counter = Counter(rare[""].get(a, ()))
-                        mine = rare[" "]
+                        found: Counter = Counter(rare[b""].get(a, ()))
+                        mine = rare[b" "]
                         for w in others:
                             if w in mine:
                                 found.update(mine[w])

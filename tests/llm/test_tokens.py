@@ -154,3 +154,19 @@ def test_words_with_a_run_of_marks_are_learned_from_their_parts(monkeypatch):
     for w in words:
         assert memo[w] == np.array(real(WORD, [w])[0], "<u2").tobytes()
     assert not set(words[:4]) & set(asked) and set(words[4:-1]) <= set(asked)
+
+
+def test_runs_of_marks_are_split_off_without_the_library():
+    """Pre-tokens equal the library's; letters with marks behind them do not need it."""
+    known, split = W.tokenizer(BYTE), token_counts._Splitter(BYTE)
+    asked = []
+    real = split.split
+    split.split = lambda text: asked.append(text) or real(text)
+    words = ["zebra&&&", "quux.$$$", "\u00e9t\u00e9!!", "a.\nb\nc!", "it's", "a'", "b<|", "(517)", "x2!!", "e\u0301&&", "...", "'s", "a\tb", "a\n\nb", "a\n", "a.\n'b"]
+    for lead in ("", " "):
+        for w in words:
+            want = [(lead + w)[a:b].encode() for _, (a, b) in known.pre_tokenizer.pre_tokenize_str(lead + w)]
+            assert split.encoded(lead.encode(), w.encode()) == want
+    assert not {lead + w for w in words[:4] for lead in ("", " ")} & set(asked)
+    for text in ("a b", "a  b", "a \nb", "a\n b", "a\nb", "a\t b", "a\u00a0b", "\u00e9 b", " a", "a\x1fb"):
+        assert token_counts._odd(text.encode()) == (text not in ("a b", "a\nb", "\u00e9 b"))

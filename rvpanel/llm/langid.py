@@ -121,8 +121,27 @@ def _segments(docs: DataFrame, label: str, text: str, key: str) -> list[tuple[st
             )
 
     rows = docs.select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(key).cast("string").alias("key"))
-    found = rows.mapInArrow(run, "label string, seed long, words array<binary>").collect()
-    return sorted((r["label"], r["seed"], [bytes(w) for w in r["words"]]) for r in found)
+    found = rows.mapInArrow(run, "label string, seed long, words array<binary>").toArrow()
+    # Equal words are one object: the driver holds the distinct words, and references.
+    known: dict[bytes, bytes] = {}
+    out = []
+    for batch in found.to_batches(max_chunksize=1024):
+        for name, seed, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out.append((name, seed, [known.setdefault(w, w) for w in words]))
+    return sorted(out)
+
+
+def _bags(segments: list[list[bytes]]) -> list[np.ndarray]:
+    """The buckets of all subwords of each segment, in 16 bits each: a few tens of MB for the largest sample."""
+    distinct = {w: i for i, w in enumerate(sorted({w for ws in segments for w in ws}))}
+    words, found, sizes = list(distinct), [], []
+    for at in range(0, len(words), 4096):
+        bucket, per_word = subwords(words[at : at + 4096])
+        found.append(bucket.astype(np.uint16))
+        sizes.append(per_word)
+    bucket = np.concatenate(found)
+    start = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).tolist()
+    return [np.concatenate([bucket[start[i] : start[i + 1]] for i in map(distinct.__getitem__, ws)]) for ws in segments]
 
 
 def fit(segments: list[tuple[str, int, list[bytes]]], steps: int = 500, rate: float = 2.0, seed: int = 7) -> Model | None:
@@ -132,12 +151,7 @@ def fit(segments: list[tuple[str, int, list[bytes]]], steps: int = 500, rate: fl
         return None
     labels = sorted({s[0] for s in segments})
     target = np.array([labels.index(s[0]) for s in segments])
-    distinct = {w: i for i, w in enumerate(sorted({w for s in segments for w in s[2]}))}
-    bucket, per_word = subwords(list(distinct))
-    word_start = np.concatenate([[0], np.cumsum(per_word)])
-    bags = []
-    for _, _, ws in segments:
-        bags.append(np.concatenate([bucket[word_start[i] : word_start[i + 1]] for i in map(distinct.__getitem__, ws)]))
+    bags = _bags([ws for _, _, ws in segments])
     calib = np.array([s[1] % 5 == 0 for s in segments])
     if calib.all() or not calib.any():
         calib = np.zeros(len(segments), bool)

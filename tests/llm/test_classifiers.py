@@ -68,3 +68,14 @@ def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in mil_quality.rate_quality(docs, none).collect()} == {0.5}
     assert mil_quality.rate_quality(docs.limit(0), none).count() == 0
+
+
+def test_language_sample_is_small_on_the_driver(spark):
+    docs = spark.createDataFrame([(i, "the same few words again", "en") for i in range(40)], "doc_id long, text string, lang string")
+    found = langid._segments(docs, "lang", "text", "doc_id")
+    words = [w for _, _, ws in found for w in ws]
+    assert len({id(w) for w in words}) == len(set(words)) < len(words)  # equal words are one object
+    bags = langid._bags([ws for _, _, ws in found])
+    assert {b.dtype.str for b in bags} == {"<u2"}
+    for (_, _, ws), bag in zip(found, bags, strict=True):
+        assert bag.tolist() == [x for w in ws for x in langid.subwords([w])[0].tolist()]

@@ -27,12 +27,8 @@ no rows.  Texts are encoded whole; a document never leaves its record, however l
 from __future__ import annotations
 
 import struct
-import sys
-import unicodedata
 import uuid
 import zlib
-from array import array
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -181,41 +177,20 @@ def decode(payload: bytes, table: Table, only: list[int] | None = None) -> list[
     return out
 
 
-#: ASCII marks that stand in one run behind letters; an apostrophe may begin an ending, and "<|" a special token.
-_MARKS = b'!"#$%&()*+,-./:;=>?@[\\]^_`{}~'
-_memos: dict[tuple, W.Memo] = {}
-
-
-def _letters(word: bytes) -> bool:
-    """Whether the word is letters only, also once composed and in lower case (which may split marks off)."""
-    if word.isascii():
-        return word.isalpha()
-    return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha()
+_memos: dict[tuple, W.IdMemo] = {}
 
 
 def _encoder(path: str, dtype: str):
+    """The process's memo, and what looks up all words of lists in it."""
     W.claim("rans", _memos)
-    memo, apart = _memos.setdefault((path, dtype), W.Memo()), W.letters_alone(path)
-    kind, little = "H" if dtype == "<u2" else "I", sys.byteorder == "little"
+    if (path, dtype) not in _memos:
+        _memos[path, dtype] = W.IdMemo(path, dtype)
+    memo = _memos[path, dtype]
 
     def learn(lists):
-        memo.room()
-        fresh = W.missing(memo, lists)
-        # Letters with marks behind are the letters' ids and those of the run of marks.
-        marked = []
-        for word in fresh if apart else ():
-            head = word.rstrip(_MARKS)
-            if len(head) < len(word) and _letters(head):
-                marked.append((word, head, word[len(head) :]))
-        if marked:
-            words, heads, tails = zip(*marked, strict=True)
-            whole = set(fresh).difference(words)
-            whole.update(filterfalse(memo.__contains__, heads), filterfalse(memo.__contains__, tails))
-            fresh = list(whole)
-        coded = [array(kind, ids).tobytes() if little else np.array(ids, dtype).tobytes() for ids in W.plain_ids(path, fresh)]
-        memo.put_all(fresh, coded)
-        if marked:
-            memo.put_all(words, [memo[h] + memo[t] for h, t in zip(heads, tails, strict=True)])
+        for ws in lists:
+            for w in ws:
+                memo[w]
 
     return memo, learn
 
@@ -227,15 +202,14 @@ def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
 
     def run(batches):
         vocabulary = max(W.tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
-        dtype, total = _width(vocabulary), np.zeros(vocabulary, np.int64)
-        memo, learn = _encoder(tokenizer_path, dtype)
+        dtype, total = W.id_type(vocabulary), np.zeros(vocabulary, np.int64)
+        memo, _ = _encoder(tokenizer_path, dtype)
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
             out = []
             for _, texts in text_slices(batch):
-                lists = [W.folded(tokenizer_path, t).split() if t else [] for t in texts]
-                learn(lists)
-                found = [b"".join(map(memo.__getitem__, ws)) + end for ws in lists]
+                memo.room()
+                found = [b"".join(map(memo.__getitem__, W.folded(tokenizer_path, t).split())) + end if t else end for t in texts]
                 total += np.bincount(np.frombuffer(b"".join(found), dtype), minlength=vocabulary)
                 out += found
             ids = batch.column(0).cast(pa.int64())
@@ -245,10 +219,6 @@ def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     return docs.select(id_col, F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def _width(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
-
-
 def id_counts(counted: DataFrame, vocabulary: int) -> np.ndarray:
     """Occurrences of each id over all documents: the vectors that the tasks counted, added up by id, so only
     ``vocabulary`` rows reach the driver."""
@@ -272,7 +242,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None =
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/rans-{uuid.uuid4().hex}"
     vocabulary = max(W.tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
-    dtype = _width(vocabulary)
+    dtype = W.id_type(vocabulary)
     both = materialize(stage_ids(docs, tokenizer_path, end_id, id_col, text), compression="zstd")
     counts = id_counts(both.where("ids IS NULL"), vocabulary)
     staged = both.where("ids IS NOT NULL").select("doc_id", "ids")

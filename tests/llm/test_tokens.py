@@ -170,3 +170,12 @@ def test_runs_of_marks_are_split_off_without_the_library():
     assert not {lead + w for w in words[:4] for lead in ("", " ")} & set(asked)
     for text in ("a b", "a  b", "a \nb", "a\n b", "a\nb", "a\t b", "a\u00a0b", "\u00e9 b", " a", "a\x1fb"):
         assert token_counts._odd(text.encode()) == (text not in ("a b", "a\nb", "\u00e9 b"))
+
+
+def test_new_words_are_encoded_when_they_are_looked_up():
+    memo = rans._encoder(WORD, "<u2")[0]
+    memo.clear()
+    words = [w.encode() for w in ("zebra", "quux...", "x2!!", "\u00e9t\u00e9", "(517)", "Zebra")]
+    got = b"".join(map(memo.__getitem__, words))
+    assert np.frombuffer(got, "<u2").tolist() == [i for w in words for i in library(WORD, w.decode())]
+    assert memo.held > 0

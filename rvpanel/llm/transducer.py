@@ -161,9 +161,9 @@ class Lexicon:
         return self.ids[self.starts[rank] : self.starts[rank + 1]].tolist()
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, text: str = "text", tokenizer_path: str | None = None) -> DataFrame:
     """(word, n) over all documents, words of one occurrence and long ones left out: neither
-    can repay a place in the lexicon."""
+    can repay a place in the lexicon.  With a tokenizer, words are as :func:`encode_decode` looks them up."""
 
     on_executors(docs.sparkSession)
 
@@ -179,7 +179,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             for _, texts in text_slices(batch):
                 for t in texts:
                     if t:
-                        held.update(t.split())
+                        held.update((W.folded(tokenizer_path, t) if tokenizer_path else t).split())
                 if len(held) > FLUSH:
                     yield rows()
         if held:
@@ -192,43 +192,35 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
     """Compiled automaton of the ``size`` most frequent words of the documents."""
-    top = [bytes(r["word"]) for r in most_frequent(materialize(word_counts(docs, text)), "word", "n", size)]
+    top = [bytes(r["word"]) for r in most_frequent(materialize(word_counts(docs, text, tokenizer_path)), "word", "n", size)]
     return compile_lexicon(zip(top, W.library_ids(tokenizer_path, top), strict=True))
 
 
 class _Coder:
-    """Per process: words to the text of their ids and to their decoded text."""
+    """Per process: words to their ids, and ids to their decimals and their tokens."""
 
     def __init__(self, compiled: bytes, path: str):
         self.lexicon, self.path = Lexicon(compiled), path
         known = W.tokenizer(path)
-        self.token = [known.id_to_token(i) for i in range(known.get_vocab_size(with_added_tokens=True))]
+        size = known.get_vocab_size(with_added_tokens=True)
+        self.token = [known.id_to_token(i) for i in range(size)]
+        self.number = [str(i) for i in range(size)]
         self.plain = known.decoder is None
-        self.ids, self.shown, self.void = W.Memo(), {}, set()
+        self.memo = W.IdMemo(path, W.id_type(size))
+
+    def words(self, texts: list[bytes | None]) -> list[list[bytes]]:
+        return [W.folded(self.path, t).split() if t else [] for t in texts]
 
     def learn(self, lists: list[list[bytes]]) -> None:
-        self.ids.room()
-        if not self.ids:
-            self.shown.clear()
-            self.void.clear()
-        fresh = W.missing(self.ids, lists)
-        if not fresh:
-            return
+        """Takes the new words that the automaton holds from it; the memo has the library encode others when they are met."""
+        self.memo.room()
+        fresh = W.missing(self.memo, lists)
         ranks = self.lexicon.rank(fresh)
-        unseen = [w for w, r in zip(fresh, ranks, strict=True) if r < 0]
-        merged = dict(zip(unseen, W.plain_ids(self.path, unseen), strict=True))
-        for word, rank in zip(fresh, ranks.tolist(), strict=True):
-            seq = self.lexicon.output(rank) if rank >= 0 else merged[word]
-            if not seq:
-                self.void.add(word)
-            a, b = " ".join(map(str, seq)), " ".join([self.token[i] for i in seq])
-            self.shown[word] = b
-            self.ids.put(word, a, len(word) + len(a) + len(b))
-
-    def encode(self, words: list[bytes]) -> tuple[str, str]:
-        if self.void:
-            words = [w for w in words if w not in self.void]
-        return " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.shown.__getitem__, words))
+        held = np.flatnonzero(ranks >= 0).tolist()
+        self.memo.put_all([fresh[i] for i in held], [self.memo.bytes_of(self.lexicon.output(r)) for r in ranks[held].tolist()])
+
+    def encode(self, words: list[bytes]) -> list[int]:
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, words)), self.memo.dtype).tolist()
 
 
 _coders: dict[tuple, _Coder] = {}
@@ -263,15 +255,16 @@ def encode_decode(
         for batch in batches:
             counts, ids_hash, text_hash, ids_out, text_out = [], [], [], [], []
             for _, texts in text_slices(batch):
-                lists = [t.split() if t else [] for t in texts]
+                lists = coder.words(texts)
                 coder.learn(lists)
                 for ws in lists:
-                    a, b = coder.encode(ws)
-                    counts.append(a.count(" ") + 1 if a else 0)
+                    ids = coder.encode(ws)
+                    a, b = " ".join(map(coder.number.__getitem__, ids)), " ".join(map(coder.token.__getitem__, ids))
+                    counts.append(len(ids))
                     ids_hash.append(hashlib.sha256(a.encode()).hexdigest())
                     text_hash.append(hashlib.sha256(b.encode()).hexdigest())
                     if outputs:
-                        ids_out.append([int(x) for x in a.split()])
+                        ids_out.append(ids)
                         text_out.append(b)
             columns = {
                 id_col: batch.column(0),

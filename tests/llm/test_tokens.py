@@ -179,3 +179,16 @@ def test_new_words_are_encoded_when_they_are_looked_up():
     got = b"".join(map(memo.__getitem__, words))
     assert np.frombuffer(got, "<u2").tolist() == [i for w in words for i in library(WORD, w.decode())]
     assert memo.held > 0
+
+
+def test_transducer_takes_marks_apart(monkeypatch):
+    """Words the lexicon lacks cost the library what their letters and marks cost, whatever their case."""
+    asked = []
+    real = W.library_ids
+    monkeypatch.setattr(W, "library_ids", lambda path, words: asked.extend(words) or real(path, words))
+    coder = transducer._Coder(transducer.compile_lexicon([(b"zebra", library(WORD, "zebra"))]), WORD)
+    texts = ["Zebra zebra&&& QUUX&&& \u00e9t\u00e9&&&", "zebra", None, ""]
+    lists = coder.words([t and t.encode() for t in texts])
+    coder.learn(lists)
+    assert [coder.encode(ws) for ws in lists] == [library(WORD, t or "") for t in texts]
+    assert set(asked) <= {b"&&&"}

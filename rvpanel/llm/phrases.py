@@ -25,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,6 +113,19 @@ def _counted(a: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return at[first], counts
 
 
+def _distinct(a: np.ndarray, at: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """As :func:`_counted`, with the ids of each of their words.  Where a key holds them all, values are sorted and not places."""
+    width = max(1, int(a.max(initial=0)).bit_length())
+    if k * width > 63:
+        at, counts = _counted(a, at, k)
+        return [a[at + j] for j in range(k)], counts
+    key = a[at]
+    for j in range(1, k):
+        key = (key << width) | a[at + j]
+    key, counts = np.unique(key, return_counts=True)
+    return [(key >> width * (k - 1 - j)) & ((1 << width) - 1) for j in range(k)], counts
+
+
 def count_phrases(
     docs: DataFrame, longest: int, proposed=None, before=None, shortest: int = 1, lang: str = "lang", text: str = "text"
 ) -> DataFrame:
@@ -135,6 +149,7 @@ def count_phrases(
             if shortest == 1 and known:
                 n = np.bincount(a[inside], minlength=len(known))
                 yield table(name, [b"", *known], [int(n.sum()), *n.tolist()])
+            spelled = pa.array(known, pa.binary())
             each = np.array([_word_hash(name, w) for w in known], np.uint64)
             single = np.zeros(len(a), np.uint64)
             single[inside] = each[a[inside]]
@@ -152,14 +167,13 @@ def count_phrases(
                 h = _longer(h[:-1], single[k - 1 :])
                 fresh = both & ~had
                 if k >= shortest and fresh.any():
-                    at, counts = _counted(a, np.flatnonzero(fresh), k)
-                    columns = [[known[i] for i in a[at + j].tolist()] for j in range(k)]
-                    yield table(name, list(map(b" ".join, zip(*columns, strict=True))), counts.tolist())
+                    ids, counts = _distinct(a, np.flatnonzero(fresh), k)
+                    yield table(name, pc.binary_join_element_wise(*[spelled.take(pa.array(i)) for i in ids], b" "), counts)
                 now, then = member(new, h, both), member(old, h, had) if old is not None else had
                 if 1 < shortest <= k:
                     now |= fresh
 
-    def table(name: str, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
+    def table(name: str, phrases, counts) -> pa.RecordBatch:
         columns = {"lang": pa.repeat(name, len(counts)), "phrase": pa.array(phrases, pa.binary()), "f": pa.array(counts, pa.int64())}
         return pa.record_batch(columns)
 
@@ -186,7 +200,8 @@ def count_phrases(
         yield from tables(held)
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    summed = rows.mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # Tasks have summed already: few rows would be left out by summing once more before the shuffle.
+    summed = rows.mapInArrow(run, _COUNTS).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return summed.select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
 
 

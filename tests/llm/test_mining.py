@@ -255,3 +255,20 @@ def test_many_words_in_one_piece():
 def test_no_phrases(spark):
     assert P.mine(documents(spark, [])).count() == 0
     assert P.mine(documents(spark, ODD)).count() == 0
+
+
+def test_distinct_phrases_have_the_words_of_their_places():
+    rng = np.random.default_rng(3)
+    for words, k in ((4, 2), (90, 3), (90, 4), (1 << 17, 4), (1 << 21, 3)):
+        a = rng.integers(0, words, 4000)
+        at = np.flatnonzero(rng.random(4000 - k) < 0.7)
+        ids, n = P._distinct(a, at, k)
+        want = Counter(zip(*[a[at + j].tolist() for j in range(k)], strict=True))
+        assert dict(zip(zip(*[i.tolist() for i in ids], strict=True), n.tolist(), strict=True)) == want
+
+
+def test_counts_are_not_summed_twice_before_the_shuffle(spark):
+    docs = spark.createDataFrame([("a b a b", "en")], "text string, lang string")
+    plan = P.count_phrases(docs, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.rindex("HashAggregate")].split("Exchange", 1)[0] and plan.count("Exchange hashpartitioning(lang") == 1
+    assert plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning(lang")

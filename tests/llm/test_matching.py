@@ -380,3 +380,27 @@ def test_pruning_skips_blocks(monkeypatch):
     for other in found[1:]:
         for (a, s), (b, t) in zip(found[0], other, strict=True):
             assert a.tolist() == b.tolist() and s.tolist() == t.tolist()
+
+
+def test_common_terms_are_added_up_for_queries_together(monkeypatch):
+    """The k best are those of all postings, however many terms count as common."""
+    rng = np.random.default_rng(15)
+    docs, terms = 700, 50
+    hold = np.unique(np.stack([rng.integers(0, docs, 9000), rng.zipf(1.2, 9000).clip(1, terms)], axis=1), axis=0)
+    tf, length = rng.integers(1, 9, len(hold)), rng.integers(20, 400, docs)
+    row = topk._shard_bytes(hold[:, 1].astype(np.uint64), hold[:, 0], tf, length, np.arange(docs))
+    known, idf = np.arange(1, 60, dtype=np.uint64), np.linspace(4, 0.1, 59)
+    part = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[hold[:, 0]] / 120.0))
+    impact = np.floor(idf[hold[:, 1] - 1] * part * 65536 + 0.5)
+    queries = [np.arange(59), np.arange(3), np.arange(20, 59), np.arange(55, 59)]
+    for common in (0, 5, 256):
+        monkeypatch.setattr(topk, "COMMON", common)
+        shard = topk.Shard(row, 120.0)
+        at = shard.weigh(known, idf)
+        own = [at[q][at[q] >= 0] for q in queries]
+        assert len(shard.matrix) <= common and (at[50:] == -1).all()
+        for q, here, scores in zip(queries, own, shard.common(own), strict=True):
+            ids, got = shard.top(here, scores, 10, 0.0)
+            whole = np.bincount(hold[:, 0], impact * np.isin(hold[:, 1] - 1, q), docs)
+            want = [d for d in np.lexsort((np.arange(docs), -whole))[:10] if whole[d] > 0]
+            assert ids.tolist() == want and got.tolist() == whole[want].tolist()

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rvpanel.config import Settings
 from rvpanel.operators.features import build_features
 from rvpanel.operators.folds import check_val_frac, inner_train_end, number_by_calendar
-from rvpanel.operators.layout import block_window, blocks, number, own_rows
+from rvpanel.operators.layout import SUPER_BLOCKS, block_window, blocks, number, own_rows
 from rvpanel.operators.packed import Block, on_blocks, pack, read_blocks, windows_at
 from rvpanel.sources.store import materialize
 
@@ -100,25 +100,71 @@ def fit_regressor(train: DataFrame, validation: DataFrame, config: Settings) ->
         return LinearRegression(labelCol=config.target, solver="normal", predictionCol="pred").fit(train)
     if config.learner != "gbt":
         raise ValueError(f"unknown learner {config.learner!r}")
+    train, validation = train.persist(), validation.persist()
+    try:
+        return _boosted(train, validation, config)
+    finally:
+        train.unpersist()
+        validation.unpersist()
 
-    whole = GBTRegressor(
+
+def exact_grid(count: int, largest: float) -> float:
+    """A power of two whose multiples ``count`` values of up to ``largest`` are rounded to, so that a double holds their
+    sum and the sum of their squares exactly: then they are the same in whatever order tasks finish."""
+    return 2.0 ** math.ceil(math.log2(largest) + (math.log2(count) - 52) / 2) if largest > 0 else 1.0
+
+
+def _boosted(train: DataFrame, validation: DataFrame, config: Settings) -> GBTRegressionModel:
+    """The trees that ``GBTRegressor`` fits, one at a time, until ``patience`` of them have brought no gain.
+
+    Each is fitted to what the trees before it leave, rounded to a grid that makes the sums of a fit exact (sums of doubles
+    depend on the order in which parts arrive, and boosting carries such differences on).  The squares of what is left
+    never add up to more than at first, so one grid serves all rounds.
+    """
+    y = F.col(config.target)
+    rows, largest = train.agg(F.count("*"), F.max(F.abs(y))).first()
+    grid, unit = exact_grid(4 * rows, largest), largest or 1.0
+    boosting = GBTRegressor(
         labelCol=config.target, maxIter=config.rounds, maxDepth=config.depth, stepSize=config.step_size, seed=config.seed, predictionCol="pred"
-    ).fit(train)
-    return first_trees(whole, trees_kept(whole.evaluateEachIteration(validation, "squared"), config.patience))
+    )
+    one_tree = DecisionTreeRegressor(labelCol="_left", maxDepth=config.depth, seed=config.seed)
+    trees, errors, model = [], [], None
+    while len(errors) < config.rounds and (not errors or len(errors) - trees_kept(errors, config.patience) < config.patience):
+        # Spark's boosting takes y itself first and then the slope of the squared error, twice what is left.
+        left = y if model is None else 2 * (y - F.col("pred"))
+        seen = train if model is None else model.transform(train)
+        trees.append(one_tree.fit(seen.select("features", (F.rint(left / grid) * grid).alias("_left"))))
+        model = boosted_model(boosting, trees)
+        # Decimals add up exactly.
+        error = F.pow((y - F.col("pred")) / unit, 2).cast("decimal(38,20)")
+        errors.append(model.transform(validation).agg(F.sum(error)).first()[0])
+    return first_trees(model, trees_kept(errors, config.patience))
+
+
+def boosted_model(boosting: GBTRegressor, trees: Sequence[DecisionTreeRegressionModel]) -> GBTRegressionModel:
+    """The model of trees that were fitted one by one, as ``boosting`` weighs them."""
+    boosting._transfer_params_to_java()
+    weights = [1.0] + [boosting.getStepSize()] * (len(trees) - 1)
+    return _model_of(boosting._java_obj, boosting._java_obj.uid(), [t._java_obj for t in trees], weights, trees[0].numFeatures)
 
 
 def first_trees(model: GBTRegressionModel, kept: int) -> GBTRegressionModel:
     """The model of the first ``kept`` trees of a fitted one; nothing is fitted again."""
     if kept == model.getNumTrees:
         return model
-    whole, jvm = model._java_obj, SparkContext._active_spark_context._gateway
-    trees = jvm.new_array(jvm.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, kept)
-    weights = jvm.new_array(jvm.jvm.double, kept)
-    for k in range(kept):
-        trees[k], weights[k] = whole.trees()[k], float(whole.treeWeights()[k])
-    cut = jvm.jvm.org.apache.spark.ml.regression.GBTRegressionModel(whole.uid(), trees, weights, whole.numFeatures())
-    # Parameters, such as the name of the forecast's column, are those of the fitted model.
-    return GBTRegressionModel(whole.copyValues(cut, whole.extractParamMap()))
+    whole = model._java_obj
+    return _model_of(whole, whole.uid(), list(whole.trees())[:kept], list(whole.treeWeights())[:kept], whole.numFeatures())
+
+
+def _model_of(params, uid: str, trees: Sequence, weights: Sequence[float], width: int) -> GBTRegressionModel:
+    """Spark's model of these trees, with parameters (such as the name of the forecast's column) as in ``params``."""
+    jvm = SparkContext._active_spark_context._gateway
+    held = jvm.new_array(jvm.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weighed = jvm.new_array(jvm.jvm.double, len(trees))
+    for k, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        held[k], weighed[k] = tree, float(weight)
+    found = jvm.jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, held, weighed, width)
+    return GBTRegressionModel(params.copyValues(found, params.extractParamMap()))
 
 
 def fit_windows(
@@ -161,14 +207,24 @@ def _fold_parts(m: int, fold: int, config: Settings) -> tuple[int, int, int, int
     return train_end - math.floor(train_end * config.validation_share), train_end, start, start + size
 
 
+def _sums_in_order(blocks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``total`` of a value and of ``n`` per group, added up by ``_block``: inside super-blocks, then over super-blocks."""
+    in_order = "aggregate(sort_array(collect_list(struct({at}, {x} AS x))), 0D, (a, e) -> a + e.x) AS total"
+    inner = blocks.groupBy(*keys, F.expr(f"_block div {SUPER_BLOCKS}L").alias("_super")).agg(
+        F.expr(in_order.format(at="_block", x=value)), F.sum("n").alias("n")
+    )
+    return inner.groupBy(*keys).agg(F.expr(in_order.format(at="_super", x="total")), F.sum("n").alias("n"))
+
+
 def fold_scalers(packed: DataFrame, config: Settings, folds: Sequence[int]) -> DataFrame:
     """Scalers of all folds from one pass: ``symbol`` and an array of (fold, mean, std).
 
-    Blocks are summarised for each fold (count, mean, squared deviations), and summaries are merged."""
+    Blocks are summarised for each fold (count, mean, squared deviations), and summaries are added up in their order, so
+    that the last digit does not depend on the order in which tasks finish."""
     width = len(config.features)
 
     def run(batches):
-        for block in read_blocks(batches, width):
+        for block in read_blocks(batches, width, ["_block"]):
             own_p, own = block.p[block.lead :], block.f[block.lead :]
             out = []
             for fold in folds:
@@ -176,17 +232,19 @@ def fold_scalers(packed: DataFrame, config: Settings, folds: Sequence[int]) -> D
                     used = own[own_p < parts[0]]
                     if len(used):
                         mean = used.mean(axis=0)
-                        out.append((block.symbol, fold, len(used), mean.tolist(), ((used - mean) ** 2).sum(axis=0).tolist()))
+                        squares = ((used - mean) ** 2).sum(axis=0)
+                        out.append((block.symbol, fold, block.row["_block"], len(used), mean.tolist(), squares.tolist()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["symbol", "fold", "n", "mean", "squares"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["symbol", "fold", "_block", "n", "mean", "squares"])
 
-    parts = packed.mapInArrow(run, "symbol string, fold long, n long, mean array<double>, squares array<double>")
-    each = parts.selectExpr("symbol", "fold", "n", "inline(transform(arrays_zip(mean, squares), (x, c) -> struct(c, x.mean AS mean, x.squares AS squares)))")
+    parts = packed.mapInArrow(run, "symbol string, fold long, _block long, n long, mean array<double>, squares array<double>")
+    values = "inline(transform(arrays_zip(mean, squares), (x, c) -> struct(c, x.mean AS mean, x.squares AS squares)))"
+    each = parts.selectExpr("symbol", "fold", "_block", "n", values)
     keys = ["symbol", "fold", "c"]
-    means = each.groupBy(*keys).agg(F.expr("sum(n * mean) / sum(n) AS whole"))
-    spread = each.join(means, keys).groupBy(*keys).agg(
-        F.max("whole").alias("mean"), F.expr("sqrt(sum(squares + n * (mean - whole) * (mean - whole)) / sum(n)) AS std")
-    )
+    means = _sums_in_order(each, keys, "n * mean").selectExpr(*keys, "total / n AS whole")
+    spread = each.join(means, keys)
+    deviations = _sums_in_order(spread, keys, "squares + n * (mean - whole) * (mean - whole)").selectExpr(*keys, "sqrt(total / n) AS std")
+    spread = means.withColumnRenamed("whole", "mean").join(deviations, keys)
     ordered = F.sort_array(F.collect_list(F.struct("c", "mean", F.expr("IF(std = 0, 1D, std) AS std"))))
     per_fold = spread.groupBy("symbol", "fold").agg(ordered.alias("s"))
     lists = F.expr("struct(fold, transform(s, x -> x.mean) AS mean, transform(s, x -> x.std) AS std)")
@@ -311,14 +369,18 @@ def window_counts(packed: DataFrame, config: Settings) -> dict[int, tuple[int, i
     return {r["fold"]: (r["n"], r["held"]) for r in counted.collect()}
 
 
-def dealt(packed: DataFrame) -> DataFrame:
-    """The packed rows in parts of about as many blocks each, in an order that does not depend on the run."""
+def dealt(packed: DataFrame, most: int | None = None) -> DataFrame:
+    """The packed rows in parts (``most`` at most) of about as many blocks each, in an order that does not depend on the run."""
     parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts if most is None else max(1, min(parts, most))
     return packed.repartitionByRange(parts, F.xxhash64("symbol", "_block")).sortWithinPartitions("symbol", "_block")
 
 
 def _boosted_forecasts(packed: DataFrame, config: Settings, fold: int) -> DataFrame:
-    train, held = (fold_vectors(packed, config, fold, part) for part in ("train", "validation"))
+    # Spark draws a sample of the rows for the borders of the trees, by their places.  How a stored table is read depends
+    # on the cluster at that moment, so the blocks (not their windows) are dealt out once more for the fit.
+    laid = dealt(packed, packed.count())
+    train, held = (fold_vectors(laid, config, fold, part) for part in ("train", "validation"))
     model = fit_regressor(train, held, config)
     tested = model.transform(fold_vectors(packed, config, fold, "test"))
     return tested.select("symbol", "date", F.lit(fold).alias("fold"), F.col(config.target).alias("actual"), "pred")

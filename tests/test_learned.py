@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -173,6 +175,50 @@ def test_boosting_reads_blocks_that_are_joined_and_dealt_once(spark, panel, monk
     assert sum(sizes) == 160 and max(sizes) <= 2 * 160 / int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_fits_do_not_depend_on_the_order_of_sums(spark, panel, tiny_groups):
+    """Parts that arrive in another order and number give the same scalers and trees to the last bit, and the trees are
+    those of Spark's boosting."""
+    config = _config("gbt", rounds=4, patience=9)
+    packed = le.materialize(le.pack(panel, config.window, 5, config.features, config.target, "calendar"))
+    found = []
+    for k in (2, 7):
+        scalers = le.materialize(le.fold_scalers(packed.repartition(k, F.hash("_block", F.lit(k))), config, [2]))
+        laid = le.on_blocks(packed, scalers)
+        train, held = (le.fold_vectors(laid, config, 2, part) for part in ("train", "validation"))
+        model = le.fit_regressor(train.repartition(k, F.hash("symbol", "date", F.lit(k))), held.repartition(k), config)
+        tested = model.transform(le.fold_vectors(laid, config, 2, "test")).toPandas().sort_values(["symbol", "date"])
+        found.append(([r.scalers for r in scalers.orderBy("symbol").collect()], model.toDebugString.split("\n", 1)[1], tested.pred.to_numpy()))
+    (scalers, trees, pred), again = found[0], found[1]
+    assert scalers == again[0] and trees == again[1] and len(pred) > 100 and np.array_equal(pred, again[2])
+    plain = le.GBTRegressor(labelCol=config.target, maxIter=model.getNumTrees, maxDepth=3, stepSize=0.1, seed=42, predictionCol="pred").fit(train)
+    want = plain.transform(le.fold_vectors(laid, config, 2, "test")).toPandas().sort_values(["symbol", "date"]).pred
+    assert np.median(np.abs(pred - want)) < 1e-5 and np.allclose(model.treeWeights, plain.treeWeights)
+
+
+def test_forecasts_do_not_depend_on_how_a_table_is_read(spark):
+    """With more rows than Spark takes all of for the borders of its trees."""
+    from rvpanel.sources.store import materialize
+
+    long = materialize(_panel(spark, {s: 5000 for s in "ABC"}))
+    config, found, name = _config("gbt", rounds=2, folds=2), [], "spark.sql.files.minPartitionNum"
+    for parts in ("1", "7"):
+        spark.conf.set(name, parts)
+        try:
+            found.append(le.learned_forecasts(long, config, folds=[1]).toPandas().sort_values(["symbol", "date"]).reset_index(drop=True))
+        finally:
+            spark.conf.unset(name)
+    assert len(found[0]) > 4000 and found[0].equals(found[1])
+
+
+def test_sums_on_the_grid_are_exact():
+    values = np.random.default_rng(0).normal(0, 1, 5000)
+    grid = le.exact_grid(5000, np.abs(values).max())
+    on = np.rint(values / grid) * grid
+    for x in (on, on**2):
+        assert x.sum() == x[::-1].sum() == sum(sorted(x)) == float(sum(map(Fraction, x)))
+    assert np.abs(on - values).max() < 1e-5 and le.exact_grid(10, 0.0) == 1.0
+
+
 def test_fewer_trees_of_one_fit(spark, panel):
     config = _config("gbt", rounds=5)
     packed = le.pack(panel, config.window, 5, config.features, config.target, "calendar")
